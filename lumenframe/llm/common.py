@@ -28,6 +28,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_R = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 PLACE_R = _rng.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 WORD_R = _rng.integers(1, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bytes of words: ASCII letters and digits, and all bytes of other characters.
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -116,21 +118,32 @@ def word_table(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     none = np.zeros(0, np.int64)
     if not len(buf):
         return none, none, none.astype(np.uint64), none
-    inside = IS_WORD[buf]
-    first = np.zeros(len(buf), bool)
-    first[off[:-1][off[:-1] < len(buf)]] = True
-    before = np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    starts = np.flatnonzero(inside & (~before | first))
-    at = np.flatnonzero(inside)
-    if not len(at):
+    inside = np.zeros(len(buf) + 1, bool)
+    np.take(IS_WORD, buf, out=inside[:-1])
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # starts and ends in turn
+    if inside[0]:
+        turns = np.concatenate([[0], turns])
+    edge = off[1:-1]
+    edge = np.unique(edge[(edge > 0) & (edge < len(buf))])
+    edge = edge[inside[edge] & inside[edge - 1]]  # a word goes on over the end of a text: cut it there
+    if len(edge):
+        turns = np.sort(np.concatenate([turns, edge, edge]))
+    starts, ends = turns[::2], turns[1::2]
+    if not len(starts):
         return none, none, none.astype(np.uint64), none
-    cum = np.searchsorted(at, starts)
-    lens = np.diff(np.append(cum, len(at)))
-    place = np.arange(len(at)) - np.repeat(cum, lens)
-    hashes = np.add.reduceat(BYTE_R[buf[at]] * PLACE_R[place & 4095], cum)
-    doc = np.searchsorted(off, starts, "right") - 1
-    return starts, starts + lens, mixed(hashes), doc
+    lens = ends - starts
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eights = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    left = np.minimum(lens, 8)
+    hashes = (eights[starts] & KEEP[left]) * WORD_R[0] + lens.astype(np.uint64) * WORD_R[63]
+    more, t = np.flatnonzero(lens > 8), 1
+    while len(more):
+        hashes[more] = mixed(hashes[more]) + (eights[starts[more] + 8 * t] & KEEP[np.minimum(lens[more] - 8 * t, 8)]) * WORD_R[t % 62]
+        t += 1
+        more = more[lens[more] > 8 * t]
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
+    return starts, ends, mixed(hashes), doc
 
 
 def shingle_hashes(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

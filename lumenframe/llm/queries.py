@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import lines
+from lumenframe.llm import lines, neardup
 from lumenframe.llm.quality import op6_quality_discriminant
 
 QUERIES = {
     "op5_line_segment_join": lines.op5_line_segment_join,
     "op6_quality_discriminant": op6_quality_discriminant,
+    "op8_superminhash_dedup": neardup.op8_superminhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_line_segment_join": lines.ORACLE,
