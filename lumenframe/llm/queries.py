@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import lines, neardup
+from lumenframe.llm import decontam, lines, neardup
 from lumenframe.llm.quality import op6_quality_discriminant
 
 QUERIES = {
     "op5_line_segment_join": lines.op5_line_segment_join,
     "op6_quality_discriminant": op6_quality_discriminant,
     "op8_superminhash_dedup": neardup.op8_superminhash_dedup,
+    "op10_suffix_array_decontamination": decontam.op10_suffix_array_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_line_segment_join": lines.ORACLE,
+    "op10_suffix_array_decontamination": decontam.ORACLE,
 }
