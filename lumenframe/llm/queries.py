@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import decontam, lines, neardup
+from lumenframe.llm import decontam, lines, mixing, neardup
 from lumenframe.llm.quality import op6_quality_discriminant
 
 QUERIES = {
@@ -10,8 +10,10 @@ QUERIES = {
     "op6_quality_discriminant": op6_quality_discriminant,
     "op8_superminhash_dedup": neardup.op8_superminhash_dedup,
     "op10_suffix_array_decontamination": decontam.op10_suffix_array_decontamination,
+    "op7_systematic_mixing": mixing.op7_systematic_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_line_segment_join": lines.ORACLE,
+    "op7_systematic_mixing": mixing.ORACLE,
     "op10_suffix_array_decontamination": decontam.ORACLE,
 }
