@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import decontam, lines, mixing, neardup
+from lumenframe.llm import ctw, decontam, lines, mixing, neardup
 from lumenframe.llm.quality import op6_quality_discriminant
 
 QUERIES = {
+    "op1_context_tree_weighting": ctw.op1_context_tree_weighting,
     "op5_line_segment_join": lines.op5_line_segment_join,
     "op6_quality_discriminant": op6_quality_discriminant,
     "op8_superminhash_dedup": neardup.op8_superminhash_dedup,
