@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import ctw, decontam, lines, mixing, neardup
+from lumenframe.llm import ctw, decontam, lines, mixing, neardup, topk
 from lumenframe.llm.quality import op6_quality_discriminant
 
 QUERIES = {
     "op1_context_tree_weighting": ctw.op1_context_tree_weighting,
+    "op4_bit_sliced_topk": topk.op4_bit_sliced_topk,
     "op5_line_segment_join": lines.op5_line_segment_join,
     "op6_quality_discriminant": op6_quality_discriminant,
     "op8_superminhash_dedup": neardup.op8_superminhash_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_systematic_mixing": mixing.op7_systematic_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_bit_sliced_topk": topk.ORACLE,
     "op5_line_segment_join": lines.ORACLE,
     "op7_systematic_mixing": mixing.ORACLE,
     "op10_suffix_array_decontamination": decontam.ORACLE,
