@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import ctw, decontam, html, lines, mixing, neardup, topk
+from lumenframe.llm import ctw, decontam, html, licenses, lines, mixing, neardup, topk
 from lumenframe.llm.quality import op6_quality_discriminant
 
 QUERIES = {
     "op1_context_tree_weighting": ctw.op1_context_tree_weighting,
     "op2_composite_text_density": html.op2_composite_text_density,
+    "op3_fuzzy_license_notices": licenses.op3_fuzzy_license_notices,
     "op4_bit_sliced_topk": topk.op4_bit_sliced_topk,
     "op5_line_segment_join": lines.op5_line_segment_join,
     "op6_quality_discriminant": op6_quality_discriminant,
