@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import ctw, decontam, html, licenses, lines, mixing, neardup, topk
+from lumenframe.llm import ctw, decontam, html, licenses, lines, mixing, neardup, secrets, topk
 from lumenframe.llm.quality import op6_quality_discriminant
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_line_segment_join": lines.op5_line_segment_join,
     "op6_quality_discriminant": op6_quality_discriminant,
     "op8_superminhash_dedup": neardup.op8_superminhash_dedup,
+    "op9_assignment_secrets": secrets.op9_assignment_secrets,
     "op10_suffix_array_decontamination": decontam.op10_suffix_array_decontamination,
     "op7_systematic_mixing": mixing.op7_systematic_mixing,
 }
