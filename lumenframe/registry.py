@@ -6,4 +6,19 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "win_integral_image"
+FLAGSHIP = "img_integral"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a callable (spark, sf_dir) as a query, with the DuckDB SQL of its result if there is one."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+from lumenframe.plans import geometry, images, lanes, learning, rects, scalars, signals  # noqa: E402, F401
