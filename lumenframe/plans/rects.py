@@ -1 +1,77 @@
-"""Queries."""
+"""Queries of the rectangle operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lumenframe import fixtures as X
+from lumenframe.operators import rect as R
+from lumenframe.registry import query
+
+_OVER = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+_PAIR = f"{X.RECTS}, pr as (select a.image_id, a.pos as a_pos, b.pos as b_pos, a.w * a.h as aa, b.w * b.h as ba, a.kind as a_kind, b.kind as b_kind, {_OVER} as inter from rects a join rects b on a.image_id = b.image_id and a.pos <> b.pos)"
+
+
+@query("rect_iou_pairs", f"with {_PAIR} select image_id, a_pos, b_pos, inter, round(inter / (aa + ba - inter)::double, 9) as iou from pr where a_pos < b_pos and inter * 2 > aa + ba - inter")
+def rect_iou_pairs(spark, d):
+    p = R.pairs(X.rects(spark, d)).withColumns({"inter": R.overlap("a_", "b_"), "iou": R.iou("a_", "b_")})
+    return p.where("iou > 0.5").select("image_id", "a_pos", "b_pos", "inter", F.round("iou", 9).alias("iou"))
+
+
+@query("rect_iou_anti", f"with {_PAIR} select image_id, pos, x, y, w, h from rects r where kind = 'det' and not exists (select 1 from pr where pr.image_id = r.image_id and pr.a_pos = r.pos and b_kind = 'truth' and inter * 2 >= aa + ba - inter)")
+def rect_iou_anti(spark, d):
+    r = X.rects(spark, d)
+    det, truth = R.prefixed(r.where("kind = 'det'"), "a_"), R.prefixed(r.where("kind = 'truth'"), "b_").withColumnRenamed("image_id", "b_image")
+    left = det.join(truth, (F.col("image_id") == F.col("b_image")) & (R.iou("a_", "b_") >= 0.5), "left_anti")
+    return left.select("image_id", *(F.col(f"a_{c}").alias(c) for c in ("pos", "x", "y", "w", "h")))
+
+
+@query("rect_contains_ignore", f"with {X.RECTS} select image_id, pos, 2 * x + w as cx2, 2 * y + h as cy2 from rects r where kind = 'det' and exists (select 1 from rects t where t.image_id = r.image_id and t.kind = 'truth' and 2 * r.x + r.w >= 2 * t.x and 2 * r.x + r.w < 2 * (t.x + t.w) and 2 * r.y + r.h >= 2 * t.y and 2 * r.y + r.h < 2 * (t.y + t.h))")
+def rect_contains_ignore(spark, d):
+    r = X.rects(spark, d)
+    cx, cy = F.col("a_x") + F.col("a_w") / 2, F.col("a_y") + F.col("a_h") / 2
+    det, truth = R.prefixed(r.where("kind = 'det'"), "a_"), R.prefixed(r.where("kind = 'truth'"), "b_").withColumnRenamed("image_id", "b_image")
+    hit = det.join(truth, (F.col("image_id") == F.col("b_image")) & R.contains("b_", cx, cy), "left_semi")
+    return hit.select("image_id", F.col("a_pos").alias("pos"), (2 * F.col("a_x") + F.col("a_w")).alias("cx2"), (2 * F.col("a_y") + F.col("a_h")).alias("cy2"))
+
+
+_COMP = f"""with recursive {_PAIR}, e as (select image_id, a_pos as u, b_pos as v from pr where greatest(aa, ba) < 4 * least(aa, ba) and inter * 10 > 8 * least(aa, ba)),
+c(image_id, pos, root) as (select image_id, pos, pos from rects union select e.image_id, e.v, c.root from c join e on e.image_id = c.image_id and e.u = c.pos),
+comp as (select image_id, pos, min(root) as root from c group by image_id, pos)"""
+
+
+@query("rect_components", f"{_COMP} select image_id, pos, root from comp")
+def rect_components(spark, d):
+    return R.components(X.rects(spark, d))
+
+
+@query("rect_merge", f"{_COMP} select image_id, root, {', '.join(f'round(sum({c} * conf) / sum(conf)::double, 6) as {c}' for c in 'xywh')}, cast(sum(conf) as bigint) as conf, count(*) as n from rects join comp using (image_id, pos) group by image_id, root")
+def rect_merge(spark, d):
+    return R.merged(X.rects(spark, d)).select("image_id", "root", *(F.round(c, 6).alias(c) for c in "xywh"), "conf", "n")
+
+
+@query("det_conf_cleanup", f"with {X.RECTS} select image_id, pos, conf, cast(row_number() over (partition by image_id order by conf desc, pos) as int) as rank from rects qualify conf * 10 >= max(conf) over (partition by image_id)")
+def det_conf_cleanup(spark, d):
+    return R.confident(X.rects(spark, d)).select("image_id", "pos", "conf", "rank")
+
+
+@query("rect_dominance")
+def rect_dominance(spark, d):
+    return R.without_dominated(X.rects(spark, d))
+
+
+@query("det_match")
+def det_match(spark, d):
+    r = X.rects(spark, d)
+    return R.matched(r.where("kind = 'truth'"), r.where("kind = 'det'"), 0.3)
+
+
+@query("det_match_metrics")
+def det_match_metrics(spark, d):
+    return R.metrics(det_match(spark, d))
+
+
+@query("rect_scale", f"with {X.RECTS} select image_id, pos, round(x + w / 2.0 - w * 0.75, 6)::double as x, round(y + h / 2.0 - h * 0.75, 6)::double as y, w * 1.5::double as w, h * 1.5::double as h, w * h as area from rects")
+def rect_scale(spark, d):
+    x, y, w, h = (F.col(c) for c in "xywh")
+    return X.rects(spark, d).select("image_id", "pos", F.round(x + w / 2 - w * 0.75, 6).alias("x"), F.round(y + h / 2 - h * 0.75, 6).alias("y"), (w * 1.5).alias("w"), (h * 1.5).alias("h"), (w * h).alias("area"))
