@@ -73,6 +73,14 @@ def own(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
+def mapped(df: DataFrame, run, added: str = "") -> DataFrame:
+    """df.mapInArrow(run) for a function that returns all columns of df and those added, also where names hold dots."""
+    names = df.columns
+    plain = df.toDF(*(c if c.replace("_", "a").isalnum() else f"lf_column_{i}" for i, c in enumerate(names)))
+    extra = schema(added).fields if added else []
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *extra])).toDF(*names, *(f.name for f in extra))
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)  # noqa: SLF001
 

@@ -218,7 +218,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 hit[_matches(shard, sent.value)[0]] = True
                 yield shard.filter(pa.array(~hit))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = C.mapped(docs, run)
     return docs
 
 

@@ -201,8 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
                 named = pa.array([*CLASSES, "unjudged"]).take(pa.array(which))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.round(s[:, j], 6), mask=~judged) for j in range(3)), named], names=[*part.schema.names, "lf_good", "lf_low", "lf_toxic", "lf_class"])
 
-    added = C.schema("lf_good double, lf_low double, lf_toxic double, lf_class string")
-    return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields, *added.fields]))
+    return C.mapped(docs, run, "lf_good double, lf_low double, lf_toxic double, lf_class string")
 
 
 def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
