@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 from lumenframe.llm import common as C
 
-SHINGLE, THRESHOLD = 4, 0.5
-#: BANDS * ROWS components: a pair of similarity 0.5 meets in a band with probability 0.98, one of 0.6 with 0.9998.
+SHINGLE, THRESHOLD = 4, 0.4
+#: BANDS * ROWS components: a pair of similarity 0.4 meets in a band with probability 0.81, one of 0.5 with 0.98, of 0.6 with 0.9998.
 BANDS, ROWS = 64, 4
 #: As many distinct text ids are sent to all executors at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000

@@ -11,9 +11,10 @@ from lumenframe.llm import ctw, decontam, html, licenses, lines, mixing, neardup
 WORDS = "stone river cloud maple engine harbor violet window thunder copper meadow falcon lantern".split()
 LONG = " ".join(f"{WORDS[i % 13]}{i * 7919 % 1009} {WORDS[i * i % 13]}" for i in range(60_000))
 LINE = "a line that is long enough to be judged by everyone"
+TAIL, REST = " ".join(WORDS[:9] * 3), " ".join(reversed(WORDS[2:11] * 3))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, part int, `key` string, `a.b` string, tid long, lf_class string, lf_gone int, words string"
 TEXTS = [
-    (1, LINE + "\nsecond line of the very first document here"), (1, LINE + "\nsecond line of the very first document here"), (2, None), (3, ""), (4, " \n\n "), (5, LONG), (None, LINE + "\nanother tail that nobody else has got"),
+    (1, LINE + "\n" + REST), (1, LINE + "\n" + REST), (2, None), (3, ""), (4, " \n\n "), (5, LONG), (None, LINE + "\n" + TAIL),
     (None, None), (6, LINE.replace("everyone", "everyonf")), (6, "short"), (7, "token = \"a1b2c3d4e5f6a7b8c9d0\" é\U0001f600"), (8, LONG), (9, "x"), (9, "x"),
 ]
 
@@ -57,7 +58,7 @@ def test_lines(docs):
     got = {(r.doc_id, r.text): (r.lf_judged, r.lf_gone) for r in lines.dedup(docs).select("doc_id", "text", "lf_judged", "lf_gone").collect()}
     assert got[(1, TEXTS[0][1])] == (2, 0)  # repeated rows are one document
     assert got[(2, None)] == (0, 0) and got[(3, "")] == (0, 0) and got[(4, " \n\n ")] == (0, 0)
-    assert got[(None, "another tail that nobody else has got")] == (2, 1)  # null ids come last
+    assert got[(None, TAIL)] == (2, 1)  # null ids come last
     assert got[(6, "")] == (1, 1) and got[(6, "short")] == (0, 0)  # a near copy of an earlier line
     assert got[(5, LONG)] == (1, 0) and got[(8, "")] == (1, 1)
     assert lines.dedup(docs).columns == [c for c in docs.columns if c != "lf_gone"] + ["lf_judged", "lf_gone"]
