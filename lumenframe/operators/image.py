@@ -182,3 +182,16 @@ def rotate_crop_nearest(img: DataFrame, key: list[str], h0: int, w0: int, cy: fl
     clamp = lambda v, n: F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(n - 1).cast("bigint"), F.floor(v + 0.5)))
     g = _grid(img, h, w).select("i", "j", clamp(cy + dx * s + dy * c, h0).alias("y"), clamp(cx + dx * c - dy * s, w0).alias("x"))
     return img.join(g, ["y", "x"]).select(*key, F.col("i").alias("y"), F.col("j").alias("x"), "v")
+
+
+def draw_line(img: DataFrame, y0: int, x0: int, y1: int, x1: int, value: int, alpha: float = 1.0) -> DataFrame:
+    """A straight line, one pixel for each step of its longer side, blended over the image; parts outside are cut off."""
+    n = max(abs(y1 - y0), abs(x1 - x0))
+    step = img.sparkSession.range(n + 1)
+    at = step.select(*(F.floor(a + F.col("id") * (b - a) / max(n, 1) + 0.5).alias(c) for c, a, b in (("y", y0, y1), ("x", x0, x1)))).distinct().withColumn("on", F.lit(True))
+    return img.join(F.broadcast(at), ["y", "x"], "left").select(*(F.col(c) if c != "v" else F.when(F.col("on"), F.floor(F.col("v") * (1 - alpha) + value * alpha)).otherwise(F.col("v")).alias("v") for c in img.columns))
+
+
+def draw_cross(img: DataFrame, y: int, x: int, reach: int, value: int) -> DataFrame:
+    """A cross of two lines through a point."""
+    return draw_line(draw_line(img, y - reach, x, y + reach, x, value), y, x - reach, y, x + reach, value)

@@ -67,3 +67,23 @@ def jittered(rects: DataFrame, k: int, width: Column, height: Column) -> DataFra
     d = F.explode(F.sequence(F.lit(-k), F.lit(k)))
     moved = rects.select("*", d.alias("dy")).select("*", d.alias("dx")).withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
     return moved.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + F.col("w") <= width) & (F.col("y") + F.col("h") <= height))
+
+
+def detect_pyramid(img: DataFrame, key: str, model: DataFrame, h0: int, w0: int, h: int, w: int, threshold: float, step: float, start: float = 1.0) -> DataFrame:
+    """(image_id, x, y, w, h, conf): windows of the image and of its smaller scales, in the image's own size.
+
+    The scales go down by a factor as long as the model fits; their number is
+    logarithmic in the image's size, and all of them are one plan.
+    """
+    from lumenframe.operators.image import scale_hq
+
+    out, scale = None, start
+    while int(h0 * scale) >= h and int(w0 * scale) >= w:
+        sh, sw = int(h0 * scale), int(w0 * scale)
+        small = img if (sh, sw) == (h0, w0) else scale_hq(img, [key], h0, w0, sh, sw)
+        found = detections(predict_windows(small, key, model, sh - h, sw - w), key, threshold, h, w, scale)
+        out = found if out is None else out.unionByName(found)
+        scale *= step
+    if out is None:
+        raise ValueError("the model is larger than the image")
+    return out

@@ -106,3 +106,30 @@ def csv_manifest(spark: SparkSession, path: str, root: str = "", sample: int = 1
     if sample == 1:
         return grouped
     return grouped.where(F.pmod(F.xxhash64("path"), F.lit(sample)) == 0)
+
+
+def frames(spark: SparkSession, folder: str, extension: str, stream: bool = False) -> DataFrame:
+    """(frame, path, content): numbered files such as 007.bmp, at once or as a stream."""
+    reader = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read).format("binaryFile")
+    raw = reader.option("pathGlobFilter", f"*{extension}").load(folder)
+    return raw.select(F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).cast("bigint").alias("frame"), "path", "content")
+
+
+def dump_images(blobs: DataFrame, folder: str, title: str) -> int:
+    """Debug sink: write each blob as NN-title-row.bmp from the executors; the number of files. The folder must be shared."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        from lumenframe.sources.pictures import write_bmp
+
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for h, w, c, d in zip(*(b.column(k).to_pylist() for k in ("height", "width", "channels", "data"))):
+                v = np.frombuffer(d, np.uint8).reshape((h, w, c) if c == 3 else (h, w))
+                with open(f"{folder}/{task:02d}-{title}-{n}.bmp", "wb") as f:
+                    f.write(write_bmp(v))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return blobs.where("data is not null").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -151,3 +151,27 @@ def test_stabiliser_steadies():
     out = [s.step((3.0, 0.0, 1.0, 0.0, 1.0)) for _ in range(30)]
     assert out[-1][0] == pytest.approx(out[5][0])  # an even pan is left to move
     assert isinstance(pd.DataFrame(out), pd.DataFrame)
+
+
+def test_stream_of_numbers_and_search():
+    from lumenframe.functions.rand import Stream, minimise
+
+    a, b = Stream(0), Stream(0)
+    assert [a.next() for _ in range(5)] == [b.next() for _ in range(5)] and len({Stream(k).next() for k in range(100)}) > 90
+    s = Stream(1)
+    v = np.array([s.normal() for _ in range(4000)])
+    assert abs(v.mean()) < 0.1 and abs(v.std() - 1) < 0.1
+    x, best = minimise([-10, -10], [10, 10], [5, -7], lambda p: (p[0] - 1.5) ** 2 + (p[1] + 2) ** 2)
+    assert best < 1e-9 and x == pytest.approx([1.5, -2], abs=1e-4)
+
+
+def test_drawing_and_pyramid(spark):
+    from lumenframe.operators import lut
+
+    p = picture(spark, [[0] * 5] * 5)
+    assert grid(image.draw_line(p, 0, 0, 4, 4, 9)) == [[9 if y == x else 0 for x in range(5)] for y in range(5)]
+    assert sum(map(sum, grid(image.draw_cross(p, 2, 2, 1, 1)))) == 5
+    model = spark.createDataFrame([(y, x, 7, 0.25) for y in range(2) for x in range(2)], "y long, x long, bin long, weight double")
+    hot = picture(spark, [[7 if y < 4 and x < 4 else 0 for x in range(8)] for y in range(8)])
+    got = lut.detect_pyramid(hot, "id", model, 8, 8, 2, 2, 0.9, 0.5).collect()
+    assert (0.0, 0.0, 4.0, 4.0) in {(r.x, r.y, r.w, r.h) for r in got} and sum(r.w == 2 for r in got) == 9

@@ -9,7 +9,7 @@ import struct
 import numpy as np
 import pytest
 
-from lumenframe.sources import files, pictures, ulz, wav
+from lumenframe.sources import archive, files, jpeg, pictures, ulz, wav
 
 
 @pytest.mark.parametrize("container", ["riff", "w64"])
@@ -90,3 +90,40 @@ def test_files(spark, tmp_path):
     assert len(m["p.jpg"]) == 2 and tuple(m["q.jpg"][0].rect) == (0, 0, 3, 3)
     (tmp_path / "l.csv").write_text('a,"b,c"\nodd"\n')
     assert [r.fields for r in files.csv_lines(spark, f"{tmp_path}/l.csv").collect()] == [["a", "b,c"]]
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 3), (16, 24, 3), (13, 21, 3), (17, 9)])
+def test_jpeg_is_read_by_another_decoder(spark, tmp_path, shape):
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    v = np.stack([(y * 9 + 40) % 256, (x * 7 + 30) % 256, (x + y) * 4 % 256], 2).astype(np.uint8)
+    v = v if len(shape) == 3 else v[:, :, 0]
+    for quality, most in ((100, 3), (75, 16)):
+        (tmp_path / "p.jpg").write_bytes(jpeg.encode(v, quality))
+        r = files.jpegs(spark, f"{tmp_path}/p.jpg").first()
+        got = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1)
+        want = v if v.ndim == 3 else np.repeat(v[:, :, None], got.shape[2], 2)
+        assert got.shape[:2] == v.shape[:2] and np.abs(got.astype(int) - want).mean() < most
+    assert jpeg.encode(v, 50, flip=True) == jpeg.encode(v[::-1], 50)
+
+
+def test_archive():
+    import pandas as pd
+
+    m = pd.DataFrame({"y": [0, 1], "x": [1, 0], "bin": [3, 2], "weight": [0.5, -2.0]})
+    data = archive.dump(m, 2, 2, 4)
+    got = archive.load(data)
+    assert len(data) == 12 + 64 and len(got) == 16
+    assert got[got.weight != 0].reset_index(drop=True).equals(m.astype({"y": "int64", "x": "int64", "bin": "int64"}))
+
+
+def test_frames_and_dump(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    for k in (3, 11):
+        (tmp_path / f"in/{k:03d}.bmp").write_bytes(pictures.write_bmp(np.full((2, 2, 3), k, np.uint8)))
+    got = files.frames(spark, f"{tmp_path}/in", ".bmp").orderBy("frame").collect()
+    assert [(r.frame, pictures.read_bmp(r.content)[0, 0, 0]) for r in got] == [(3, 3), (11, 11)]
+    q = files.frames(spark, f"{tmp_path}/in", ".bmp", True).writeStream.format("memory").queryName("frames").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert spark.table("frames").count() == 2
+    assert files.dump_images(files.images(spark, f"{tmp_path}/in"), f"{tmp_path}/out", "t") == 2 == len(list((tmp_path / "out").iterdir()))
