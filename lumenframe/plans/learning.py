@@ -112,3 +112,22 @@ def ml_train_loop(spark, d):
     s = samples(spark, d)
     f = L.predict(s, L.train(s, 64, 4))
     return f.join(s.select("id", "target").distinct(), "id").agg(F.round(F.avg((F.col("f") - F.col("target")) ** 2), 9).alias("mse"))
+
+
+def shape_samples(spark, d):
+    """Images with three landmarks: the brightest pixels of their left and right halves, and the middle between them."""
+    img = X.img8(spark, d)
+    one = img.groupBy("vec_id").agg(F.min(F.when(F.col("x") < 4, F.struct(-F.col("v"), "y", "x"))).alias("hi"), F.min(F.when(F.col("x") >= 4, F.struct(-F.col("v"), "y", "x"))).alias("lo"), F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("px"))
+    ax, ay, bx, by = ((F.col(c) + 0.5) / 8 for c in ("hi.x", "hi.y", "lo.x", "lo.y"))
+    data = F.unhex(F.array_join(F.transform("px", lambda p: F.format_string("%02X", p["v"])), ""))
+    return one.select(F.col("vec_id").alias("id"), F.lit(8).alias("h"), F.lit(8).alias("w"), data.alias("data"), F.array(*(F.lit(float(v)) for v in (0, 0, 8, 8))).alias("rect"), F.array(ax, ay, bx, by, (ax + bx) / 2, (ay + by) / 2).alias("shape"))
+
+
+@query("ml_shape_forest")
+def ml_shape_forest(spark, d):
+    from lumenframe.operators import shape
+    from lumenframe.session import cut
+
+    s = cut(shape_samples(spark, d))
+    flat = shape.predict(s, shape.train(s, 0, 2, 1)).agg(F.avg("error").alias("before"))
+    return shape.predict(s, shape.train(s, 3, 3, 40)).agg(F.avg("error").alias("after")).crossJoin(flat).select(F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))

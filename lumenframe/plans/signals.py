@@ -109,3 +109,12 @@ def sig_iir(spark, d):
     s = X.signal(spark, d)
     low, high = S.biquad(s, U, 5.0, 50.0), S.biquad(s, U, 5.0, 50.0, True)
     return low.join(high.withColumnRenamed("v", "high"), [U, "n"]).select(U, "n", F.round("v", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query("sig_piano")
+def sig_piano(spark, d):
+    from lumenframe.operators import piano
+
+    s = X.signal(spark, d).where("user_id % 25 = 0 and n < 12")
+    notes = s.select(F.col(U).alias("track"), F.col("n").alias("id"), (F.col("n") * 200).alias("start"), (100 + F.col("q") % 200).alias("length"), (1 + F.col("q") % 88).alias("note"))
+    return piano.echoed(piano.play(notes, 4000), 4000).select("track", "n", F.round("v", 6).alias("v"))

@@ -175,3 +175,27 @@ def test_drawing_and_pyramid(spark):
     hot = picture(spark, [[7 if y < 4 and x < 4 else 0 for x in range(8)] for y in range(8)])
     got = lut.detect_pyramid(hot, "id", model, 8, 8, 2, 2, 0.9, 0.5).collect()
     assert (0.0, 0.0, 4.0, 4.0) in {(r.x, r.y, r.w, r.h) for r in got} and sum(r.w == 2 for r in got) == 9
+
+
+def test_shape_forest_learns(spark, data):
+    from lumenframe.registry import QUERIES
+
+    r = QUERIES["ml_shape_forest"](spark, data).first()
+    assert r.after < 0.97 * r.before
+
+
+def test_piano(spark):
+    from lumenframe.operators import piano
+
+    notes = spark.createDataFrame([(1, 1, 0, 400, 49), (1, 2, 100, 300, 52)], "track long, id long, start long, length long, note long")
+    dry = {r.n: r.v for r in piano.play(notes, 4000).collect()}
+    a, b = piano.voice(49, 400, 4000), piano.voice(52, 300, 4000)
+    assert dry[150] == pytest.approx(a[150] + b[50]) and max(dry) == len(a) - 1
+    wet = {r.n: r.v for r in piano.echoed(piano.play(notes, 4000), 4000).collect()}
+    delays = [int(t * 4000) for t in piano.TAPS]
+    y = np.zeros(max(dry) + 1)
+    for n in range(len(y)):
+        y[n] = dry.get(n, 0) + sum(piano.ECHO * y[n - k] for k in delays if n >= k)
+    assert all(wet[n] == pytest.approx(y[n]) for n in wet)
+    with pytest.raises(ValueError, match="keys"):
+        piano.frequency(0)
