@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lumenframe.session import ship
+
 #: Rows and bytes of an Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of text that one numpy pass takes, unless a single text is longer.
@@ -36,7 +38,8 @@ IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches, as documents may be long."""
+    """Bound the Arrow batches, as documents may be long, and let the workers import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
