@@ -25,18 +25,17 @@ MAX_LABELLED = 20_000
 TO_POOLED, TO_DIAGONAL = 0.15, 0.05
 #: A word leans to a class if it is in at least so many of its sampled documents, and so many times likelier there.
 LEAN_DOCS, LEAN_RATIO = 5, 8.0
+#: Usual parts of characters; a short text's parts are drawn to them with the weight of so many characters.
+USUAL = {"lower": 0.76, "upper": 0.03, "digit": 0.005, "space": 0.16, "stop": 0.03, "bang": 0.002, "mark": 0.003, "high": 0.02}
+USUAL_CHARS = 30
+#: Standardised statistics beyond this are taken as this.
+FARTHEST = 5.0
 
 _KINDS = {"lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "space": (9, 10, 11, 12, 13, 32), "stop": b".,;:'-", "bang": b"!?", "mark": b"#$%&*@^~|_=+<>/\\{}[]()\"`", "high": range(128, 256)}
 _LUT = {k: np.isin(np.arange(256), list(v)).astype(np.float32) for k, v in _KINDS.items()}
 NAMES = ["chars", "words", "word_chars", "word_spread", "lines", *(f"{k}_part" for k in _KINDS), "same_lines", "lean_low", "lean_toxic", "lean_toxic_part"]
 
 
-def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The sum of each text's values; 0 for an empty text."""
-    c = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return c[off[1:]] - c[off[:-1]]
-
-
 def statistics(texts: pa.Array, lean: dict[str, np.ndarray]) -> np.ndarray:
     """A row of transformed statistics (NAMES) for each text; nulls and texts without words get NaN.
 
@@ -49,14 +48,16 @@ def statistics(texts: pa.Array, lean: dict[str, np.ndarray]) -> np.ndarray:
     size = np.diff(raw_off).astype(float)
     words = np.bincount(doc, minlength=n).astype(float)
     lens = (ends - starts).astype(float)
-    mean = np.bincount(doc, lens, n) / np.maximum(words, 1)
-    spread = np.sqrt(np.maximum(np.bincount(doc, lens * lens, n) / np.maximum(words, 1) - mean**2, 0))
+    # as if five words of four characters, give or take two, were added
+    mean = (np.bincount(doc, lens, n) + 20) / (words + 5)
+    spread = np.sqrt(np.maximum((np.bincount(doc, lens * lens, n) + 100) / (words + 5) - mean**2, 0))
     newline = np.flatnonzero(raw == 10)
     where = np.searchsorted(raw_off, newline, "right") - 1
     lines = np.bincount(where, minlength=n) + 1.0
-    out = [np.log1p(size), np.log1p(words), np.log1p(mean), np.log1p(spread), np.log(lines) - np.log1p(words)]
+    out = [np.log1p(size), np.log1p(words), np.log1p(mean), np.log1p(spread), np.log(lines + 1) - np.log(words + 20)]
+    counted = np.stack([np.bincount(raw[a:b], minlength=256) for a, b in zip(raw_off[:-1], raw_off[1:])]) if n else np.zeros((0, 256))
     for k in _KINDS:
-        part = (_sums(_LUT[k][raw], raw_off) + 0.5) / (size + 1)
+        part = (counted @ _LUT[k] + USUAL_CHARS * USUAL[k]) / (size + USUAL_CHARS)
         out.append(np.log(part / (1 - np.minimum(part, 1 - 1e-9))))
     # lines that repeat in their document: equal hashes of whole lines
     begin = np.sort(np.concatenate([raw_off[:-1][size > 0], newline + 1]))
@@ -71,7 +72,7 @@ def statistics(texts: pa.Array, lean: dict[str, np.ndarray]) -> np.ndarray:
         again = np.zeros(len(begin), bool)
         again[1:] = (line[order][1:] == line[order][:-1]) & (at[order][1:] == at[order][:-1])
         same = np.bincount(at[order][again], minlength=n).astype(float)
-    out.append(np.log((same + 0.5) / (lines + 1)))
+    out.append(np.log((same + 0.1) / (lines + 5)))
     for k in ("low", "toxic"):
         known = lean.get(k, np.zeros(0, np.uint64))
         hit = np.zeros(len(hashes), bool)
@@ -80,7 +81,7 @@ def statistics(texts: pa.Array, lean: dict[str, np.ndarray]) -> np.ndarray:
             hit = known[i] == hashes
         found = np.bincount(doc[hit], minlength=n).astype(float)
         out.append(np.log1p(found))
-    out.append(np.log((found + 0.05) / (words + 1)))
+    out.append(np.log((found + 0.05) / (words + 50)))
     made = np.column_stack(out) if n else np.zeros((0, len(NAMES)))
     made[words == 0] = np.nan
     return made
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> dict |
     if not len(x):
         return None
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    x = (x - centre) / scale
+    x = np.clip((x - centre) / scale, -FARTHEST, FARTHEST)
     means = {k: x[y == k].mean(0) for k in range(3) if (y == k).any()}
     pooled = sum((x[y == k] - m).T @ (x[y == k] - m) for k, m in means.items()) / len(x)
     model = {"lean": lean, "centre": centre, "scale": scale, "classes": {}}
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> dict |
 
 def scores(model: dict, x: np.ndarray) -> np.ndarray:
     """Log density plus log prior of each row in each of CLASSES; -inf in a class that had no sample."""
-    z = (x - model["centre"]) / model["scale"]
+    z = np.clip((x - model["centre"]) / model["scale"], -FARTHEST, FARTHEST)
     out = np.full((len(x), len(CLASSES)), -np.inf)
     for j, k in enumerate(CLASSES):
         if k in model["classes"]:
