@@ -33,7 +33,7 @@ _INSIDE = np.array([0xFF, 0xFF000000FF, 0xFFFF0000FF, 0xFFFFFF00FF], _U)
 
 
 def runs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """For each byte the run c1 c2 c3 c4 b: the bytes before it, the nearest first (0 before the text), and itself."""
+    """For each byte its run in one number: the bytes before it, the nearest first (0 before the text), and itself."""
     b = buf.astype(_U)
     g = b.copy()
     for t in range(1, DEPTH + 1):
