@@ -23,8 +23,10 @@ from pyspark.sql.window import Window
 from lumenframe.llm import common as C
 
 EDITS = 2
-#: Shorter lines (bytes) carry too little to be judged, and stay.
+#: Shorter lines (bytes) have no near copies.
 MIN_BYTES = 24
+#: The pipeline judges lines from this length (bytes) on, those under MIN_BYTES for exact repeats only.
+ALL_BYTES = 1
 #: In keys with more entries than this the pairs are looked up by signature parts, too.
 DENSE = 32
 #: As many distinct ids are sent to all executors at most (8 bytes each); more are joined by a shuffle.
@@ -45,7 +47,7 @@ def bucket_starts(longest: int) -> list[int]:
     return out
 
 
-def _line_rows(edits: int):
+def _line_rows(edits: int, least: int):
     x = lambda b: xxhash.xxh64_intdigest(b, 42)  # noqa: E731  equals Spark's xxhash64
     y = lambda b, s: xxhash.xxh3_64_intdigest(b, s)
     half = edits // 2
@@ -76,7 +78,7 @@ def _line_rows(edits: int):
                 owner = np.repeat(np.arange(len(off) - 1), np.diff(np.append(doc, len(starts))))
                 number = np.arange(len(starts)) - doc[owner]
                 size = ends - starts
-                long = np.flatnonzero(size >= MIN_BYTES)
+                long = np.flatnonzero(size >= least)
                 if not len(long):
                     continue
                 flat = np.sort(np.concatenate([starts[long], np.minimum(ends[long], len(buf) - 1)]))
@@ -94,6 +96,9 @@ def _line_rows(edits: int):
                     line, n = raw[s:e], e - s
                     ids.append(x(line))
                     ids2.append(y(line, 7))
+                    if k < 0:  # under MIN_BYTES: no segments
+                        counts.append(0)
+                        continue
                     index, probes = keys(line, n, k, bounds[k])
                     for j, edge in ((k - 1, bounds[k] + edits), (k + 1, None)):
                         if (j >= 0 and n < edge) if edge is not None else n + edits >= bounds[j]:
@@ -206,7 +211,7 @@ def near_pairs(lines: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
     return both.mapInArrow(_verified(edits), "a long, b long")
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
     """(doc_id, line_no, id, judged, gone): each judged line's occurrence; gone if a copy or near copy of it comes earlier.
 
     Occurrences are ordered by (doc_id, line_no), null ids last. Of equal
@@ -215,7 +220,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     C.arrow_batches(docs.sparkSession)
     docs = docs.select(C.own(docs, "doc_id").alias("doc_id"), C.own(docs, "text").alias("text"))
-    found = docs.mapInArrow(_line_rows(edits), "doc_id long, line_no int, id long, id2 long, size int, sign long, keys array<long>")
+    found = docs.mapInArrow(_line_rows(edits, least), "doc_id long, line_no int, id long, id2 long, size int, sign long, keys array<long>")
     place = [F.col("doc_id").asc_nulls_last(), F.col("line_no")]
     over = Window.partitionBy("id", "id2").orderBy(*place)
     lines = found.withColumns({"nth": F.rank().over(over), "row": F.row_number().over(over)})
@@ -228,12 +233,12 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return lines.select("doc_id", "line_no", "id", "nth").join(later, "id", "left").select("doc_id", "line_no", "id", ((F.col("nth") > 1) | F.col("near").isNotNull()).alias("gone"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
     """docs with text cleaned, and lf_judged and lf_gone: counts of judged and of removed lines.
 
     Needs doc_id and text. Lines are what newlines separate; a line under
-    MIN_BYTES bytes is not judged and stays. Edits are counted in bytes of
-    UTF-8. A null text stays null and an empty one empty, with 0 judged lines;
+    least bytes is not judged and stays; one under MIN_BYTES bytes goes as an
+    exact repeat only. Edits are counted in bytes of UTF-8. A null text stays null and an empty one empty, with 0 judged lines;
     null ids come last in the order; rows that repeat a doc_id and a text get
     equal results; where different texts share a doc_id, equal line numbers
     count as equal places. Long texts and lines are taken whole; empty docs
@@ -241,13 +246,13 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     lf_gone are replaced.
     """
     docs = docs.drop("lf_judged", "lf_gone")
-    marks = dropped_lines(docs, edits).groupBy("doc_id").agg(F.collect_set(F.when(F.col("gone"), F.struct("line_no", "id"))).alias("lf_gone_lines"))
+    marks = dropped_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_set(F.when(F.col("gone"), F.struct("line_no", "id"))).alias("lf_gone_lines"))
     marks = marks.where(F.size("lf_gone_lines") > 0).withColumnRenamed("doc_id", "lf_doc_id")
     lines = F.split(C.own(docs, "text"), "\n", -1)
     with_lines = docs.join(marks.hint("shuffle_hash"), C.own(docs, "doc_id").eqNullSafe(F.col("lf_doc_id")), "left")
     is_gone = lambda x, i: F.array_contains("lf_gone_lines", F.struct(i.alias("line_no"), F.xxhash64(x).alias("id")))
-    stay = F.filter(lines, lambda x, i: ~((F.octet_length(x) >= MIN_BYTES) & is_gone(x, i)))
-    judged = F.size(F.filter(lines, lambda x: F.octet_length(x) >= MIN_BYTES))
+    stay = F.filter(lines, lambda x, i: ~((F.octet_length(x) >= least) & is_gone(x, i)))
+    judged = F.size(F.filter(lines, lambda x: F.octet_length(x) >= least))
     made = with_lines.withColumns(
         {
             "lf_stay": F.when(F.col("lf_gone_lines").isNotNull(), stay),
@@ -269,7 +274,7 @@ def op5_line_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document all of whose judged lines go is removed. n_chars follows the text."""
-    made = dedup(docs)
+    made = dedup(docs, least=ALL_BYTES)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("lf_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return made.where("lf_judged = 0 or lf_gone < lf_judged").select(*(f"`{c}`" for c in docs.columns))
