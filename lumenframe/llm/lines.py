@@ -273,11 +273,11 @@ def op5_line_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document all of whose judged lines go is removed. n_chars follows the text."""
+    """Repeated lines go; a document that only blank lines are left of is removed. n_chars follows the text."""
     made = dedup(docs, least=ALL_BYTES)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("lf_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return made.where("lf_judged = 0 or lf_gone < lf_judged").select(*(f"`{c}`" for c in docs.columns))
+    return made.where(F.col("text").isNull() | (F.col("lf_gone") == 0) | F.col("text").rlike(r"\S")).select(*(f"`{c}`" for c in docs.columns))
 
 
 #: Letter counts bound the edit distance from below, so that few pairs are compared in full.

@@ -11,3 +11,10 @@ def test_short_lines_in_the_pipeline(spark):
     docs = spark.createDataFrame([(1, "Les.\n\nfirst"), (2, "Les.\n\nsecond"), (3, "third\nLes.\nthird"), (4, "Les.")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.stage(spark, docs, "").collect()}
     assert got == {1: "Les.\n\nfirst", 2: "\nsecond", 3: "third"}
+
+
+def test_documents_keep_what_is_left(spark):
+    texts = [HEAD, f"{HEAD}\n- own", f"{HEAD}\n \t", None, "", f"{HEAD}\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.stage(spark, docs, "").collect()}
+    assert got == {0: HEAD, 1: "- own", 3: None, 4: ""}
