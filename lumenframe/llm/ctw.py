@@ -12,8 +12,9 @@ counts of all nodes are sums over it, and every byte of the corpus has one of
 its runs. The corpus is hashed into parts. Each part asks for the runs that it
 holds, the counts are summed over all parts, subtrees below two context bytes
 are weighted side by side (the two levels above have at most 257 * 255 nodes),
-and each part gets the code lengths of its own runs back. Nothing that grows
-with the corpus is broadcast.
+and each part gets the code lengths of its own runs back. Runs, counts and
+code lengths travel packed, one row for each part and bucket of subtrees.
+Nothing that grows with the corpus is broadcast.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import common as C
 
-DEPTH = 4
+#: Context bytes: with the byte itself they fill a number of 64 bits.
+DEPTH = 7
 _U = np.uint64
 _LOG_HALF, _LOG_PI = np.log(0.5), np.log(np.pi)
 #: Of the run at a text's byte t < DEPTH, the bytes that are in the text.
-_INSIDE = np.array([0xFF, 0xFF000000FF, 0xFFFF0000FF, 0xFFFFFF00FF], _U)
+_INSIDE = np.array([0xFF + sum(0xFF << 8 * (DEPTH + 1 - j) for j in range(1, t + 1)) for t in range(DEPTH)], _U)
 
 
 def runs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -37,7 +39,7 @@ def runs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     b = buf.astype(_U)
     g = b.copy()
     for t in range(1, DEPTH + 1):
-        g[t:] |= b[:-t] << _U(40 - 8 * t)
+        g[t:] |= b[:-t] << _U(8 * (DEPTH + 1 - t))
     for t in range(DEPTH):
         at = off[:-1] + t
         at = at[at < off[1:]]
@@ -55,19 +57,80 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[at], np.add.reduceat(n[order], at)
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """(part, run, n): the distinct runs of a part's texts."""
-    keys, counts = [], []
+def packed(v: np.ndarray) -> bytes:
+    """The numbers by byte planes, compressed."""
+    return pa.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _only_runs(table: pa.Table) -> np.ndarray:
+    """The distinct runs of a part's texts, in order."""
+    k = np.zeros(0, _U)
     for batch in table.combine_chunks().to_batches():
-        for block in C.blocks(batch, "text", 4 << 20):
+        for block in C.blocks(batch, "text", 2 << 20):
+            k = np.concatenate([k, runs(*C.text_buffer(block.column("text")))])
+            k.sort()
+            new = np.ones(len(k), bool)
+            np.not_equal(k[1:], k[:-1], out=new[1:])
+            k = k[new]
+    return k
+
+
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of a part's texts, in order, and their numbers."""
+    k = _only_runs(table)
+    n = np.zeros(len(k), np.int64)
+    for batch in table.combine_chunks().to_batches():
+        for block in C.blocks(batch, "text", 2 << 20):
             g = runs(*C.text_buffer(block.column("text")))
             g.sort()
             at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
-            keys.append(g[at])
-            counts.append(np.diff(np.append(at, len(g))))
-    k, n = summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, _U), np.zeros(0, np.int64))
-    part = table.column("part")[0].as_py() if table.num_rows else 0
-    return pa.table({"part": pa.array(np.full(len(k), part, np.int32)), "run": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+            n[np.searchsorted(k, g[at])] += np.diff(np.append(at, len(g)))
+    return k, n
+
+
+def _by_bucket(keys: np.ndarray, buckets: int):
+    """(bucket, places in keys, in order) of each bucket that has some of the sorted keys: runs with the same two nearest bytes share one."""
+    top = keys >> _U(8 * (DEPTH - 1))
+    at = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(top) else np.zeros(0, np.int64)
+    own = (C.mixed(top[at]) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+    of = np.repeat(own, np.diff(np.append(at, len(top))))
+    del top
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    for a, b in zip(at, np.append(at[1:], len(of))):
+        yield int(of[a]), order[a:b]
+
+
+def _asked(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(part, bucket, size, runs, counts): the distinct runs of a part's texts, packed."""
+        keys, n = _distinct(table)
+        rows = [(i, len(at), packed(np.diff(keys[at], prepend=_U(0))), packed(n[at])) for i, at in _by_bucket(keys, buckets)]
+        part = table.column("part")[0].as_py() if table.num_rows else 0
+        bucket, size, run, count = zip(*rows) if rows else ((),) * 4
+        return pa.table({"part": pa.array([part] * len(rows), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "size": pa.array(size, pa.int64()), "runs": pa.array(run, pa.binary()), "counts": pa.array(count, pa.binary())})
+
+    return run
+
+
+def _gathered(batches):
+    """(bucket, asks, the function that unpacks the runs of one, all runs, their counts) of each row of (bucket, asks)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            asks = batch.column("asks")[i].as_py()
+            each = lambda a: np.cumsum(unpacked(a["runs"], a["size"], _U), dtype=_U)
+            keys, n = np.zeros(0, _U), np.zeros(0, np.int64)
+            for j in range(0, len(asks), 16):
+                some = asks[j : j + 16]
+                keys, n = summed(np.concatenate([keys, *map(each, some)]), np.concatenate([n, *(unpacked(a["counts"], a["size"], np.int64) for a in some)]))
+            yield batch.column("bucket")[i].as_py(), asks, each, keys, n
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -79,9 +142,22 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(p)
 
 
+_SMALL = np.arange(4096.0)
+_GAMMA = {plus: log_gamma(_SMALL + plus) for plus in (0.5, 1.0)}
+
+
+def _log_gamma_of(n: np.ndarray, plus: float) -> np.ndarray:
+    """log gamma of whole numbers plus 0.5 or 1."""
+    out = _GAMMA[plus][np.minimum(n, len(_SMALL) - 1).astype(np.int64)]
+    big = n >= len(_SMALL)
+    if big.any():
+        out[big] = log_gamma(n[big] + plus)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - _LOG_PI
+    return _log_gamma_of(zeros, 0.5) + _log_gamma_of(ones, 0.5) - _log_gamma_of(zeros + ones, 1.0) - _LOG_PI
 
 
 def weighted(log_pe: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,31 +170,38 @@ class Subtree:
     """The nodes of depths 2 to DEPTH of some runs: all runs with the same c1 and c2 must be there."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.levels = []  # by bit: by depth from DEPTH down to 2, (node keys, chance of a one, own weight)
-        self.tops = []  # by bit: node keys of depth 2, zeros, ones, log Pw
-        by_depth = [summed(((keys >> _U(8 + 8 * (DEPTH - d))) << _U(8)) | (keys & _U(255)), n) for d in range(DEPTH, 1, -1)]
-        for k in range(8):
-            found, low, low_keys = [], None, None
-            for key, count in by_depth:
-                node = key >> _U(8 - k)
-                at = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-                node = node[at]
-                total = np.add.reduceat(count, at).astype(float)
-                ones = np.add.reduceat(count * (key >> _U(7 - k) & _U(1)).astype(np.int64), at).astype(float)
-                log_pw, own = log_kt(total - ones, ones), np.ones(len(node))
-                if low is not None:
-                    mask = _U((1 << k) - 1)
-                    parent = ((low_keys >> _U(k + 8)) << _U(k)) | (low_keys & mask)
-                    log_pw, own = weighted(log_pw, np.bincount(np.searchsorted(node, parent), low, len(node)))
-                found.append((node, (ones + 0.5) / (total + 1), own))
-                low, low_keys = log_pw, node
-            self.levels.append(found)
-            self.tops.append((node, total - ones, ones, log_pw))
+        self.depths = [(keys, n)]  # runs and counts with DEPTH down to 2 bytes of context
+        for _ in range(DEPTH - 2):
+            k, c = self.depths[-1]
+            self.depths.append(summed(((k >> _U(16)) << _U(8)) | (k & _U(255)), c))
+
+    def levels(self, k: int) -> tuple[list[tuple], np.ndarray, tuple]:
+        """Of bit k: by depth from DEPTH down to 3, (chance of a one, own weight, place of the parent); the deepest node of each run; depth 2."""
+        found, low, low_keys = [], None, None
+        for key, count in self.depths:
+            node = key >> _U(8 - k)
+            new = np.append(True, node[1:] != node[:-1])
+            at = np.flatnonzero(new)
+            if low is None:
+                place = np.cumsum(new) - 1
+            node = node[at]
+            total = np.add.reduceat(count, at).astype(float)
+            ones = np.add.reduceat(count * (key >> _U(7 - k) & _U(1)).astype(np.int64), at).astype(float)
+            log_pw, own = log_kt(total - ones, ones), np.ones(len(node))
+            if low is not None:
+                parent = ((low_keys >> _U(k + 8)) << _U(k)) | (low_keys & _U((1 << k) - 1))
+                up = np.searchsorted(node, parent)
+                found[-1] = (*found[-1], up)
+                log_pw, own = weighted(log_pw, np.bincount(up, low, len(node)))
+            found.append(((ones + 0.5) / (total + 1), own))
+            low, low_keys = log_pw, node
+        return found, place, (node, total - ones, ones, log_pw)
 
     def upwards(self) -> pa.Table:
         """(c1, node, zeros, ones, log_pw): sums of the nodes of depth 2 over c2; node: the heap number of the bits so far."""
         rows = []
-        for k, (node, zeros, ones, log_pw) in enumerate(self.tops):
+        for k in range(8):
+            node, zeros, ones, log_pw = self.levels(k)[2]
             c1 = (node >> _U(k + 8)) & _U(255)
             heap = (node & _U((1 << k) - 1)) | _U(1 << k)
             flat = (c1 << _U(8) | heap).astype(np.int64)
@@ -128,20 +211,24 @@ class Subtree:
         flat, zeros, ones, log_pw = (np.concatenate(v) for v in zip(*rows))
         return pa.table({"c1": pa.array((flat >> 8).astype(np.int32)), "node": pa.array((flat & 255).astype(np.int32)), "zeros": zeros, "ones": ones, "log_pw": log_pw})
 
-    def bits(self, keys: np.ndarray, top: dict) -> np.ndarray:
+    def bits(self, top: dict) -> np.ndarray:
         """Code length of each run's last byte."""
+        keys = self.depths[0][0]
         out = np.zeros(len(keys))
-        c1, b = (keys >> _U(32)).astype(np.int64), (keys & _U(255)).astype(np.int64)
         for k in range(8):
-            p = None
-            for d, (node, one, own) in zip(range(DEPTH, 1, -1), self.levels[k]):
-                key = (((keys >> _U(8 + 8 * (DEPTH - d))) << _U(8)) | (keys & _U(255))) >> _U(8 - k)
-                at = np.searchsorted(node, key)
-                p = one[at] if p is None else own[at] * one[at] + (1 - own[at]) * p
-            heap = (1 << k) | (b >> (8 - k))
-            p = top["own1"][c1, heap] * top["one1"][c1, heap] + (1 - top["own1"][c1, heap]) * p
-            p = top["own0"][heap] * top["one0"][heap] + (1 - top["own0"][heap]) * p
-            out -= np.log2(np.where(b >> (7 - k) & 1, p, 1 - p))
+            found, place, (node, *_) = self.levels(k)
+            c1, heap = (node >> _U(k + 8) & _U(255)).astype(np.int64), (node & _U((1 << k) - 1) | _U(1 << k)).astype(np.int64)
+            # of the mixture down to a node: the sum so far, and the weight left to deeper nodes
+            p, left = (top["own0"] * top["one0"])[heap], (1 - top["own0"])[heap]
+            own, one = top["own1"][c1, heap], top["one1"][c1, heap]
+            p, left = p + left * own * one, left * (1 - own)
+            for i, (one, own, *_) in reversed(list(enumerate(found))):
+                if i < len(found) - 1:
+                    up = found[i][2]
+                    p, left = p[up], left[up]
+                p, left = p + left * own * one, left * (1 - own)
+            p = p[place]
+            out -= np.log2(np.where(keys >> _U(7 - k) & _U(1), p, 1 - p))
         return out
 
 
@@ -158,33 +245,34 @@ def top_of(rows: pa.Table) -> dict:
     return {"one1": (ones + 0.5) / (zeros + ones + 1), "own1": own1, "one0": (ones0 + 0.5) / (zeros0 + ones0 + 1), "own0": own0}
 
 
-def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """The values of asked, all of which are in keys (sorted): by a hashed slot, or by binary search where slots clash."""
-    bits = max(int(len(keys)).bit_length() + 2, 4)
-    shift = _U(64 - bits)
-    odd = _U(0x9E3779B97F4A7C15)
-    slot = keys * odd >> shift
-    who, what = np.full(1 << bits, ~_U(0)), np.zeros(1 << bits)  # no run has eight bytes
-    who[slot] = keys
-    mine = who[slot] == keys
-    what[slot[mine]] = values[mine]
-    at = asked * odd >> shift
-    out = what[at]
-    clash = np.flatnonzero(who[at] != asked)
-    if len(clash):
-        out[clash] = values[np.searchsorted(keys, asked[clash])]
-    return out
+class Lookup:
+    """Values by key, all of which are asked for by keys that are there: by a hashed slot, or by binary search where slots clash."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift, self.odd = _U(64 - max(len(keys).bit_length() + 1, 4)), _U(0x9E3779B97F4A7C15)
+        self.at = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.at[keys * self.odd >> self.shift] = np.arange(len(keys), dtype=np.int32)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        at = self.at[asked * self.odd >> self.shift]
+        clash = np.flatnonzero(self.keys[at] != asked)
+        at[clash] = np.searchsorted(self.keys, asked[clash])
+        return self.values[at]
 
 
-def _scored(docs: pa.Table, costs: pa.Table) -> pa.Table:
-    run = costs.column("run").to_numpy().view(_U)
-    order = np.argsort(run)
-    run, bits = run[order], costs.column("bits").to_numpy()[order]
+def _scored(docs: pa.Table, costs: pa.Table, buckets: int) -> pa.Table:
+    run = _only_runs(docs)
+    bits = np.zeros(len(run), np.float32)
+    rows = dict(zip(costs.column("bucket").to_pylist(), costs.column("bits").to_pylist()))
+    for i, at in _by_bucket(run, buckets):
+        bits[at] = unpacked(rows[i], len(at), np.float32)
+    of = Lookup(run, bits)
     out = []
     for batch in docs.combine_chunks().to_batches():
-        for block in C.blocks(batch, "text", 4 << 20):
+        for block in C.blocks(batch, "text", 1 << 20):
             buf, off = C.text_buffer(block.column("text"))
-            each = lookup(run, bits, runs(buf, off)) if len(buf) else np.zeros(0)
+            each = of(runs(buf, off)).astype(float) if len(buf) else np.zeros(0)
             at = np.minimum(off[:-1], max(len(buf) - 1, 0))
             size = np.diff(off)
             total = np.where(size > 0, np.add.reduceat(each, at) if len(buf) else 0.0, 0.0)
@@ -209,25 +297,24 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(C.own(docs, "doc_id").cast("long").alias("doc_id"), C.own(docs, "text").alias("text"))
     n = C.parts(spark)
     docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    asked = C.kept(docs.groupBy("part").applyInArrow(_counted, "part int, run long, n long"), "runs")
-    # runs with the same two nearest bytes are weighted together
-    bucket = F.pmod(F.xxhash64(F.shiftright("run", 24)), F.lit(n)).cast("int")
-    model = C.kept(asked.groupBy("run").agg(F.sum("n").alias("n")).withColumn("bucket", bucket), "run-counts")
+    asked = docs.groupBy("part").applyInArrow(_asked(n), "part int, bucket int, size long, runs binary, counts binary")
+    model = C.kept(asked.groupBy("bucket").agg(F.collect_list(F.struct("part", "size", "runs", "counts")).alias("asks")), "runs")
 
-    def sorted_runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return summed(table.column("run").to_numpy().view(_U), table.column("n").to_numpy())
+    def ups(batches):
+        for _, _, _, keys, count in _gathered(batches):
+            yield from Subtree(keys, count).upwards().to_batches()
 
-    ups = model.groupBy("bucket").applyInArrow(lambda t: Subtree(*sorted_runs(t)).upwards(), "c1 int, node int, zeros double, ones double, log_pw double")
-    rows = ups.groupBy("c1", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")))
+    rows = model.mapInArrow(ups, "c1 int, node int, zeros double, ones double, log_pw double").groupBy("c1", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")))
     sent = spark.sparkContext.broadcast(top_of(rows.toArrow()))  # at most 256 * 255 rows, for any corpus
 
-    def costed(table: pa.Table) -> pa.Table:
-        k, c = sorted_runs(table)
-        return pa.table({"run": pa.array(k.view(np.int64)), "bits": pa.array(Subtree(k, c).bits(k, sent.value))})
+    def costed(batches):
+        for bucket, asks, each, keys, count in _gathered(batches):
+            bits = Subtree(keys, count).bits(sent.value).astype(np.float32)
+            for a in asks:
+                yield pa.RecordBatch.from_pydict({"part": pa.array([a["part"]], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "bits": pa.array([packed(bits[np.searchsorted(keys, each(a))])], pa.binary())})
 
-    costs = model.groupBy("bucket").applyInArrow(costed, "run long, bits double")
-    own = asked.select("part", "run").join(costs, "run").select("part", "run", "bits")
-    return docs.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(_scored, "doc_id long, n_bytes long, bits double, bits_per_byte double")
+    costs = model.mapInArrow(costed, "part int, bucket int, bits binary")
+    return docs.groupBy("part").cogroup(costs.groupBy("part")).applyInArrow(lambda d, c: _scored(d, c, n), "doc_id long, n_bytes long, bits double, bits_per_byte double")
 
 
 def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:

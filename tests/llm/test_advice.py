@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import lines
+import numpy as np
+import pyarrow as pa
+
+from lumenframe.llm import ctw, lines
 
 HEAD = "one header line that every listing repeats"
 
@@ -18,3 +21,9 @@ def test_documents_keep_what_is_left(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.stage(spark, docs, "").collect()}
     assert got == {0: HEAD, 1: "- own", 3: None, 4: ""}
+
+
+def test_ctw_tells_order_beyond_five_bytes():
+    text = lambda tail: np.frombuffer(tail, np.uint8)
+    a, b = (ctw.runs(text(t), np.array([0, len(t)]))[-1] for t in (b"xabcdef!", b"yabcdef!"))
+    assert a != b
