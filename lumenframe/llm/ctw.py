@@ -273,9 +273,11 @@ def _scored(docs: pa.Table, costs: pa.Table, buckets: int) -> pa.Table:
         for block in C.blocks(batch, "text", 1 << 20):
             buf, off = C.text_buffer(block.column("text"))
             each = of(runs(buf, off)).astype(float) if len(buf) else np.zeros(0)
-            at = np.minimum(off[:-1], max(len(buf) - 1, 0))
             size = np.diff(off)
-            total = np.where(size > 0, np.add.reduceat(each, at) if len(buf) else 0.0, 0.0)
+            some = size > 0  # reduceat needs the starts of texts that hold bytes
+            total = np.zeros(len(size))
+            if len(buf):
+                total[some] = np.add.reduceat(each, off[:-1][some])
             none = block.column("text").is_null().to_numpy(zero_copy_only=False)
             with np.errstate(invalid="ignore", divide="ignore"):
                 per = total / size

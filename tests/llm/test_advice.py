@@ -27,3 +27,15 @@ def test_ctw_tells_order_beyond_five_bytes():
     text = lambda tail: np.frombuffer(tail, np.uint8)
     a, b = (ctw.runs(text(t), np.array([0, len(t)]))[-1] for t in (b"xabcdef!", b"yabcdef!"))
     assert a != b
+
+
+def test_ctw_texts_before_an_empty_one(spark):
+    texts = ["abc", "abc", "", None, "abc", ""]
+    for rows in (texts, texts[:2] + texts[4:5]):
+        docs = spark.createDataFrame([(0, t) for t in rows], "doc_id long, text string").repartition(1)
+        got = [r.bits for r in ctw.score(docs).collect() if r.n_bytes]
+        assert len(got) == 3 and max(got) - min(got) < 1e-9
+    run, cost = ctw._distinct(pa.table({"text": ["abc"]}))[0], np.array([1.0, 2.0, 3.0])
+    packs = pa.table({"bucket": [i for i, _ in ctw._by_bucket(run, 1)], "bits": [ctw.packed(cost[at].astype(np.float32)) for _, at in ctw._by_bucket(run, 1)]})
+    made = ctw._scored(pa.table({"doc_id": [1, 2], "text": ["abc", ""]}), packs, 1)
+    assert made["bits"].to_pylist() == [6.0, 0.0]
