@@ -4,7 +4,8 @@ Every assignment operator (=, :=, =>, :) of a text is lexed into a name before
 it and an expression after it, in the syntaxes of programs, INI, YAML, JSON,
 shell and environment files: quoted and triple-quoted strings, bare values,
 adjacent and added strings, names of earlier assignments and ${NAME}
-references, whose constants are propagated. A literal is scored by how
+references, whose constants are propagated. A quoted literal that isn't
+reported is lexed itself for the assignments in it. A literal is scored by how
 sensitive its target's name is and by its own shape. Literals in the format of
 a known provider count wherever they stand, with or without a name.
 """
@@ -12,7 +13,7 @@ a known provider count wherever they stand, with or without a name.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from math import log2
 
 import pyarrow as pa
@@ -85,9 +86,33 @@ def literal_score(value: str) -> float:
     return score
 
 
+def rated(name: str, value: str, quoted: bool) -> float | None:
+    """The score of a literal with its target's name, if it is reported."""
+    score, own = name_score(name), literal_score(value)
+    if quoted and score >= 5 and own == 0 and value.isalpha() and value.islower():
+        own = 1.0  # a quoted word under a password's name
+    return round(score + own, 2) if (score >= 2 and score + own >= THRESHOLD) or own >= THRESHOLD else None
+
+
+def _unescaped(text: str, start: int, end: int) -> tuple[str, list[int] | range]:
+    """The characters of a quoted literal's span without its escapes, and the place of each and of the end."""
+    if "\\" not in text[start:end]:
+        return text[start:end], range(start, end + 1)
+    out, places, at = [], [], start
+    while at < end:
+        places.append(at)
+        if text[at] == "\\" and at + 1 < end:
+            out.append({"n": "\n", "t": "\t"}.get(text[at + 1], text[at + 1]))
+            at += 2
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out), [*places, end]
+
+
 class _Lexer:
-    def __init__(self, text: str):
-        self.text, self.constants = text, {}
+    def __init__(self, text: str, constants=None):
+        self.text, self.constants = text, {} if constants is None else constants
 
     def name_before(self, at: int) -> tuple[str, int] | None:
         low = at
@@ -147,7 +172,7 @@ class _Lexer:
         return "".join(out), start, end
 
     def pairs(self):
-        """(name, literal, start, end) of all assignments, in order."""
+        """(name, literal, start, end, score or None) of all assignments; those in a quoted literal that isn't reported come after it."""
         at = 0
         for m in _OPERATOR.finditer(self.text):
             if m.start() < at:
@@ -161,20 +186,31 @@ class _Lexer:
             value, start, end = got
             short = named[0].rsplit(".", 1)[-1]
             self.constants[named[0]] = self.constants[short] = got
+            first = _STRING.match(self.text, start)
+            score = rated(named[0], value, first is not None)
+            yield named[0], value, start, end, score
             if self.text[start : start + 1] in "\"'`":
                 at = end
-            yield named[0], value, start, end
+                if score is None:
+                    yield from self.inside(start, end)
+
+    def inside(self, start: int, end: int):
+        """The pairs in the quoted literals of an expression; their names are unknown outside."""
+        for m in _STRING.finditer(self.text, start, end):
+            q = 3 if m.group(1)[:3] in ('"""', "'''") else 1
+            body, places = _unescaped(self.text, m.start(1) + q, m.end(1) - q)
+            if "=" in body or ":" in body:
+                for name, value, a, b, score in _Lexer(body, ChainMap({}, self.constants)).pairs():
+                    yield name, value, places[a], places[b], score
 
 
 def secrets(text: str) -> list[tuple[str | None, str, int, int, float]]:
     """(name, literal, start, end, score) of all secrets in a text, in order. Spans are of the expressions, in characters."""
     out, covered = [], []
     if "=" in text or ":" in text:
-        for name, value, start, end in _Lexer(text).pairs():
-            score = name_score(name)
-            own = literal_score(value)
-            if (score >= 2 and score + own >= THRESHOLD) or own >= THRESHOLD:
-                out.append((name, value, start, end, round(score + own, 2)))
+        for name, value, start, end, score in _Lexer(text).pairs():
+            if score is not None:
+                out.append((name, value, start, end, score))
                 covered.append((start, end))
     if any(h in text for h in _HINTS):
         for m in _KNOWN.finditer(text):

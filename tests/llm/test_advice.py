@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from lumenframe.llm import ctw, lines
+from lumenframe.llm import ctw, lines, secrets
 
 HEAD = "one header line that every listing repeats"
 
@@ -39,3 +40,19 @@ def test_ctw_texts_before_an_empty_one(spark):
     packs = pa.table({"bucket": [i for i, _ in ctw._by_bucket(run, 1)], "bits": [ctw.packed(cost[at].astype(np.float32)) for _, at in ctw._by_bucket(run, 1)]})
     made = ctw._scored(pa.table({"doc_id": [1, 2], "text": ["abc", ""]}), packs, 1)
     assert made["bits"].to_pylist() == [6.0, 0.0]
+
+
+@pytest.mark.parametrize(
+    ("text", "name", "value"),
+    [
+        ('conn = "Server=db;Password=Xy12ab34"', "Password", "Xy12ab34"),
+        ('command: "mysql --password=S3cr3tPa55"', "password", "S3cr3tPa55"),
+        ('config = """\nuser: bob\npassword: hunter2hunter\n"""\nx = 1', "password", "hunter2hunter"),
+        ('body = "{\\"client_secret\\": \\"Zx8!kd93ksLq\\"}"', "client_secret", "Zx8!kd93ksLq"),
+        ("env = `TOKEN='a1b2c3d4e5f6a7b8'`", "TOKEN", "a1b2c3d4e5f6a7b8"),
+        ('password = "letmeinplease"', "password", "letmeinplease"),
+    ],
+)
+def test_secrets_in_quoted_text(text, name, value):
+    ((n, v, start, stop, _),) = secrets.secrets(text)
+    assert (n, v) == (name, value) and value in text[start:stop]
