@@ -6,6 +6,8 @@ import os
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -14,6 +16,12 @@ def test_queries_without_a_session():
     subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
+@pytest.mark.parametrize("hidden", ["lumenframe.llm", "ahocorasick", "regex", "xxhash", "corpus_pipeline"])
+def test_queries_where_something_cannot_be_imported(hidden):
+    code = f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_workers_import_the_package_from_any_folder(tmp_path):
     code = f"""
 import sys; sys.path.insert(0, {ROOT!r})
