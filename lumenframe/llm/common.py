@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lumenframe.session import ship
 
@@ -55,14 +55,52 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables written in each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables kept within are removed at the end, unless they are kept with out=True: those belong to the scope around, if any."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
+
+
+def kept(df: DataFrame, name: str, out: bool = False) -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenframe/{name}-{uuid.uuid4().hex}"
+    open_scopes = _SCOPES[:-1] if out else _SCOPES
+    if open_scopes:
+        open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows(docs: DataFrame, **added: Column) -> DataFrame:
+    """docs as one column of structs, named row, beside others: joins and aggregates on these can't clash with columns of docs."""
+    return docs.select(F.struct(*(own(docs, c).alias(c) for c in docs.columns)).alias("row"), *(v.alias(k) for k, v in added.items()))
+
+
+def unpacked(made: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of rows()."""
+    return made.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+
+    def plain(f: T.StructField) -> Column:
+        return F.to_json(F.struct(own(docs, f.name).alias("c"))) if "map<" in f.dataType.simpleString() else own(docs, f.name)
+
+    return F.xxhash64(*(plain(f) for f in docs.schema.fields))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -79,7 +117,7 @@ def own(df: DataFrame, name: str) -> Column:
 def mapped(df: DataFrame, run, added: str = "") -> DataFrame:
     """df.mapInArrow(run) for a function that returns all columns of df and those added, also where names hold dots."""
     names = df.columns
-    plain = df.toDF(*(c if c.replace("_", "a").isalnum() else f"lf_column_{i}" for i, c in enumerate(names)))
+    plain = df.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)))
     extra = schema(added).fields if added else []
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *extra])).toDF(*names, *(f.name for f in extra))
 
@@ -185,18 +223,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Alternating large-star and small-star steps (Kiverics et al., "Connected
     Components in MapReduce and Beyond"), each written to the shared folder;
     the number of rounds is logarithmic and nothing is gathered on the driver.
+    Least neighbours are partial aggregates, joined back, so that a node with
+    very many neighbours is no single task's group.
     """
-    now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges")
-    seen = None
-    while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), "u"))
-        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = down.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = kept(small.where("u <> v").distinct(), f"{name}-star")
-        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if sign == seen:
-            break
-        seen = sign
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    least = lambda e: e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+    with scope(edges.sparkSession):
+        now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges")
+        seen = None
+        while True:
+            both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+            down = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+            now = kept(least(large).select(down.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), f"{name}-star")
+            sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if sign == seen:
+                break
+            seen = sign
+        roots = now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
+        return kept(now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots), f"{name}-roots", out=True)
