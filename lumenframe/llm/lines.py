@@ -1,11 +1,12 @@
 """Line dedup: segment-partition edit join over all lines of the corpus.
 
-Two lines are near copies if at most EDITS byte edits turn one into the other.
-Lengths fall into buckets; in each bucket a line has EDITS + 1 disjoint
-segments of one length, the first ones placed from its start and the last ones
-from its end. If two lines are near copies, some segment i lies unchanged in
-the other line, moved by at most min(i, EDITS - i) bytes from the same anchor
-(the multi-match-aware selection of pass-join), so that probing these few
+Two lines are near copies if so many byte edits turn one into the other as
+allowed() has for the shorter one. Lengths fall into buckets; in each bucket a
+line has one segment more than edits, all disjoint and of one length, the
+first ones placed from its start and the last ones from its end. If two lines
+are near copies, some segment i of the shorter lies unchanged in the other
+line, moved by at most min(i, edits - i) bytes from the same anchor (the
+multi-match-aware selection of pass-join), so that probing these few
 substrings of every line in the bucket's segment index finds every pair.
 Pairs are then pruned by a signature of byte parities, which no edit changes
 in more than two bits, and verified by a banded bit-parallel edit distance.
@@ -16,22 +17,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenframe.llm import common as C
 
-EDITS = 2
-#: Shorter lines (bytes) have no near copies.
+#: Edits (bytes) of lines of MIN_BYTES to 4 * STEP_BYTES - 1 bytes; one more for each fourfold length.
+EDITS, STEP_BYTES = 2, 48
+#: Shorter lines (bytes) have no near copies, only exact ones: an edit may make another line of them.
 MIN_BYTES = 24
-#: The pipeline judges lines from this length (bytes) on, those under MIN_BYTES for exact repeats only.
-ALL_BYTES = 1
 #: In keys with more entries than this the pairs are looked up by signature parts, too.
 DENSE = 32
 #: As many distinct ids are sent to all executors at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_LAST = (1 << 63) - 1
 
 _BIT = np.zeros(256, np.uint64)
 for _b in range(256):
@@ -39,29 +37,37 @@ for _b in range(256):
     _BIT[_b] = np.uint64(1) << np.uint64(_at * 5 % 64)  # 5 and 64 are coprime: neighbours spread out
 
 
+def allowed(size: int, edits: int = EDITS) -> int:
+    """Edits of near copies of a line of so many bytes, the shorter of the two."""
+    return 0 if size < MIN_BYTES else edits + max(0, (size // STEP_BYTES).bit_length() - 1) // 2
+
+
 def bucket_starts(longest: int) -> list[int]:
-    """Least lengths of the buckets up to longest."""
+    """Least lengths of the buckets up to longest; all lines of a bucket may have equally many edits."""
     out = [MIN_BYTES]
     while out[-1] <= longest:
-        out.append(max(out[-1] + 8, out[-1] * 23 // 20))
+        to, turn = max(out[-1] + 8, out[-1] * 23 // 20), 4 * STEP_BYTES
+        while turn <= out[-1]:
+            turn *= 4
+        out.append(turn if out[-1] < turn < to + 8 else to)
     return out
 
 
 def _line_rows(edits: int, least: int):
     x = lambda b: xxhash.xxh64_intdigest(b, 42)  # noqa: E731  equals Spark's xxhash64
     y = lambda b, s: xxhash.xxh3_64_intdigest(b, s)
-    half = edits // 2
 
     def keys(line: bytes, n: int, k: int, base: int) -> tuple[list[int], list[int]]:
-        """Index and probe keys of a line in bucket k, whose lines have base bytes at least."""
-        g = base // (edits + 1)
+        """Index and probe keys of a line in bucket k, whose lines have base bytes at least; their last four bits are the edits."""
+        e = allowed(base, edits)
+        g = base // (e + 1)
         index, probes = [], []
-        for i in range(edits + 1):
-            at, reach = (i * g, i) if i <= half else (n - (edits - i + 1) * g, edits - i)
+        for i in range(e + 1):
+            at, reach = (i * g, i) if i <= e // 2 else (n - (e - i + 1) * g, e - i)
             seed = k * 64 + i
             for shift in range(-reach, reach + 1):
                 if 0 <= at + shift <= n - g:
-                    (probes if shift else index).append(y(line[at + shift : at + shift + g], seed))
+                    (probes if shift else index).append(y(line[at + shift : at + shift + g], seed) & ~15 | e)
         return index, probes
 
     def run(batches):
@@ -88,33 +94,38 @@ def _line_rows(edits: int, least: int):
                 if tail.any():
                     signs[tail] ^= np.where(starts[long][tail] < len(buf) - 1, _BIT[buf[-1]], np.uint64(0))
                 raw = buf.tobytes()
-                while bounds[-1] <= size.max() + edits:
+                tids = [x(raw[a:b]) for a, b in zip(off[:-1], off[1:])]
+                while bounds[-1] <= size.max() + 16:
                     bounds = bucket_starts(2 * bounds[-1])
                 at_bucket = np.searchsorted(bounds, size[long], "right") - 1
-                ids, ids2, found, counts, own_keys = [], [], [], [], []
+                ids, ids2, indexed, probed, seen = [], [], [], [], set()
+                n_index, n_probes = [], []
                 for s, e, k in zip(starts[long].tolist(), ends[long].tolist(), at_bucket.tolist()):
                     line, n = raw[s:e], e - s
-                    ids.append(x(line))
+                    name = x(line)
+                    ids.append(name)
                     ids2.append(y(line, 7))
-                    if k < 0:  # under MIN_BYTES: no segments
-                        counts.append(0)
+                    if k < 0 or name in seen:  # without near copies, or with its keys here already
+                        n_index.append(0)
+                        n_probes.append(0)
                         continue
+                    seen.add(name)
                     index, probes = keys(line, n, k, bounds[k])
-                    for j, edge in ((k - 1, bounds[k] + edits), (k + 1, None)):
-                        if (j >= 0 and n < edge) if edge is not None else n + edits >= bounds[j]:
-                            a, b = keys(line, n, j, bounds[j])
-                            probes += a + b
-                    own_keys += index
-                    own_keys += probes
-                    counts.append(len(index) + len(probes))
+                    if k and n < bounds[k] + allowed(bounds[k - 1], edits):
+                        a, b = keys(line, n, k - 1, bounds[k - 1])
+                        probes += a + b
+                    indexed += index
+                    probed += probes
+                    n_index.append(len(index))
+                    n_probes.append(len(probes))
                 to64 = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                listed = lambda n, v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), to64(v))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(pa.array(owner[long])), pa.array(number[long].astype(np.int32)), to64(ids), to64(ids2),
-                        pa.array(size[long].astype(np.int32)), pa.array(signs.view(np.int64)), pa.ListArray.from_arrays(offsets, to64(own_keys)),
+                        part.column("doc_id").take(pa.array(owner[long])), to64(tids).take(pa.array(owner[long])), pa.array(number[long].astype(np.int32)), to64(ids), to64(ids2),
+                        pa.array(size[long].astype(np.int32)), pa.array(signs.view(np.int64)), listed(n_index, indexed), listed(n_probes, probed),
                     ],
-                    names=["doc_id", "line_no", "id", "id2", "size", "sign", "keys"],
+                    names=["doc_id", "tid", "line_no", "id", "id2", "size", "sign", "indexed", "probed"],
                 )
 
     return run
@@ -173,33 +184,42 @@ def _verified(edits: int):
     def run(batches):
         for batch in batches:
             a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            keep = [within(p.encode(), q.encode(), edits) for p, q in zip(a, b)]
+            both = [(p.encode(), q.encode()) for p, q in zip(a, b)]
+            keep = [within(p, q, allowed(min(len(p), len(q)), edits)) for p, q in both]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _signature_parts(sign: Column, edits: Column, most: int) -> Column:
+    """Hashes of 2 * edits + 1 parts of a signature."""
+    out = F.lit(None).cast("array<long>")
+    for e in range(most + 1):
+        masks = [sum(1 << b for b in range(64) if b % (2 * e + 1) == j) for j in range(2 * e + 1)]
+        masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+        out = F.when(edits == e, F.array(*(F.xxhash64(F.lit(j), sign.bitwiseAND(F.lit(m))) for j, m in enumerate(masks)))).otherwise(out)
+    return out
+
+
 def near_pairs(lines: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
-    """(a, b) with a < b: ids of all pairs of different lines within so many edits. lines: one row of each id."""
-    spark = lines.sparkSession
-    rows = lines.select("id", "size", "sign", F.posexplode("keys").alias("at", "key")).select("key", "id", "size", "sign", (F.col("at") <= edits).alias("indexed"))
-    over = Window.partitionBy("key")
-    shared = C.kept(
-        rows.withColumns({"n": F.count("*").over(over), "low": F.min("id").over(over), "high": F.max("id").over(over), "any": F.max("indexed").over(over)})
-        .where("n > 1 and low <> high and any")
-        .select("key", "id", "size", "sign", "indexed", (F.col("n") > DENSE).alias("dense")),
-        "shared-segments",
-    )
-    chunks = 2 * edits + 1
-    masks = [sum(1 << b for b in range(64) if b % chunks == j) for j in range(chunks)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    """(a, b) with a < b: ids of all pairs of different lines that are near copies. lines: some rows of each id, one with its keys at least.
+
+    Of each key its least and largest id are partial aggregates; only keys
+    that different lines share go on to the join, so that no key, however
+    common, is gathered in one task before that.
+    """
+    each = lambda c, indexed: lines.select(F.explode(c).alias("key"), "id", "size", "sign", F.lit(indexed).alias("indexed"))
+    keyed = each("indexed", True).unionByName(each("probed", False))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("any")).where("low <> high and any")
+    shared = C.kept(keyed.join(shared.select("key", "n"), "key").distinct().withColumn("edits", F.col("key").bitwiseAND(F.lit(15))), "shared-segments")
+    most = shared.agg(F.max("edits")).first()[0] or 0
     # signatures of near copies differ in at most 2 * edits bits: of one bit more parts, one is equal
-    sub = F.when(F.col("dense"), F.array(*(F.xxhash64(F.lit(j), F.col("sign").bitwiseAND(F.lit(m))) for j, m in enumerate(masks)))).otherwise(F.array(F.lit(0).cast("long")))
+    sub = F.when(F.col("n") > DENSE, _signature_parts(F.col("sign"), F.col("edits"), most)).otherwise(F.array(F.lit(0).cast("long")))
     shared = shared.withColumn("sub", F.explode(sub))
-    p = shared.where("indexed").select("key", "sub", F.col("id").alias("p"), F.col("size").alias("p_size"), F.col("sign").alias("p_sign"))
+    p = shared.where("indexed").select("key", "sub", "edits", F.col("id").alias("p"), F.col("size").alias("p_size"), F.col("sign").alias("p_sign"))
     q = shared.select("key", "sub", F.col("id").alias("q"), F.col("size").alias("q_size"), F.col("sign").alias("q_sign"))
-    alike = F.abs(F.col("p_size") - F.col("q_size")) <= edits
-    near = F.bit_count(F.col("p_sign").bitwiseXOR(F.col("q_sign"))) <= 2 * edits
+    alike = F.abs(F.col("p_size") - F.col("q_size")) <= F.col("edits")
+    near = F.bit_count(F.col("p_sign").bitwiseXOR(F.col("q_sign"))) <= 2 * F.col("edits")
     pairs = p.join(q, ["key", "sub"]).where((F.col("p") != F.col("q")) & alike & near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     pairs = C.kept(pairs, "line-pairs")
     wanted = C.kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
@@ -211,59 +231,62 @@ def near_pairs(lines: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
     return both.mapInArrow(_verified(edits), "a long, b long")
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, line_no, id, judged, gone): each judged line's occurrence; gone if a copy or near copy of it comes earlier.
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = 1) -> DataFrame:
+    """(doc_id, tid, line_no): the lines that a copy or near copy comes before; tid is the hash of their text.
 
     Occurrences are ordered by (doc_id, line_no), null ids last. Of equal
-    lines the first stays. If a different line within so many edits has an
-    earlier first occurrence, all occurrences go.
+    lines the first stays. If a near copy has an earlier first occurrence, all
+    occurrences go, whether or not that near copy itself stays: of A, B and C,
+    in this order, where B is near to A and C to B but not to A, only A stays.
     """
-    C.arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    C.arrow_batches(spark)
     docs = docs.select(C.own(docs, "doc_id").alias("doc_id"), C.own(docs, "text").alias("text"))
-    found = docs.mapInArrow(_line_rows(edits, least), "doc_id long, line_no int, id long, id2 long, size int, sign long, keys array<long>")
-    place = [F.col("doc_id").asc_nulls_last(), F.col("line_no")]
-    over = Window.partitionBy("id", "id2").orderBy(*place)
-    lines = found.withColumns({"nth": F.rank().over(over), "row": F.row_number().over(over)})
-    lines = lines.withColumn("keys", F.when(F.col("row") == 1, F.col("keys")))
-    lines = C.kept(lines, "lines")
-    pairs = near_pairs(lines.where("row = 1").select("id", "size", "sign", "keys"), docs, edits)
-    first = lines.where("row = 1").select("id", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "line_no", "id").alias("first"))
-    ends = pairs.join(first.withColumnsRenamed({"id": "a", "first": "first_a"}), "a").join(first.withColumnsRenamed({"id": "b", "first": "first_b"}), "b")
-    later = C.kept(ends.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "later-lines").withColumn("near", F.lit(True))
-    return lines.select("doc_id", "line_no", "id", "nth").join(later, "id", "left").select("doc_id", "line_no", "id", ((F.col("nth") > 1) | F.col("near").isNotNull()).alias("gone"))
-
-
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
+    with C.scope(spark):
+        found = docs.mapInArrow(_line_rows(edits, least), f"doc_id {kind}, tid long, line_no int, id long, id2 long, size int, sign long, indexed array<long>, probed array<long>")
+        found = C.kept(found, "lines")
+        firsts = C.kept(found.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-lines")
+        pairs = C.kept(near_pairs(found.where("size(indexed) > 0"), docs, edits), "near-lines")
+        first = firsts.select("id", "first")
+        ends = pairs.join(first.withColumnsRenamed({"id": "a", "first": "first_a"}), "a").join(first.withColumnsRenamed({"id": "b", "first": "first_b"}), "b")
+        later = ends.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("near", F.lit(True))
+        hits = firsts.join(later, "id", "left").where("n > 1 or near").select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        gone = found.select("doc_id", "tid", "line_no", "id", "id2").join(hits, ["id", "id2"]).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
+        return C.kept(gone.select("doc_id", "tid", "line_no"), "gone-lines", out=True)
+
+
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = 1) -> DataFrame:
     """docs with text cleaned, and lf_judged and lf_gone: counts of judged and of removed lines.
 
     Needs doc_id and text. Lines are what newlines separate; a line under
-    least bytes is not judged and stays; one under MIN_BYTES bytes goes as an
-    exact repeat only. Edits are counted in bytes of UTF-8. A null text stays null and an empty one empty, with 0 judged lines;
-    null ids come last in the order; rows that repeat a doc_id and a text get
-    equal results; where different texts share a doc_id, equal line numbers
-    count as equal places. Long texts and lines are taken whole; empty docs
-    give no rows. Other columns pass unchanged; columns named lf_judged or
-    lf_gone are replaced.
+    least bytes (by default an empty one) is not judged and stays; one under
+    MIN_BYTES bytes goes as an exact repeat only. Edits are counted in bytes
+    of UTF-8. A null text stays null and an empty one empty, with 0 judged
+    lines; null ids come last in the order; rows that repeat a doc_id and a
+    text get equal results; where different texts share a doc_id, equal line
+    numbers count as equal places. Long texts and lines are taken whole; empty
+    docs give no rows. Other columns pass unchanged, whatever their names;
+    columns named lf_judged or lf_gone are replaced.
     """
     docs = docs.drop("lf_judged", "lf_gone")
-    marks = dropped_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_set(F.when(F.col("gone"), F.struct("line_no", "id"))).alias("lf_gone_lines"))
-    marks = marks.where(F.size("lf_gone_lines") > 0).withColumnRenamed("doc_id", "lf_doc_id")
-    lines = F.split(C.own(docs, "text"), "\n", -1)
-    with_lines = docs.join(marks.hint("shuffle_hash"), C.own(docs, "doc_id").eqNullSafe(F.col("lf_doc_id")), "left")
-    is_gone = lambda x, i: F.array_contains("lf_gone_lines", F.struct(i.alias("line_no"), F.xxhash64(x).alias("id")))
-    stay = F.filter(lines, lambda x, i: ~((F.octet_length(x) >= least) & is_gone(x, i)))
-    judged = F.size(F.filter(lines, lambda x: F.octet_length(x) >= least))
-    made = with_lines.withColumns(
-        {
-            "lf_stay": F.when(F.col("lf_gone_lines").isNotNull(), stay),
-            "lf_judged": F.when(C.own(docs, "text").isNull(), 0).otherwise(judged),
-        }
-    )
-    return made.select(
-        *(F.when(F.col("lf_stay").isNotNull(), F.array_join("lf_stay", "\n")).otherwise(C.own(docs, c)).alias(c) if c == "text" else C.own(docs, c) for c in docs.columns),
-        "lf_judged",
-        F.when(F.col("lf_stay").isNotNull(), F.size(lines) - F.size("lf_stay")).otherwise(0).alias("lf_gone"),
+    marks = dropped_lines(docs, edits, least).groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    # a flag for each line up to the last one that goes
+    flag = lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get("lines", i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))
+    marks = marks.select(F.col("doc_id").alias("marked_id"), F.col("tid").alias("marked_tid"), F.flatten(F.transform("lines", flag)).alias("gone"))
+    packed = C.rows(docs, doc_id=C.own(docs, "doc_id"), tid=F.xxhash64(C.own(docs, "text")))
+    joined = packed.join(marks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("tid") == F.col("marked_tid")), "left")
+    text = F.col("row").getField("text")
+    lines = F.split(text, "\n", -1)
+    stay = F.filter(lines, lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
+    made = joined.select(
+        "row",
+        F.when(F.col("gone").isNotNull(), F.array_join(stay, "\n")).otherwise(text).alias("text"),
+        F.when(text.isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.octet_length(x) >= least))).alias("judged"),
+        F.coalesce(F.size(F.filter("gone", lambda x: x)), F.lit(0)).alias("n_gone"),
     )
+    return made.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns), F.col("judged").alias("lf_judged"), F.col("n_gone").alias("lf_gone"))
 
 
 def op5_line_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,23 +296,29 @@ def op5_line_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that only blank lines are left of is removed. n_chars follows the text."""
-    made = dedup(docs, least=ALL_BYTES)
+    """Repeated lines go; a document that only blank lines are left of is removed. n_chars follows the text.
+
+    Nulls, ties, repeated rows and the like are as in dedup(): null and empty
+    texts stay, as nothing of them was removed.
+    """
+    made = dedup(docs)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("lf_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return made.where(F.col("text").isNull() | (F.col("lf_gone") == 0) | F.col("text").rlike(r"\S")).select(*(f"`{c}`" for c in docs.columns))
 
 
+_ALLOWED = f"(case when size < {MIN_BYTES} then 0 else {EDITS}" + "".join(f" + (size >= {4 * STEP_BYTES * 4**i})::int" for i in range(12)) + " end)"
 #: Letter counts bound the edit distance from below, so that few pairs are compared in full.
 ORACLE = f"""
 with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents where text is not null),
-j as (select doc_id, n, line, strlen(line) as size from l where strlen(line) >= {MIN_BYTES}),
-f as (select line, size, min(doc_id * 1000000 + n) as first,
+j as (select doc_id, n, line, strlen(line) as size from l where strlen(line) >= 1),
+f as (select line, size, {_ALLOWED} as allowed, min(doc_id * 1000000 + n) as first,
  {", ".join(f"size - strlen(replace(line, '{c}', '')) as c{i}" for i, c in enumerate("etnhaiors"))}
  from j group by line, size),
-p as (select a.line as la, b.line as lb, a.first as fa, b.first as fb from f a join f b on b.size between a.size and a.size + {EDITS} and a.line <> b.line
- and {" + ".join(f"abs(a.c{i} - b.c{i})" for i in range(9))} <= {2 * EDITS} and (a.size < b.size or a.line < b.line)),
-v as (select distinct case when fa < fb then lb else la end as line from p where levenshtein(la, lb) <= {EDITS}),
+g as (select *, size + unnest(range(allowed + 1)) as near_size from f where allowed > 0),
+p as (select a.line as la, b.line as lb, a.first as fa, b.first as fb, a.allowed from g a join f b on b.size = a.near_size
+ and a.line <> b.line and {" + ".join(f"abs(a.c{i} - b.c{i})" for i in range(9))} <= 2 * a.allowed and (a.size < b.size or a.line < b.line)),
+v as (select distinct case when fa < fb then lb else la end as line from p where levenshtein(la, lb) <= allowed),
 m as (select j.doc_id, j.n, (j.doc_id * 1000000 + j.n > f.first or v.line is not null) as gone from j join f using (line) left join v using (line)),
 s as (select l.doc_id, string_agg(l.line, chr(10) order by l.n) filter (where not coalesce(m.gone, false)) as text, count(m.n) as judged, count(*) filter (where m.gone) as gone
  from l left join m on l.doc_id = m.doc_id and l.n = m.n group by l.doc_id)
