@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -12,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenframe.llm import common as C
@@ -226,11 +228,21 @@ def test_line_pairs_against_all_pairs(spark):
                 at = rng.randrange(len(y))
                 y[at : at + 1] = rng.choice([["z"], [], [y[at], "z"]])
             made.append("".join(y))
+    made += ["short line", "x", "short lime", "short line", "", "", "x"]
+    for x in base[:8]:  # long lines, with as many edits as their length allows and one more
+        x = (x * 60)[: rng.choice((400, 900, 3200))]
+        for n in (0, 3, 4, 5, 6):
+            y = list(x)
+            for at in sorted(rng.sample(range(len(y)), n), reverse=True):
+                y[at : at + 1] = rng.choice([["z"], [], [y[at], "z"]])
+            made.append("".join(y))
+    assert [lines.allowed(n) for n in (1, 23, 24, 191, 192, 767, 768, 3071, 3072, 20_000)] == [0, 0, 2, 2, 3, 3, 4, 4, 5, 6]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     for edits in (1, 2, 3):
-        gone = {r.doc_id for r in lines.dropped_lines(docs, edits).where("gone").collect()}
-        want = {i for i, x in enumerate(made) if len(x) >= lines.MIN_BYTES and any(len(y) >= lines.MIN_BYTES and lines.within(x.encode(), y.encode(), edits) for y in made[:i])}
-        assert gone == want
+        gone = {r.doc_id for r in lines.dropped_lines(docs, edits).collect()}
+        near = lambda x, y: lines.within(x, y, lines.allowed(min(len(x), len(y)), edits))  # noqa: B023, E731
+        raw = [x.encode() for x in made]
+        assert gone == {i for i, x in enumerate(raw) if x and any(near(x, y) for y in raw[:i])}
 
 
 # quality: held-out documents
@@ -274,6 +286,33 @@ def test_mixing_counts(spark, data):
         assert abs(got[s] - n[s] * targets[s] / weights * whole / chars[s]) < 1.01
 
 
+def test_mixing_against_a_running_sum(spark):
+    """Offsets and boundaries as in a loop over the rows, with repeated rows, ties and nulls; copies far below one."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(300)]), rng.choice(["a", "bb", "ccc", None]), rng.choice(["x", "y", None]), rng.choice(["u", "v"])) for _ in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, url string")
+    targets = {"x": 1.0, "y": 1e-3, "": 1e-9}
+    got = Counter(tuple(r) for r in mixing.mix(docs, targets).collect())
+    size = Counter()
+    for _, t, s, _ in rows:
+        size[s] += len(t or "")
+    hashes = {tuple(r)[:4]: (r.h, r.g) for r in docs.withColumns({"h": F.xxhash64("text"), "g": C.row_hash(docs)}).collect()}
+    for s in ("x", "y", None):
+        rate = targets[s or ""] * sum(size.values()) / (sum(targets.values()) * size[s])
+        at = int(hashlib.md5(f"{s or ''}{mixing.SEED}".encode()).hexdigest()[:5], 16) / 2**20
+        want, nth = Counter(), 0
+        for row, same in sorted(Counter(r for r in rows if r[2] == s).items(), key=lambda x: (x[0][0] is None, x[0][0], *hashes[x[0]])):
+            want[row] = math.floor(at + (nth + same) * rate) - math.floor(at + nth * rate)
+            nth += same
+        assert {r: c for r, c in got.items() if r[2] == s} == {r: c for r, c in want.items() if c}
+
+
+def test_small_rates_are_exact(spark):
+    docs = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.when(F.col("id") < 200_000, "x").otherwise("y").alias("source"))
+    n = {r.source: r["count"] for r in mixing.mix(docs, {"x": 1.0, "y": 2.5e-5}).groupBy("source").count().collect()}
+    assert abs(n["y"] - 10) <= 1 and abs(n["x"] - 399_990) <= 1
+
+
 # near-dedup: the sequential algorithm, and all pairs
 
 
@@ -358,7 +397,7 @@ def test_pipeline(spark, data, tmp_path):
             seen = set()
             for i in sorted(texts):
                 for x in texts[i].split("\n"):
-                    assert len(x.encode()) < lines.MIN_BYTES or x not in seen
+                    assert not x or x not in seen
                     seen.add(x)
         if name == "near_dedup":
             sets = {i: _elements(t) for i, t in old.items()}
