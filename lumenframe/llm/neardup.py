@@ -16,15 +16,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenframe.llm import common as C
 
+#: Near copies share 0.4 of their runs of 4 words, counted once each: about what is left when every eighth word is another.
 SHINGLE, THRESHOLD = 4, 0.4
-#: BANDS * ROWS components: a pair of similarity 0.4 meets in a band with probability 0.81, one of 0.5 with 0.98, of 0.6 with 0.9998.
-BANDS, ROWS = 64, 4
-#: As many distinct text ids are sent to all executors at most (8 bytes each); more are joined by a shuffle.
+#: BANDS * ROWS components: a pair of similarity 0.4 meets in a band with probability 0.92, one of 0.5 with 0.998.
+BANDS, ROWS = 96, 4
+#: As many distinct ids are sent to all executors at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of a large bucket that one task compares with those left apart.
+TILE = 4096
 #: From this level on an element's whole permutation is held, before it is traced through its swaps.
 TRACED = 6
 
@@ -69,6 +71,15 @@ def superminhash(elements: np.ndarray, doc: np.ndarray, n: int, m: int = BANDS *
     return sign.reshape(n, m)
 
 
+def distinct(elements: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each element of a text once."""
+    order = np.lexsort((elements, doc))
+    elements, doc = elements[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (elements[1:] != elements[:-1]) | (doc[1:] != doc[:-1])
+    return elements[new], doc[new]
+
+
 def band_keys(sign: np.ndarray) -> np.ndarray:
     """(n, BANDS) 64-bit keys of the signatures' bands."""
     return C.mixed((sign.reshape(len(sign), BANDS, ROWS) * C.WORD_R[:ROWS]).sum(2, dtype=np.uint64) + _BAND)
@@ -76,12 +87,12 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 
 def _signed(batches):
     for batch in batches:
-        for part in C.blocks(batch, "text", 1 << 20):
+        for part in C.blocks(batch, "text", 1 << 19):
             buf, off = C.text_buffer(part.column("text"))
             _, _, words, doc = C.word_table(buf, off)
             if not len(words):
                 continue
-            elements, where = C.shingle_hashes(words, doc, SHINGLE)
+            elements, where = distinct(*C.shingle_hashes(words, doc, SHINGLE))
             has, where = np.unique(where, return_inverse=True)
             keys = band_keys(superminhash(elements, where, len(has)))
             raw = buf.tobytes()
@@ -130,6 +141,22 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_alike(threshold), "a long, b long")
 
 
+def candidates(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: of each bucket (key, tid) the pairs of texts with different roots, all that are to be told apart still.
+
+    The members outside the bucket's most common root are paired with all
+    others, in tiles of TILE members: work grows with the pairs themselves,
+    and no task holds a whole bucket.
+    """
+    placed = members.select("key", "tid").join(roots.select(F.col("id").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("all")).where("roots > 1")
+    apart = C.kept(placed.join(mixed.select("key", F.col("most.root").alias("main"), F.ceil(F.col("all") / TILE).alias("tiles")), "key"), "apart")
+    p = apart.where("root <> main").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("tile"), F.col("tid").alias("p"), F.col("root").alias("root_p"))
+    q = apart.select("key", F.pmod(F.xxhash64("tid"), F.col("tiles")).alias("tile"), F.col("tid").alias("q"), F.col("root").alias("root_q"), (F.col("root") == F.col("main")).alias("in_main"))
+    return p.join(q, ["key", "tile"]).where("root_p <> root_q and (in_main or p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tid) of every document with words; (tid, root) of each text that has near copies among other texts.
 
@@ -137,32 +164,41 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     Members that this leaves in different components are then compared with
     each other, so that every candidate pair is either verified, found unlike,
     or already joined by others: the components are those of all candidates.
+    What is known of a bucket (its size, its hub, its roots) is a partial
+    aggregate, joined back to its members.
     """
-    C.arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    C.arrow_batches(spark)
     docs = docs.select(C.own(docs, "doc_id").alias("doc_id"), C.own(docs, "text").alias("text")).where("text is not null")
-    signed = C.kept(docs.mapInArrow(_signed, "doc_id long, tid long, bands array<long>"), "signatures")
-    texts = signed.select("tid", "bands").dropDuplicates(["tid"])
-    rows = texts.select("tid", F.explode("bands").alias("key"))
-    members = C.kept(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "band-members")
-    degree = members.groupBy("tid").agg(F.sum(F.col("n") - 1).alias("degree"))
-    wanted = C.kept(degree, "band-texts")
-    few = wanted.count() <= BROADCAST_IDS
-    some = F.broadcast(wanted.select("tid")) if few else wanted.select("tid")
-    full = docs.select(F.xxhash64("text").alias("tid"), "text").join(some, "tid", "left_semi").dropDuplicates(["tid"])
-    sets = C.kept(full.mapInArrow(_sets, "tid long, elements binary"), "element-sets")
-    ranked = members.join(F.broadcast(wanted) if few else wanted, "tid")
-    hub = F.first("tid").over(Window.partitionBy("key").orderBy(F.col("degree").desc(), "tid"))
-    stars = ranked.select("tid", hub.alias("hub")).where("tid <> hub").select(F.least("tid", "hub").alias("a"), F.greatest("tid", "hub").alias("b")).distinct()
-    stars = C.kept(stars, "star-pairs")
-    edges = C.kept(verified(stars, sets, threshold), "star-edges")
-    roots = C.components(edges, "star")
-    over = Window.partitionBy("key")
-    placed = members.select("key", "tid").join(roots.select(F.col("id").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    apart = C.kept(placed.withColumns({"low": F.min("root").over(over), "high": F.max("root").over(over)}).where("low <> high").select("key", "tid", "root"), "apart")
-    p, q = apart.select("key", F.col("tid").alias("a"), F.col("root").alias("root_a")), apart.select("key", F.col("tid").alias("b"), F.col("root").alias("root_b"))
-    rest = p.join(q, "key").where("a < b and root_a <> root_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    edges = edges.unionByName(C.kept(verified(rest, sets, threshold), "rest-edges"))
-    return signed.select("doc_id", "tid"), C.components(edges, "all")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    with C.scope(spark):
+        signed = C.kept(docs.mapInArrow(_signed, f"doc_id {kind}, tid long, bands array<long>"), "signatures", out=True)
+        rows = signed.select("tid", "bands").dropDuplicates(["tid"]).select("tid", F.explode("bands").alias("key"))
+        shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        members = C.kept(rows.join(shared, "key"), "band-members")
+        wanted = C.kept(members.groupBy("tid").agg(F.sum(F.col("n") - 1).alias("degree")), "band-texts")
+        few = wanted.count() <= BROADCAST_IDS
+        some = F.broadcast(wanted.select("tid")) if few else wanted.select("tid")
+        full = docs.select(F.xxhash64("text").alias("tid"), "text").join(some, "tid", "left_semi").dropDuplicates(["tid"])
+        sets = C.kept(full.mapInArrow(_sets, "tid long, elements binary"), "element-sets")
+        ranked = members.select("key", "tid").join(F.broadcast(wanted) if few else wanted, "tid")
+        hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "tid")).alias("hub")).select("key", F.col("hub.tid").alias("hub"))
+        stars = members.select("key", "tid").join(hubs, "key").where("tid <> hub").select(F.least("tid", "hub").alias("a"), F.greatest("tid", "hub").alias("b")).distinct()
+        stars = C.kept(stars, "star-pairs")
+        edges = C.kept(verified(stars, sets, threshold), "star-edges")
+        rest = candidates(members, C.components(edges, "star")).join(stars, ["a", "b"], "left_anti")
+        edges = edges.unionByName(C.kept(verified(rest, sets, threshold), "rest-edges"))
+        return signed.select("doc_id", "tid"), C.kept(C.components(edges, "all"), "all-roots", out=True)
+
+
+def _copies(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, tid, same, group_id, group_size, first): the documents of groups of two rows or more; of each group one is the first."""
+    signed, roots = grouped(docs, threshold)
+    named = signed.join(roots.select(F.col("id").alias("tid"), "root"), "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root"))
+    named = named.groupBy("root", "doc_id", "tid").agg(F.count("*").alias("same"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid")
+    stats = named.groupBy("root").agg(F.sum("same").alias("group_size"), F.min(place).alias("least")).where("group_size > 1")
+    return named.join(stats, "root").select("doc_id", "tid", "same", F.col("least.doc_id").alias("group_id"), "group_size", place.eqNullSafe(F.col("least")).alias("first"))
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,25 +211,25 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Repeated rows are copies of each other: one of them is kept. Long texts
     are taken whole; empty docs give no rows; other columns are ignored.
     """
-    signed, roots = grouped(docs, threshold)
-    named = signed.join(roots.select(F.col("id").alias("tid"), "root"), "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root"))
-    over = Window.partitionBy("root")
-    order = over.orderBy(F.col("doc_id").asc_nulls_last(), "tid")
-    made = named.withColumns({"group_size": F.count("*").over(over), "group_id": F.min("doc_id").over(over), "nth": F.row_number().over(order)})
-    return made.where("group_size > 1").select("doc_id", "tid", "group_id", "group_size", (F.col("nth") == 1).alias("kept"))
+    every = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("same"))).alias("nth")
+    made = _copies(docs, threshold).select("*", every)
+    return made.select("doc_id", "tid", "group_id", "group_size", (F.col("first") & (F.col("nth") == 1)).alias("kept"))
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of docs of each group, and all rows that have no copies; columns as in docs."""
-    found = C.kept(groups(docs, threshold), "copies")
-    # of equal (doc_id, text) rows one is chosen by dropDuplicates; all other losers go by their key
-    again = found.groupBy(F.col("doc_id").alias("lf_id"), F.col("tid").alias("lf_tid")).agg(F.count("*").alias("lf_n"), F.max("kept").alias("lf_kept"))
-    marks = again.where("not lf_kept or lf_n > 1").select("lf_id", "lf_tid", "lf_kept")
-    tid = F.xxhash64(C.own(docs, "text"))
-    marked = docs.join(marks.hint("shuffle_hash"), C.own(docs, "doc_id").eqNullSafe(F.col("lf_id")) & (tid == F.col("lf_tid")), "left")
-    single = marked.where("lf_kept is null").select(*(C.own(docs, c) for c in docs.columns))
-    repeated = marked.where("lf_kept").dropDuplicates(["lf_id", "lf_tid"]).select(*(C.own(docs, c) for c in docs.columns))
-    return single.unionByName(repeated)
+    """One row of docs of each group, and all rows that have no copies; columns as in docs, whatever their names.
+
+    Groups, nulls and short texts are as in groups(). Of the kept document's
+    rows, if several share its doc_id and text, the one of the least hash over
+    all columns stays. Empty docs give no rows.
+    """
+    marks = C.kept(_copies(docs, threshold).select(F.col("doc_id").alias("marked_id"), F.col("tid").alias("marked_tid"), "same", "first"), "copies")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks.hint("shuffle_hash")
+    packed = C.rows(docs, doc_id=C.own(docs, "doc_id"), tid=F.xxhash64(C.own(docs, "text")), row_hash=C.row_hash(docs))
+    marked = packed.join(marks, F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("tid") == F.col("marked_tid")), "left")
+    single = marked.where("first is null or (first and same = 1)").select("row")
+    repeated = marked.where("first and same > 1").groupBy("doc_id", "tid").agg(F.min_by("row", "row_hash").alias("row")).select("row")
+    return C.unpacked(single.unionByName(repeated), docs.columns)
 
 
 def op8_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,5 +238,5 @@ def op8_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays; nulls, ties, repeated rows and the like are as in dedup()."""
     return dedup(docs)
