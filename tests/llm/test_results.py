@@ -369,14 +369,39 @@ def test_near_dedup_recall(spark):
 
 def test_suffix_array():
     rng = np.random.default_rng(0)
-    for _ in range(100):
+    for _ in range(200):
         n = rng.integers(1, 60)
-        s = rng.integers(1, 3, n).astype(np.uint64)
+        s = rng.integers(0, 3, n).astype(np.uint64)
         ends = sorted({*rng.integers(1, n + 1, 2).tolist(), int(n)})
         end = np.array([min(e for e in ends if e > i) for i in range(n)])
-        order, _ = decontam.suffix_array(s, end, 64)
+        order, _ = decontam.suffix_array(s, end, 64, int(rng.choice([2, 5, 21, 32])))
         found = [tuple(s[i : end[i]]) for i in order]
-        assert found == sorted(found)
+        assert found == sorted(found) and sorted(order) == np.flatnonzero(s).tolist()
+
+
+def test_longest_matches_against_all_places():
+    rng = random.Random(1)
+
+    def longest(a, b):
+        need, best = min(decontam.MIN_WORDS, len(b)), None
+        for i in range(len(b)):
+            for j in range(len(a)):
+                n = 0
+                while i + n < len(b) and j + n < len(a) and a[j + n] == b[i + n]:
+                    n += 1
+                if n >= need and n and (best is None or (-n, i, j) < best):
+                    best = -n, i, j
+        return best
+
+    for _ in range(150):
+        words = "abcdefghijklmnopqrstuvwxyz"[: rng.choice([1, 2, 3, 26])]
+        text = lambda n: " ".join(rng.choice(words) for _ in range(n))  # noqa: B023, E731
+        items = [text(rng.choice([0, 1, 3, 12, 13, 20, 40])) for _ in range(rng.randint(1, 4))]
+        docs = [text(rng.choice([0, 1, 5, 14, 30, 60])) for _ in range(rng.randint(0, 5))]
+        docs += [f"{text(10)} {rng.choice(items)} new {rng.choice(items)}", f"new {rng.choice(items)} {rng.choice(items)} {text(3)}"]
+        got = decontam._matches(pa.RecordBatch.from_pydict({"text": pa.array(docs)}), decontam.Tests([*range(len(items))], items))
+        want = {(d, k): longest(t.split(), u.split()) for d, t in enumerate(docs) for k, u in enumerate(items)}
+        assert {(d, k): (-n, i, j) for d, k, n, i, j in zip(*(x.tolist() for x in got))} == {k: v for k, v in want.items() if v}
 
 
 # the pipeline, stage by stage
