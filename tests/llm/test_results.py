@@ -373,7 +373,8 @@ def test_suffix_array():
         n = rng.integers(1, 60)
         s = rng.integers(0, 3, n).astype(np.uint64)
         ends = sorted({*rng.integers(1, n + 1, 2).tolist(), int(n)})
-        end = np.array([min(e for e in ends if e > i) for i in range(n)])
+        ends += np.flatnonzero(s == 0).tolist()  # 0 ends a run, too
+        end = np.array([min(e for e in ends if e > i or (e == i and s[i] == 0)) for i in range(n)])
         order, _ = decontam.suffix_array(s, end, 64, int(rng.choice([2, 5, 21, 32])))
         found = [tuple(s[i : end[i]]) for i in order]
         assert found == sorted(found) and sorted(order) == np.flatnonzero(s).tolist()
