@@ -5,25 +5,33 @@ j of component d of all rows of a block is one bitmap, a slice. A query's
 components are integer weights of QUERY_BITS bits and a sign. The weighted sum
 of all components is made for all rows at once by adding slices, shifted by
 the weights' bits, with bitmap full adders; the top rows are selected from the
-sum's most significant slice downward. The quantisation errors of a query and
-of a block bound how far the sum can be from the true product: all rows whose
-bounds reach the k-th best are resolved by exact products.
+sum's most significant slice downward and resolved by exact products, which
+gives a k-th best that is reached. The quantisation errors of a query and of a
+block bound how far a sum can be from the true product: all rows whose bounds
+reach that k-th best are resolved by exact products, too. A task goes from
+block to block with the best that its queries have found so far as bounds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lumenframe.llm import common as C
 
 K = 10
-DATA_BITS, QUERY_BITS = 6, 5
-#: Rows of a block, whose slices lie in one task's memory, and queries of a task.
-BLOCK_ROWS, TASK_QUERIES = 1 << 16, 1 << 11
+DATA_BITS, QUERY_BITS = 6, 4
+#: Rows of a block, whose slices lie in one task's memory; queries of a tile.
+BLOCK_ROWS = TILE_QUERIES = 1 << 16
+#: Vectors of so many bytes together are sent to all executors at most; more are joined in tiles.
+BROADCAST_BYTES = 64 << 20
+#: Words of 64 rows that are added up at once, so that slices stay in the cache.
+WORDS = 1024
 DECIMALS = 6
 
 
@@ -54,6 +62,16 @@ def full_add(levels: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def signed_digits(weight: np.ndarray) -> list[np.ndarray]:
+    """Digits -1, 0 and 1 of whole numbers, least first, none of them beside another nonzero one."""
+    out, w = [], weight.copy()
+    while w.any():
+        digit = np.where(w & 1, 2 - (w & 3), 0)
+        out.append(digit)
+        w = (w - digit) >> 1
+    return out
+
+
 class SlicedIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
@@ -74,36 +92,25 @@ class SlicedIndex:
             self.slices[1, :, j] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
         self.all = np.packbits(np.arange(words * 64) < n, bitorder="little").view(np.uint64)
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows among which the k best products are, with all that may tie with the k-th."""
-        n = len(self.ids)
-        scale = float(np.abs(query).max(initial=0)) / ((1 << QUERY_BITS) - 1)
-        if n <= k or not scale:
-            return np.arange(n)
-        weight = np.rint(query / scale).astype(np.int64)
-        size, sign = np.abs(weight), (weight < 0).astype(np.int64)
-        levels = []
-        for at in range(DATA_BITS + QUERY_BITS - 1):
-            some = [(np.flatnonzero(size >> (at - j) & 1), j) for j in range(max(0, at - QUERY_BITS + 1), min(DATA_BITS, at + 1))]
-            d, j = np.concatenate([x for x, _ in some]), np.concatenate([np.full(len(x), j) for x, j in some])
-            levels.append(self.slices[sign[d], d, j])
-        total = full_add(levels)
-        # the k-th largest sum, from the most significant slice downward
-        sure, edge, kth = np.zeros_like(self.all), self.all, 0
-        for at in range(len(total) - 1, -1, -1):
-            if total[at] is None:
-                continue
-            with_bit = edge & total[at]
-            found = int(np.bitwise_count(sure | with_bit).sum())
-            if found >= k:
-                edge, kth = with_bit, kth | 1 << at
-            else:
-                sure, edge = sure | with_bit, edge & ~total[at]
-        # a sum is the product over scale * step, up to a constant and these errors on either side
-        error = float(np.linalg.norm(query - scale * weight)) * self.size + float(np.linalg.norm(scale * weight)) * self.rest + 10.0**-DECIMALS
-        least = kth - int(np.ceil(2 * error / (scale * self.step))) - 1
+    def _rows(self, bitmap: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), count=len(self.ids), bitorder="little"))
+
+    def _sums(self, digits: list[np.ndarray]) -> list[np.ndarray]:
+        """The slices of the rows' sums over all components of their levels, or of the levels' complements, times the digits."""
+        taken = []
+        for at in range(DATA_BITS + len(digits) - 1):
+            some = [(np.flatnonzero(digits[at - j]), digits[at - j], j) for j in range(max(0, at - len(digits) + 1), min(DATA_BITS, at + 1))]
+            taken.append(tuple(np.concatenate(x) for x in zip(*(((digit[d] < 0).astype(np.int64), d, np.full(len(d), j)) for d, digit, j in some))))
+        parts = []
+        for w in range(0, len(self.all), WORDS):
+            parts.append(full_add([self.slices[neg, d, j, w : w + WORDS] for neg, d, j in taken]))
+        zero = lambda w: np.zeros(min(WORDS, len(self.all) - w), np.uint64)
+        return [np.concatenate([p[k] if k < len(p) and p[k] is not None else zero(i * WORDS) for i, p in enumerate(parts)]) for k in range(max(map(len, parts), default=0))]
+
+    def _at_least(self, total: list[np.ndarray], least: int) -> np.ndarray:
+        """The bitmap of the rows whose sums are that large."""
         if least <= 0:
-            return np.arange(n)
+            return self.all
         over, equal = np.zeros_like(self.all), self.all
         for at in range(max(len(total), least.bit_length()) - 1, -1, -1):
             s = total[at] if at < len(total) else None
@@ -111,38 +118,87 @@ class SlicedIndex:
                 equal = equal & s if s is not None else np.zeros_like(equal)
             elif s is not None:
                 over, equal = over | (equal & s), equal & ~s
-        return np.flatnonzero(np.unpackbits((over | equal).view(np.uint8), count=n, bitorder="little"))
+        return over | equal
 
-    def top(self, name: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and rounded products of the k best rows with other ids than name; ties go to the smaller id."""
-        own = int((self.ids == name).sum())
-        at = self.candidates(query, k + own)
-        at = at[self.ids[at] != name]
-        score = np.round(self.vectors[at] @ query, DECIMALS) + 0.0
-        best = np.lexsort((self.ids[at], -score))[:k]
-        return self.ids[at][best], score[best]
+    def _top_rows(self, total: list[np.ndarray], k: int) -> np.ndarray:
+        """The rows of the k largest sums, with all that tie with the k-th."""
+        sure, edge = np.zeros_like(self.all), self.all
+        for s in reversed(total):
+            with_bit = edge & s
+            if int(np.bitwise_count(sure | with_bit).sum()) >= k:
+                edge = with_bit
+            else:
+                sure, edge = sure | with_bit, edge & ~s
+        return self._rows(sure | edge)
+
+    def best(self, name, query: np.ndarray, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids other than name and their best rounded products of the k best ids in some rows; ties go to the smaller id."""
+        rows = rows[self.ids[rows] != name]
+        ids, score = self.ids[rows], np.round(self.vectors[rows] @ query, DECIMALS) + 0.0
+        by = np.lexsort((ids, -score))
+        ids, score = ids[by], score[by]
+        _, first = np.unique(ids, return_index=True)
+        first = np.sort(first)[:k]
+        return ids[first], score[first]
+
+    def top(self, name, query: np.ndarray, k: int, bound: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """best() over all rows, exactly; ids whose products are below bound may be left out."""
+        n = len(self.ids)
+        scale = float(np.abs(query).max(initial=0)) / ((1 << QUERY_BITS) - 1)
+        if n <= 4 * k or not scale:
+            return self.best(name, query, k, np.arange(n))
+        weight = np.rint(query / scale).astype(np.int64)
+        digits = signed_digits(weight)
+        total = self._sums(digits)
+        some = k + 1
+        while True:  # until the rows of the largest sums have k other ids
+            ids, score = self.best(name, query, k, self._top_rows(total, min(some, n)))
+            if len(ids) == k or some >= n:
+                break
+            some *= 2
+        if len(ids) == k:
+            bound = max(bound, float(score[-1]))
+        elif some >= n:
+            return ids, score  # these were all rows
+        error = float(np.linalg.norm(query - scale * weight)) * self.size + float(np.linalg.norm(scale * weight)) * self.rest + 10.0**-DECIMALS
+        complement = ((1 << DATA_BITS) - 1) * sum(int((x < 0).sum()) << i for i, x in enumerate(digits))
+        least = (bound - error - scale * (self.low + self.step / 2) * int(weight.sum())) / (scale * self.step) + complement
+        return self.best(name, query, k, self._rows(self._at_least(total, int(np.floor(least)) - 1)))
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("id").to_numpy()
+    ids = table.column("id").combine_chunks()
+    ids = ids.to_numpy(zero_copy_only=False) if not pa.types.is_string(ids.type) else np.array(ids.to_pylist(), dtype=str)
     flat = table.column("v").combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     return ids, flat.flatten().to_numpy().astype(float).reshape(len(ids), -1)
 
 
-def _searched(k: int):
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if queries.num_rows and rows.num_rows:
-            index = SlicedIndex(*_matrix(rows))
-            for name, query in zip(*_matrix(queries)):
-                ids, score = index.top(name, query, k)
-                for into, v in zip(out, (np.full(len(ids), name), ids, score)):
-                    into.append(v)
-        cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
-        return pa.table({"id": cat(out[0], np.int64), "neighbour": cat(out[1], np.int64), "score": cat(out[2], np.float64)})
+def _found(queries: tuple[np.ndarray, np.ndarray], indexes: list[SlicedIndex], k: int, kind: pa.DataType) -> pa.Table:
+    """(id, neighbour, score): of each query the k best ids in the blocks together."""
+    out: tuple[list, list, list] = ([], [], [])
+    for name, query in zip(*queries):
+        ids, score = None, None
+        for index in indexes:
+            full = ids is not None and len(ids) == k
+            more = index.top(name, query, k, float(score[-1]) if full else -np.inf)
+            if ids is None:
+                ids, score = more
+                continue
+            both_ids, both = np.concatenate([ids, more[0]]), np.concatenate([score, more[1]])
+            by = np.lexsort((both_ids, -both))
+            _, first = np.unique(both_ids[by], return_index=True)
+            by = by[np.sort(first)[:k]]
+            ids, score = both_ids[by], both[by]
+        if ids is not None:
+            for into, v in zip(out, (np.full(len(ids), name), ids, score)):
+                into.append(v)
+    named = lambda v: pa.array(np.concatenate(v) if v else [], kind)
+    return pa.table({"id": named(out[0]), "neighbour": named(out[1]), "score": pa.array(np.concatenate(out[2]) if out[2] else [], pa.float64())})
+
 
-    return run
+def _blocks(table: pa.Table) -> list[SlicedIndex]:
+    return [SlicedIndex(*_matrix(table.slice(i, BLOCK_ROWS))) for i in range(0, table.num_rows, BLOCK_ROWS)]
 
 
 def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
@@ -156,23 +212,54 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
     empty vector, and one with a null, NaN or infinite component take no part.
     With fewer than k others all are given; an empty table gives no rows;
     other columns are ignored.
+
+    Vectors of up to BROADCAST_BYTES are sent to all executors, and each task
+    takes some queries past all blocks. Above that, blocks of rows meet tiles
+    of queries: either side is shuffled once for each block of the other.
     """
-    C.arrow_batches(vectors.sparkSession)
-    v = F.transform(C.own(vectors, "embedding"), lambda x: x.cast("double"))
+    spark = vectors.sparkSession
+    C.arrow_batches(spark)
+    kind = vectors.schema["vec_id"].dataType
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    v = C.own(vectors, "embedding") if single else F.transform(C.own(vectors, "embedding"), lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = vectors.select(C.own(vectors, "vec_id").alias("id"), v.alias("v")).where("id is not null and size(v) > 0").where(~bad).distinct().withColumn("dim", F.size("v"))
     fine = C.kept(fine, "vectors")
-    n = fine.count()
-    blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // TASK_QUERIES))
-    tile = lambda c, m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias(c)
-    every = lambda c, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c)
-    queries = fine.groupBy("id", "dim").agg(F.min("v").alias("v")).select("id", "dim", "v", tile("chunk", chunks)).select("*", every("block", blocks))
-    rows = fine.select("id", "dim", "v", tile("block", blocks)).select("*", every("chunk", chunks))
-    keys = ["dim", "chunk", "block"]
-    found = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_searched(k), "id long, neighbour long, score double")
-    best = found.groupBy("id", "neighbour").agg(F.max("score").alias("score"))
+    n, size = fine.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)) * (4 if single else 8)).first()
+    queries = fine.groupBy("id", "dim").agg(F.min("v").alias("v")).select("id", "dim", "v")
+    named, tasks = to_arrow_type(kind), C.parts(spark)
+    columns = f"id {kind.simpleString()}, neighbour {kind.simpleString()}, score double"
+    if size <= BROADCAST_BYTES:
+        sent = spark.sparkContext.broadcast(fine.select("id", "dim", "v").toArrow())  # at most BROADCAST_BYTES
+
+        def run(batches):
+            held: dict[int, list[SlicedIndex]] = {}
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                for dim in pc.unique(batch.column("dim")).to_pylist():
+                    if dim not in held:
+                        held[dim] = _blocks(sent.value.filter(pc.equal(sent.value.column("dim"), dim)))
+                    yield from _found(_matrix(table.filter(pc.equal(table.column("dim"), dim))), held[dim], k, named).to_batches()
+
+        best = queries.repartition(tasks, F.xxhash64("id")).mapInArrow(run, columns)
+    else:
+        blocks = -(-n // BLOCK_ROWS)
+        tiles = max(-(-n // TILE_QUERIES), -(-tasks // blocks))
+        tile = lambda c, m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias(c)
+        every = lambda c, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c)
+        q = queries.select("id", "dim", "v", tile("tile", tiles)).select("*", every("block", blocks))
+        rows = fine.select("id", "dim", "v", tile("block", blocks)).select("*", every("tile", tiles))
+        keys = ["dim", "tile", "block"]
+
+        def met(q: pa.Table, rows: pa.Table) -> pa.Table:
+            both = q.num_rows and rows.num_rows
+            return _found(_matrix(q), _blocks(rows), k, named) if both else _found(((), ()), [], k, named)
+
+        # a row repeats an id in its own block only, as blocks go by id
+        best = q.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(met, columns)
     order = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbour")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias("vec_id"), "neighbour", "score", "rank")
+    both = best.groupBy("id", "neighbour").agg(F.max("score").alias("score"))  # an id with vectors of several lengths may be found with each
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias("vec_id"), "neighbour", "score", "rank")
 
 
 def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
