@@ -182,15 +182,52 @@ def test_secrets(text, want):
 # exact top-k: all products
 
 
+def _nearest_ids(ids, vectors, name, query, k):
+    best = {}
+    for i, p in zip(ids, np.round(vectors @ query, topk.DECIMALS) + 0.0):
+        if i != name:
+            best[i] = max(p, best.get(i, -np.inf))
+    return sorted(((-p, i) for i, p in best.items()))[:k]
+
+
 def test_topk_against_all_products():
     rng = np.random.default_rng(0)
-    for n, d in ((300, 8), (1000, 16), (70, 3)):
-        v, ids = np.round(rng.normal(size=(n, d)), 1), rng.permutation(n)
+    for n, d, repeats in ((300, 8, 1), (1000, 16, 1), (70, 3, 1), (600, 8, 40), (500, 5, 500)):
+        v, ids = np.round(rng.normal(size=(n, d)), 1), rng.permutation(n) // repeats
         index = topk.SlicedIndex(ids, v)
         for i in range(30):
-            s = np.round(v @ v[i], topk.DECIMALS)
-            want = [ids[j] for j in np.lexsort((ids, -s)) if j != i][:7]
-            assert index.top(ids[i], v[i], 7)[0].tolist() == want
+            want = _nearest_ids(ids, v, ids[i], v[i], 7)
+            got, score = index.top(ids[i], v[i], 7)
+            assert [(-p, j) for j, p in zip(got.tolist(), score.tolist())] == want
+            if want:  # a bound that the best reach changes nothing
+                assert index.top(ids[i], v[i], 7, -want[-1][0])[0].tolist() == got.tolist()
+
+
+def test_topk_goes_from_block_to_block():
+    rng = np.random.default_rng(2)
+    v, ids = np.round(rng.normal(size=(900, 6)), 1), rng.permutation(900) // 3
+    blocks = [topk.SlicedIndex(ids[i : i + 128], v[i : i + 128]) for i in range(0, 900, 128)]
+    got = topk._found((ids[:40], v[:40]), blocks, 9, pa.int64())
+    pairs = list(zip(got["id"].to_pylist(), got["neighbour"].to_pylist(), got["score"].to_pylist()))
+    assert pairs == [(i, j, -p) for i, q in zip(ids[:40].tolist(), v[:40]) for p, j in _nearest_ids(ids.tolist(), v, i, q, 9)]
+
+
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_topk_over_blocks_and_tiles(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 70)
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(400, 6)), 1)
+    ids = np.append(np.arange(300), np.repeat([7, 300], [60, 40]))
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, v)]
+    got = defaultdict(list)
+    for r in topk.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append((-r.score, r.neighbour))
+    least = {i: min(x.tolist() for x in v[ids == i]) for i in set(ids.tolist())}
+    assert got == {i: _nearest_ids(ids.tolist(), v, i, np.array(q), 10) for i, q in least.items()}
+    named = spark.createDataFrame([(f"n{i % 9}", x) for i, x in rows], "vec_id string, embedding array<float>")
+    assert topk.neighbours(named, 3).groupBy("vec_id").count().collect().__len__() == 9
 
 
 # line dedup: plain edit distance
