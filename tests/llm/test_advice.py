@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -56,3 +58,60 @@ def test_ctw_texts_before_an_empty_one(spark):
 def test_secrets_in_quoted_text(text, name, value):
     ((n, v, start, stop, _),) = secrets.secrets(text)
     assert (n, v) == (name, value) and value in text[start:stop]
+
+
+@pytest.mark.parametrize(
+    ("text", "name", "value"),
+    [
+        ('secret = ("abc123"' + " " * 250 + '"def456ghi")', "secret", "abc123def456ghi"),
+        ('{"' + "k" * 2000 + '_password": "a1B!xyz9"}', "k" * 2000 + "_password", "a1B!xyz9"),
+        ('password = "a1B!x"', "password", "a1B!x"),
+        ("password = 'aaaa1111'", "password", "aaaa1111"),
+        ("PASSWORD=x=y9Zq!", "PASSWORD", "x=y9Zq!"),
+        ("http://x.y/?user=bob&password=S3cr3tPa55&x=1", "password", "S3cr3tPa55"),
+        ("a" * 3000 + " api_key: " + " " * 2000 + "str = 'Zx81kd93ksLq'", "api_key", "Zx81kd93ksLq"),
+    ],
+)
+def test_secrets_of_any_length(text, name, value):
+    ((n, v, start, stop, _),) = secrets.secrets(text)
+    assert (n, v) == (name, value)
+
+
+def test_constants_that_outgrow_their_text():
+    bomb = "A0=x1\n" + "\n".join(f"A{i}=${{A{i - 1}}}${{A{i - 1}}}" for i in range(1, 60)) + '\npassword = "${A2}-zz"'
+    assert [(n, v) for n, v, *_ in secrets.secrets(bomb)] == [("password", "x1x1x1x1-zz")]
+
+
+def test_secrets_of_generated_programs():
+    """Programs of a small grammar, with the pairs that they were made of."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    forms = {
+        "ini": lambda n, v: f"{n} = {v}", "env": lambda n, v: f"export {n}={v}", "yaml": lambda n, v: f"  {n}: {v}", "json": lambda n, v: f'  "{n}": "{v}",', "typed": lambda n, v: f"{n}: str = '{v}'",
+        "ruby": lambda n, v: f':x => 1, "{n}" => "{v}"', "go": lambda n, v: f'{n} := "{v}"', "item": lambda n, v: f'config["{n}"] = "{v}"', "triple": lambda n, v: f'{n} = """{v}"""', "added": lambda n, v: f'{n} = "{v[:5]}" + "{v[5:]}"',
+        "split": lambda n, v: f'{n} = ("{v[:7]}"\n    "{v[7:]}")', "inner": lambda n, v: f'run("tool --{n}={v} --fast")', "args": lambda n, v: f"opts = 'host=db;{n}={v}'",
+    }
+    for _ in range(300):
+        lines, want = [], []
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.random()
+            if kind < 0.5:
+                name, value = rng.choice(["password", "db_password", "apiToken", "CLIENT_SECRET", "auth.token"]), word(rng.randint(10, 40)) + "9aZ"
+                form = rng.choice([k for k in forms if k not in ("go", "typed", "ruby") or "." not in name])
+                lines.append(forms[form](name, value))
+                want.append((name, value))
+            elif kind < 0.7:
+                a, value = "part" + word(6), word(12) + "7bQ"
+                lines += [f'{a} = "{value}"', f'SECRET = {a} + "-end"']
+                want.append(("SECRET", f"{value}-end"))
+            else:
+                lines.append(rng.choice(["for i in range(10): pass", 'title = "a plain sentence of words"', "count: 12", "if password == other:", "# a note", "x = f(y)", "path = '/usr/lib/x'"]))
+        assert [(n, v) for n, v, *_ in secrets.secrets("\n".join(lines))] == want, "\n".join(lines)
+
+
+def test_secrets_with_ties_and_repeats(spark):
+    text = 'token = "24be64439e3e49cf46b2d7c90f3602a3"; a = "Password=Xy12ab34"'
+    docs = spark.createDataFrame([("a", text), ("a", text), ("b", None), (None, text)], "doc_id string, text string").selectExpr("*", "'x' as name", "1 as start", "2.0D as score")
+    got = sorted((r.doc_id or "", r.name, r.literal) for r in secrets.scan(docs).collect())
+    assert got == sorted((i, n, v) for i in ("a", "a", "") for n, v in (("token", "24be64439e3e49cf46b2d7c90f3602a3"), ("Password", "Xy12ab34")))
