@@ -10,6 +10,9 @@ the span.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from heapq import heappop, heappush
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -51,7 +54,7 @@ class Scanner:
     def __init__(self, notices: dict[str, list[str]], rate: float = ERROR_RATE):
         self.notices = [(name, folded(text)) for name, texts in sorted(notices.items()) for text in texts if text]
         self.edits = [int(len(text) * rate) for _, text in self.notices]
-        self.match = [regex.compile(f"(?e)(?:{regex.escape(text)}){{e<={k}}}" if k else regex.escape(text)) for (_, text), k in zip(self.notices, self.edits)]
+        self.compiled: dict[tuple[int, int], regex.Pattern] = {}
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, ((_, text), k) in enumerate(zip(self.notices, self.edits)):
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
@@ -65,6 +68,36 @@ class Scanner:
             self.seeds.add_word(seed, (len(seed), where))
         self.seeds.make_automaton()
 
+    def _match(self, i: int, edits: int) -> regex.Pattern:
+        """A notice with so many edits at most."""
+        if (i, edits) not in self.compiled:
+            self.compiled[i, edits] = regex.compile(f"(?:{regex.escape(self.notices[i][1])}){{e<={edits}}}")
+        return self.compiled[i, edits]
+
+    def best(self, low: str, i: int, a: int, b: int) -> tuple[int, int, int] | None:
+        """(edits, -length, start) of the best match of a notice in a span of a folded text: of fewest edits, then the longest, then the first."""
+        notice, k = self.notices[i][1], self.edits[i]
+        n = len(notice)
+        if b - a < n - k:
+            return None
+        at = low.find(notice, a, b)
+        if at >= 0:
+            return 0, -n, at
+        if not k or not self._match(i, k).search(low, a, b):
+            return None
+        for edits in range(1, k + 1):
+            match, found = self._match(i, edits), None
+            for m in match.finditer(low, a, b, overlapped=True):
+                start, size = m.start(), n + edits
+                while not match.fullmatch(low, start, min(start + size, b)):  # the longest that starts here; m itself is one
+                    size -= 1
+                size = min(size, b - start)
+                if found is None or -size < found[1]:
+                    found = edits, -size, start
+            if found:
+                return found
+        return None
+
     def scan(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(license, number of its notice, start, end, edits) of all matches, in order; of overlapping ones the one of fewest edits, then the longest, then the first."""
         low = folded(text)
@@ -79,7 +112,12 @@ class Scanner:
                     mine[-1][1] = max(mine[-1][1], b)
                 else:
                     mine.append([a, b])
-        out = []
+        todo: list[tuple[int, int, int, int, int, int]] = []  # (edits, -length, start, notice, span) of each span's best match
+
+        def look(i: int, a: int, b: int) -> None:
+            if found := self.best(low, i, a, b):
+                heappush(todo, (*found, i, a, b))
+
         for i, mine in windows.items():
             mine.sort()
             merged = [mine[0]]
@@ -90,25 +128,38 @@ class Scanner:
                     merged.append([a, b])
             grams = self.grams[i]
             for a, b in merged:
-                if sum(low[j : j + 3] in grams for j in range(a, min(b, len(low)) - 2)) < self.least[i]:
-                    continue
-                for m in self.match[i].finditer(low, a, min(b, len(low))):
-                    out.append((self.notices[i][0], i, m.start(), m.end(), sum(m.fuzzy_counts)))
-        kept: list[tuple[str, int, int, int, int]] = []
-        for x in sorted(out, key=lambda x: (x[4], x[2] - x[3], x[2], x[1])):
-            if all(x[3] <= y[2] or y[3] <= x[2] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[2])
+                if sum(low[j : j + 3] in grams for j in range(a, min(b, len(low)) - 2)) >= self.least[i]:
+                    look(i, a, min(b, len(low)))
+        starts: list[int] = []  # of the matches taken, in order
+        taken: dict[int, tuple[str, int, int, int, int]] = {}
+        while todo:
+            edits, size, start, i, a, b = heappop(todo)
+            at = bisect_left(starts, a)
+            if at and taken[starts[at - 1]][3] > a:
+                at -= 1
+            held = [taken[s] for s in starts[at : bisect_left(starts, b)]]
+            end = start - size
+            if all(x[3] <= start or end <= x[2] for x in held):
+                insort(starts, start)
+                taken[start] = self.notices[i][0], i, start, end, edits
+                held = [taken[start]]
+            for x in held:  # what is left of the span
+                look(i, a, x[2])
+                a = x[3]
+            look(i, a, b)
+        return [taken[s] for s in starts]
 
 
 def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, rate: float = ERROR_RATE) -> DataFrame:
     """(doc_id, license, notice, start, stop, edits, matched): every notice in every text, with its span in characters.
 
     Needs doc_id and text. Case is ignored; a line break counts as an edit of
-    a space. Matches don't overlap: of overlapping ones the one of fewest
-    edits is given, then the longest, then the first. A null or empty text has no
-    matches; repeated rows have equal results; long texts are taken whole; an
-    empty table gives no rows; other columns are ignored.
+    a space. Matches don't overlap: of all spans within the edits of some
+    notice the one of fewest edits is given, then the longest, then the first,
+    then that of the first notice; then again, of those that don't overlap it.
+    A null or empty text has no matches; repeated rows have equal results; ids
+    keep their type; long texts are taken whole; an empty table gives no rows;
+    other columns are ignored.
     """
     C.arrow_batches(docs.sparkSession)
     given = NOTICES if notices is None else notices
@@ -118,12 +169,12 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, rate: flo
         scanner = Scanner(given, rate)
         names = [t for _, t in scanner.notices]
         for batch in batches:
-            rows = [(d, name, names[i], a, b, e, text[a:b]) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for name, i, a, b, e in scanner.scan(text)]
+            rows = [(d, name, names[i], a, b, e, text[a:b]) for d, text in enumerate(batch.column("text").to_pylist()) for name, i, a, b, e in scanner.scan(text)]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "license", "notice", "start", "stop", "edits", "matched"])
+            at, *cols = (pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), *cols], names=["doc_id", "license", "notice", "start", "stop", "edits", "matched"])
 
-    return docs.mapInArrow(run, "doc_id long, license string, notice string, start long, stop long, edits int, matched string")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, notice string, start long, stop long, edits int, matched string")
 
 
 def op3_fuzzy_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
