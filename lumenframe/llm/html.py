@@ -14,6 +14,7 @@ body, the subtree of the largest density sum is content.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 from math import e, log
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import common as C
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
@@ -42,7 +43,19 @@ class Tree:
 
     def __init__(self, html: str):
         self.names, self.parents, self.pieces = ["#root"], [-1], []  # pieces: (element, text), and (element, None) for a block's edge
-        at, open_, n = 0, [0], len(html)
+        at, n = 0, len(html)
+        open_: list[int] = [0]
+        where: dict[str, list[int]] = {}  # of each name, the places of its open elements in open_
+
+        def close(k: int) -> None:
+            """Close the open elements from place k on."""
+            for element in open_[k:]:
+                where[self.names[element]].pop()
+            del open_[k:]
+
+        def last(names) -> int:
+            return max((where[x][-1] for x in names if where.get(x)), default=-1)
+
         while at < n:
             m = _TOKEN.search(html, at)
             stop = m.start() if m else n
@@ -58,22 +71,20 @@ class Tree:
                 continue
             name = name.lower()
             if m.group(2):
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.names[open_[k]] == name:
-                        del open_[k:]
-                        break
+                if where.get(name):
+                    close(where[name][-1])
                 self._edge(open_[-1], name)
                 continue
             ends, border = _ENDS.get(name, (None, None))
-            if ends:
-                for k in range(len(open_) - 1, 0, -1):
-                    seen = self.names[open_[k]]
-                    if seen in ends:
-                        del open_[k:]
-                        if border is None:
-                            break
-                    elif (border is None and seen in _BLOCKS) or (border is not None and seen in border):
-                        break
+            if ends and border is None:  # the nearest, if no block is nearer
+                k = last(ends)
+                if k > last(_BLOCKS - ends):
+                    close(k)
+            elif ends:  # all within the nearest border
+                edge = last(border)
+                inner = [where[x][bisect_right(where[x], edge)] for x in ends if where.get(x) and where[x][-1] > edge]
+                if inner:
+                    close(min(inner))
             self._edge(open_[-1], name)
             self.names.append(name)
             self.parents.append(open_[-1])
@@ -84,6 +95,7 @@ class Tree:
                 if end is None:
                     break
                 at = end.start()
+            where.setdefault(name, []).append(len(open_))
             open_.append(len(self.names) - 1)
 
     def _text(self, element: int, text: str) -> None:
@@ -192,13 +204,14 @@ def extract(pages: DataFrame) -> DataFrame:
     without text, has empty content; one without a body is taken as a body
     itself. Of equal density sums the first element in the document counts.
     Broken markup is read tolerantly: an end tag without a start is skipped,
-    open elements end with their parents. Repeated rows have equal results;
-    long pages are taken whole; an empty table gives no rows; other columns
+    open elements end with their parents, and a quoted attribute without an
+    end takes the rest. Repeated rows have equal results; ids keep their type;
+    long pages are taken whole, in linear time; an empty table gives no rows; other columns
     are ignored.
     """
     C.arrow_batches(pages.sparkSession)
     pages = pages.select(C.own(pages, "page_id").alias("page_id"), C.own(pages, "html").alias("html"))
-    return pages.mapInArrow(_extracted, "page_id long, content string, path string, density_sum double, threshold double, subtrees int")
+    return pages.mapInArrow(_extracted, f"page_id {pages.schema['page_id'].dataType.simpleString()}, content string, path string, density_sum double, threshold double, subtrees int")
 
 
 def op2_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
