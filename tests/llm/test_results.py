@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -111,6 +112,54 @@ def test_html_densities():
         assert density[i] == pytest.approx(value(i)) and sums[i] == pytest.approx(sum(value(k) for k in kids[i]))
 
 
+def test_html_selects_by_the_definition():
+    """Content of random pages, by recursion over sets of elements."""
+    rng = random.Random(5)
+    names = "div p ul li span a b table tr td section".split()
+
+    def page(depth):
+        if not depth or rng.random() < 0.2:
+            return "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 60)))
+        return "".join(f"<{x}>{page(depth - 1)}</{x}>" for x in rng.choices(names, k=rng.randint(1, 3)))
+
+    for _ in range(300):
+        text = rng.choice(["<body>%s</body>", "<html><body>%s</body></html>", "%s"]) % page(5)
+        tree = html.Tree(text)
+        density, sums, body = html.densities(tree)
+        kids = defaultdict(list)
+        for i, p in enumerate(tree.parents):
+            kids[p].append(i)
+
+        def below(i):
+            return {i}.union(*(below(k) for k in kids[i]))
+
+        largest = lambda i: min(below(i), key=lambda j: (-sums[j], j))
+        top = largest(body)
+        path = [top]
+        while path[-1] != body:
+            path.append(tree.parents[path[-1]])
+        threshold, chosen, roots = min(density[i] for i in path), set(), set()
+
+        def pick(i):
+            if density[i] >= threshold and i not in chosen:
+                roots.add(largest(i))
+                chosen.update(below(largest(i)))
+                for k in kids[i]:
+                    pick(k)
+
+        pick(body)
+        got, names_, total, least, n = html.content(text)
+        assert names_ == "/".join(tree.names[i] for i in reversed(path)) and (total, least, n) == (sums[top], threshold, len(roots))
+        assert "".join(got.split()) == "".join("".join(t.split()) for i, t in tree.pieces if t and i in chosen)
+
+
+@pytest.mark.parametrize("text", ["<b>" * 60_000, "<b>" * 30_000 + "<td>" * 30_000, "<div>" * 30_000 + "</x>" * 30_000, '<a "' * 60_000, "<" * 300_000, "<p>" + "a " * 1_000_000])
+def test_html_takes_linear_time(text):
+    began = time.process_time()
+    html.content(text)
+    assert time.process_time() - began < 10
+
+
 def test_html_finds_articles(spark, data):
     got = html.op2_composite_text_density(spark, data).collect()
     raw = {r.page_id: r.html for r in table(spark, data, "pages").collect()}
@@ -123,29 +172,47 @@ def test_html_finds_articles(spark, data):
 # license notices: dynamic programming over the whole text
 
 
-def _nearest(pattern, text):
-    col, best = list(range(len(pattern) + 1)), len(pattern)
-    for c in text:
-        new = [0]
-        for i in range(1, len(pattern) + 1):
-            new.append(min(col[i - 1] + (pattern[i - 1] != c), col[i] + 1, new[-1] + 1))
-        col, best = new, min(best, new[-1])
-    return best
-
-
-def test_licenses_against_dynamic_programming():
+def _all_matches(scanner, text):
+    """Every span within the edits of a notice, and of these the best that don't overlap."""
+    low, found = licenses.folded(text), []
+    for i, (_, notice) in enumerate(scanner.notices):
+        for start in range(len(low)):
+            row = list(range(len(notice) + 1))
+            for end in range(start, min(len(low), start + len(notice) + scanner.edits[i])):
+                new = [row[0] + 1]
+                for j, c in enumerate(notice):
+                    new.append(min(row[j] + (c != low[end]), row[j + 1] + 1, new[-1] + 1))
+                row = new
+                if row[-1] <= scanner.edits[i]:
+                    found.append((row[-1], start - end - 1, start, i))
+    kept = []
+    for edits, size, start, i in sorted(found):
+        if all(start - size <= a or b <= start for a, b, *_ in kept):
+            kept.append((start, start - size, i, edits))
+    return sorted(kept)
+
+
+def test_licenses_against_all_spans():
     rng = random.Random(4)
-    for _ in range(120):
-        scanner = licenses.Scanner({"one": [rng.choice([t for ts in licenses.NOTICES.values() for t in ts])]})
-        (_, pattern), k, x = scanner.notices[0], scanner.edits[0], None
-        x = list(pattern)
-        for _ in range(rng.randint(0, k + 2)):
-            at = rng.randrange(len(x))
-            x[at : at + 1] = rng.choice([["q"], [], [x[at], "q"]])
-        text = "lorem ipsum " + "".join(x) + " dolor the license"
-        found = scanner.scan(text)
-        assert bool(found) == (_nearest(pattern, text) <= k)
-        assert not found or min(f[4] for f in found) >= _nearest(pattern, text)
+    every = [t for ts in licenses.NOTICES.values() for t in ts if len(t) < 50]
+    for trial in range(160):
+        letters = rng.choice(["ab ", "abcdefgh "])
+        texts = rng.sample(every, 2) if trial < 40 else ["".join(rng.choice(letters) for _ in range(rng.choice([10, 14, 21]))) for _ in range(rng.randint(1, 3))]
+        scanner, text = licenses.Scanner({f"n{k}": [t] for k, t in enumerate(texts)}, rng.choice([0.1, 0.2])), rng.choice(["", texts[0][:7]])
+        for _ in range(rng.randint(1, 3)):
+            x = list(rng.choice(texts))
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choice([[rng.choice(letters)], [], [x[at], "q"]])
+            text += "".join(x) + "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 8])))
+        assert [(a, b, i, e) for _, i, a, b, e in scanner.scan(text)] == _all_matches(scanner, text)
+
+
+def test_licenses_ties_and_repeats(spark):
+    text = "Released under the MIT License. Licensed under the MIT License! All rights reserved."
+    docs = spark.createDataFrame([("a", text), ("a", text), (None, text), ("b", None)], "doc_id string, text string").selectExpr("*", "'x' as license", "1 as start")
+    got = sorted((r.doc_id or "", r.start, r.license) for r in licenses.scan(docs).collect())
+    assert got == sorted((i, a, n) for i in ("a", "a", "") for a, n in ((0, "MIT"), (32, "MIT"), (64, "proprietary")))
 
 
 def test_licenses_in_documents(spark, data):
