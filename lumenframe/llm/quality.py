@@ -21,6 +21,8 @@ from lumenframe.llm import common as C
 CLASSES = ("good", "low", "toxic")
 #: At most so many labelled documents, the least by hash of doc_id, are fitted on.
 MAX_LABELLED = 20_000
+#: The labelled documents of each of these parts are described with words that lean in the others, as new documents are with words of none of their own.
+FOLDS = 4
 #: Weight of the pooled covariance, and of the diagonal, in each class's covariance.
 TO_POOLED, TO_DIAGONAL = 0.15, 0.05
 #: A word leans to a class if it is in at least so many of its sampled documents, and so many times likelier there.
@@ -88,21 +90,32 @@ def statistics(texts: pa.Array, lean: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """(text, class): at most limit label rows without nulls, the least by hash of doc_id (ties by the labels), with their texts."""
+    """(text, class, fold): at most limit label rows without nulls, the least by hash of doc_id (ties by the labels), with their texts.
+
+    Equal label rows count once, and so do documents that share a doc_id: the
+    one whose text has the least hash stands for all.
+    """
+    own = labels.select(*(C.own(labels, c).alias(c) for c in ("doc_id", "quality", "toxic")))
     some = (
-        labels.where("doc_id is not null and quality is not null and toxic is not null")
+        own.where("doc_id is not null and quality is not null and toxic is not null")
         .select(F.col("doc_id").alias("labelled_id"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1).alias("class"))
         .orderBy(F.xxhash64("labelled_id"), "labelled_id", "class")
         .limit(limit)
     )
+    docs = docs.select(C.own(docs, "doc_id").alias("doc_id"), C.own(docs, "text").alias("text"))
     # at most MAX_LABELLED rows of 12 bytes, whatever the input
-    return docs.join(F.broadcast(some), C.own(docs, "doc_id") == F.col("labelled_id")).select(C.own(docs, "text").alias("text"), "class").where("text is not null")
+    found = docs.join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).where("text is not null")
+    one = found.groupBy("labelled_id", "class").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("text", "class", F.pmod(F.xxhash64("labelled_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"))
+
+
+_COUNTS = [f"n{k}_{f}" for k in range(len(CLASSES)) for f in range(FOLDS)]
 
 
 def _word_rows(batches):
     for batch in batches:
         for part in C.blocks(batch, "text"):
-            classes = part.column("class").to_numpy()
+            kind = part.column("class").to_numpy().astype(np.int64) * FOLDS + part.column("fold").to_numpy()
             buf, off = C.text_buffer(pa.compute.utf8_lower(part.column("text")))
             _, _, hashes, doc = C.word_table(buf, off)
             # each word of a document once
@@ -111,49 +124,35 @@ def _word_rows(batches):
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
             word, inverse = np.unique(h[new], return_inverse=True)
-            counts = [np.bincount(inverse, classes[d[new]] == k, len(word)).astype(np.int64) for k in range(len(CLASSES))]
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *map(pa.array, counts)], names=["h", "n0", "n1", "n2"])
-
-
-def leaning(rows: DataFrame, totals: dict[int, int]) -> dict[str, np.ndarray]:
-    """Hashes of the words that lean to low and to toxic documents of the sample, sorted."""
-    counts = rows.mapInArrow(_word_rows, "h long, n0 long, n1 long, n2 long").groupBy("h").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(3)))
-    out = {}
-    for k, name in ((1, "low"), (2, "toxic")):
-        rest = sum(totals.get(j, 0) for j in range(3) if j != k)
-        others = sum((F.col(f"n{j}") for j in range(3) if j != k), F.lit(0))
-        likelier = (F.col(f"n{k}") / F.lit(max(totals.get(k, 0), 1))) > LEAN_RATIO * (others + 1) / F.lit(rest + 1)
-        found = [r.h for r in counts.where((F.col(f"n{k}") >= LEAN_DOCS) & likelier).select("h").collect()]  # words of the bounded sample
-        out[name] = np.sort(np.array(found, np.int64).view(np.uint64))
-    return out
-
-
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> dict | None:
-    """Means, inverse Cholesky factors, log determinants and priors; None without a labelled document with words."""
-    rows = C.kept(sample(docs, labels, limit), "labelled")
-    totals = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
-    if not totals:
-        return None
-    lean = leaning(rows, totals)
-
-    def vectors(batches):
-        for batch in batches:
-            for part in C.blocks(batch, "text"):
-                x = statistics(part.column("text"), lean)
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(list(x), pa.list_(pa.float64()))], names=["class", "x"])
-
-    got = rows.mapInArrow(vectors, "class int, x array<double>").toArrow()  # bounded by limit
-    x, y = np.array(got["x"].to_pylist(), float).reshape(len(got), -1), got["class"].to_numpy()
-    fine = np.isfinite(x).all(1) if len(x) else np.zeros(0, bool)
-    order = np.lexsort((*x[fine].T, y[fine]))  # sums don't depend on the order of rows
-    x, y = x[fine][order], y[fine][order]
-    if not len(x):
-        return None
+            counts = [np.bincount(inverse, kind[d[new]] == k, len(word)).astype(np.int64) for k in range(len(_COUNTS))]
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *map(pa.array, counts)], names=["h", *_COUNTS])
+
+
+def leaning(rows: DataFrame, totals: dict[tuple[int, int], int]) -> list[dict[str, np.ndarray]]:
+    """Hashes of the words that lean to low and to toxic documents of the sample, sorted: without each fold, and last in all of it. totals: documents by class and fold."""
+    counts = rows.mapInArrow(_word_rows, "h long, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("h").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    flags = {}
+    for left_out in (*range(FOLDS), FOLDS):
+        folds = [f for f in range(FOLDS) if f != left_out]
+        n = [sum((F.col(f"n{k}_{f}") for f in folds), F.lit(0)) for k in range(3)]
+        size = [sum(totals.get((k, f), 0) for f in folds) for k in range(3)]
+        for k in (1, 2):
+            rest, others = sum(size) - size[k], sum((n[j] for j in range(3) if j != k), F.lit(0))
+            likelier = n[k] / F.lit(max(size[k], 1)) > LEAN_RATIO * (others + 1) / F.lit(rest + 1)
+            flags[f"f{left_out}_{k}"] = (n[k] >= LEAN_DOCS) & likelier
+    made = counts.select("h", *(v.alias(c) for c, v in flags.items())).where(" or ".join(flags)).toArrow()  # words of the bounded sample
+    words = np.array(made["h"].to_numpy()).view(np.uint64)
+    take = lambda c: np.sort(words[made[c].to_numpy(zero_copy_only=False).astype(bool)])
+    return [{"low": take(f"f{f}_1"), "toxic": take(f"f{f}_2")} for f in range(FOLDS + 1)]
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> dict:
+    """The discriminant of vectors x of classes y: centre and scale, and by class the mean, the inverse Cholesky factor, and the log prior less the log determinant's half."""
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     x = np.clip((x - centre) / scale, -FARTHEST, FARTHEST)
     means = {k: x[y == k].mean(0) for k in range(3) if (y == k).any()}
     pooled = sum((x[y == k] - m).T @ (x[y == k] - m) for k, m in means.items()) / len(x)
-    model = {"lean": lean, "centre": centre, "scale": scale, "classes": {}}
+    model = {"centre": centre, "scale": scale, "classes": {}}
     for k, m in means.items():
         z = x[y == k] - m
         a = TO_POOLED + (1 - TO_POOLED) * min(1.0, x.shape[1] / len(z))  # small classes lean on the pool
@@ -164,6 +163,31 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> dict |
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> dict | None:
+    """Leaning words, means, inverse Cholesky factors, log determinants and priors; None without a labelled document with words."""
+    with C.scope(docs.sparkSession):
+        rows = C.kept(sample(docs, labels, limit), "labelled")
+        totals = {(r["class"], r["fold"]): r["count"] for r in rows.groupBy("class", "fold").count().collect()}
+        if not totals:
+            return None
+        lean = leaning(rows, totals)
+
+        def vectors(batches):
+            for batch in batches:
+                for part in C.blocks(batch, "text"):
+                    for f in range(FOLDS):
+                        own = part.filter(pa.compute.equal(part.column("fold"), f))
+                        x = statistics(own.column("text"), lean[f])
+                        yield pa.RecordBatch.from_arrays([own.column("class"), pa.array(list(x), pa.list_(pa.float64()))], names=["class", "x"])
+
+        got = rows.mapInArrow(vectors, "class int, x array<double>").toArrow()  # bounded by limit
+    x, y = np.array(got["x"].to_pylist(), float).reshape(len(got), -1), got["class"].to_numpy()
+    fine = np.isfinite(x).all(1) if len(x) else np.zeros(0, bool)
+    order = np.lexsort((*x[fine].T, y[fine]))  # sums don't depend on the order of rows
+    x, y = x[fine][order], y[fine][order]
+    return {"lean": lean[-1], **fitted(x, y)} if len(x) else None
+
+
 def scores(model: dict, x: np.ndarray) -> np.ndarray:
     """Log density plus log prior of each row in each of CLASSES; -inf in a class that had no sample."""
     z = np.clip((x - model["centre"]) / model["scale"], -FARTHEST, FARTHEST)
@@ -213,5 +237,5 @@ def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that aren't judged low or toxic."""
+    """Keeps the documents that aren't judged low or toxic; nulls, ties and the like are as in classify(): what can't be judged stays."""
     return classify(docs, C.table(spark, sf_dir, "labels")).where("lf_class in ('good', 'unjudged')").select(*(f"`{c}`" for c in docs.columns))
