@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import time
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -363,6 +364,69 @@ def test_quality_held_out(spark):
     assert sum(r.lf_class != "good" for r in bad) >= 0.8 * len(bad)
 
 
+def test_quality_statistics_by_hand():
+    """Each statistic of a few texts, by plain counting."""
+    texts = ["Good day. Good day.\nA b c, 12 d!\nA b c, 12 d!\n", "\u00dcber uns: 5%", "x", "a\n\n\nb", "", None, " .,; \n"]
+    word = lambda w: C.word_table(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[2]
+    lean = {"low": np.sort(word("day")), "toxic": np.sort(np.concatenate([word("b"), word("x")]))}
+    got = quality.statistics(pa.array(texts), lean)
+    for t, row in zip(texts, got):
+        words = re.findall(r"[a-z0-9\x80-\xff]+", (t or "").lower().encode().decode("latin1"))
+        if not words:
+            assert np.isnan(row).all()
+            continue
+        raw, lens = t.encode(), [len(w) for w in words]
+        mean = (sum(lens) + 20) / (len(words) + 5)
+        spread = math.sqrt(max((sum(n * n for n in lens) + 100) / (len(words) + 5) - mean**2, 0))
+        lines = t.split("\n")
+        full = [x for x in raw.split(b"\n")]
+        full = [x + b"\n" for x in full[:-1]] + ([full[-1]] if full[-1] else [])
+        same = sum(n - 1 for n in Counter(full).values())
+        parts = []
+        for k, kinds in quality._KINDS.items():
+            p = (sum(b in kinds for b in raw) + quality.USUAL_CHARS * quality.USUAL[k]) / (len(raw) + quality.USUAL_CHARS)
+            parts.append(math.log(p / (1 - p)))
+        low, toxic = sum(w == "day" for w in words), sum(w in "bx" for w in words)
+        want = [math.log1p(len(raw)), math.log1p(len(words)), math.log1p(mean), math.log1p(spread), math.log(len(lines) + 1) - math.log(len(words) + 20), *parts]
+        want += [math.log((same + 0.1) / (len(lines) + 5)), math.log1p(low), math.log1p(toxic), math.log((toxic + 0.05) / (len(words) + 50))]
+        assert np.allclose(row, want, atol=1e-5), (t, quality.NAMES)
+
+
+def test_quality_fit_by_hand():
+    """Shrunk covariances and scores, by explicit sums and inverses."""
+    rng = np.random.default_rng(9)
+    y = np.repeat([0, 1, 2], [40, 12, 3])
+    x = rng.normal(size=(len(y), 4)) * [1, 2, 0.1, 5] + y[:, None]
+    model = quality.fitted(x, y)
+    z = np.clip((x - x.mean(0)) / x.std(0), -quality.FARTHEST, quality.FARTHEST)
+    cov = lambda v: sum(np.outer(r - v.mean(0), r - v.mean(0)) for r in v)
+    pooled = sum(cov(z[y == k]) for k in range(3)) / len(z)
+    for k, name in enumerate(quality.CLASSES):
+        n = int((y == k).sum())
+        a = quality.TO_POOLED + (1 - quality.TO_POOLED) * min(1, 4 / n)
+        s = (1 - a) * cov(z[y == k]) / n + a * pooled
+        s = (1 - quality.TO_DIAGONAL) * s + quality.TO_DIAGONAL * np.diag(np.maximum(np.diag(s), 0.05)) + 1e-6 * np.eye(4)
+        m = z[y == k].mean(0)
+        want = [-0.5 * (v - m) @ np.linalg.inv(s) @ (v - m) - 0.5 * np.log(np.linalg.det(s)) + np.log(n / len(z)) for v in z]
+        assert np.allclose(quality.scores(model, x)[:, k], want)
+
+
+def test_quality_lexicon_leaves_its_own_out(spark):
+    """A word that only one fold's documents hold often enough leans in the whole sample, but not where that fold is left out."""
+    rows = [(i, f"usual words here {'bad' if i % 2 else 'fine'} {'mine' if i == 1 else ''}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    made = quality.sample(docs.unionByName(docs), labels.unionByName(labels))
+    assert made.count() == 200  # a repeated id counts once
+    got = made.withColumn("text", F.when(F.col("fold") == 0, F.concat("text", F.lit(" zero"))).otherwise(F.col("text"))).where("class = 2 or fold > 0")
+    totals = {(r["class"], r["fold"]): r["count"] for r in got.groupBy("class", "fold").count().collect()}
+    lean = quality.leaning(got, totals)
+    word = lambda w: int(C.word_table(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[2][0])
+    holds = lambda f, w: word(w) in lean[f]["toxic"].tolist()
+    assert all(holds(f, "bad") for f in range(quality.FOLDS + 1)) and not any(holds(f, "usual") or holds(f, "mine") for f in range(quality.FOLDS + 1))
+    assert not holds(0, "zero") and holds(quality.FOLDS, "zero") and totals[2, 0] >= quality.LEAN_DOCS
+
+
 def test_quality_scores_are_log_densities():
     rng = np.random.default_rng(3)
     m, a = rng.normal(size=3), rng.normal(size=(3, 3))
