@@ -7,10 +7,18 @@ the product of its children's weighted probabilities mix to
 Pw = Pe / 2 + prod Pw(child) / 2, and the code length of a byte is that of the
 predictive mixture over all depths.
 
+A document must not be coded by a model that has seen it. Of a byte with its
+DEPTH bytes of context, its run, the occurrences in its own document are taken
+out of all nodes on the run's path before it is predicted. Where a node's own
+estimate has the share w = Pe / 2 / Pw, taking k occurrences of a bit out
+multiplies Pw by R = w * Pe' / Pe + (1 - w) * R(child), and the bit then has
+the probability R of k - 1 over R of k at the root. For k = 1, Pe' / Pe is
+n / (c - 1/2), with n and c the node's counts of all bits and of that one.
+
 The model is the table of byte runs of DEPTH + 1 bytes with their counts: the
 counts of all nodes are sums over it, and every byte of the corpus has one of
 its runs. The corpus is hashed into parts. Each part asks for the runs that it
-holds, the counts are summed over all parts, subtrees below two context bytes
+holds, once for each number of own occurrences, the counts are summed over all parts, subtrees below two context bytes
 are weighted side by side (the two levels above have at most 257 * 255 nodes),
 and each part gets the code lengths of its own runs back. Runs, counts and
 code lengths travel packed, one row for each part and bucket of subtrees.
@@ -23,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenframe.llm import common as C
 
@@ -81,17 +90,54 @@ def _only_runs(table: pa.Table) -> np.ndarray:
     return k
 
 
-def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of a part's texts, in order, and their numbers."""
+def own_counts(g: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How often each byte's run is in its own text."""
+    out = np.ones(len(g), np.int64)
+    if len(g) < 2:
+        return out
+    h = C.mixed(g + C.mixed(np.repeat(np.arange(1, len(off), dtype=_U), np.diff(off))))
+    s = np.sort(h)
+    again = np.zeros(1 << 22, bool)
+    again[s[1:][s[1:] == s[:-1]] >> _U(42)] = True
+    some = np.flatnonzero(again[h >> _U(42)])
+    _, which, n = np.unique(h[some], return_inverse=True, return_counts=True)
+    out[some] = n[which]
+    return out
+
+
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs of a part's texts, in order, and their numbers; places of runs, in order, that are in one text twice or more, and how often."""
     k = _only_runs(table)
     n = np.zeros(len(k), np.int64)
+    more = np.zeros((0, 2), np.int64)
     for batch in table.combine_chunks().to_batches():
         for block in C.blocks(batch, "text", 2 << 20):
-            g = runs(*C.text_buffer(block.column("text")))
+            buf, off = C.text_buffer(block.column("text"))
+            g = runs(buf, off)
+            own = own_counts(g, off)
+            some = np.flatnonzero(own > 1)
+            if len(some):
+                more = np.unique(np.concatenate([more, np.column_stack([np.searchsorted(k, g[some]), own[some]])]), axis=0)
             g.sort()
             at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
             n[np.searchsorted(k, g[at])] += np.diff(np.append(at, len(g)))
-    return k, n
+    return k, n, more[:, 0], more[:, 1]
+
+
+def labels(n: int) -> np.ndarray:
+    """n whole numbers that Spark's hash partitioner puts into n different partitions, in order."""
+    out, low = np.full(n, -1, np.int64), 0
+    rotate = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
+    while (out < 0).any():
+        v = np.arange(low, low + 16 * n, dtype=np.uint32)
+        h = np.uint32(42) ^ rotate(v * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = rotate(h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ h >> np.uint32(shift)) * np.uint32(by)
+        at = h.view(np.int32).astype(np.int64) % n
+        out[at[::-1]] = np.where(out[at[::-1]] < 0, v[::-1], out[at[::-1]])
+        low += 16 * n
+    return out
 
 
 def _by_bucket(keys: np.ndarray, buckets: int):
@@ -108,14 +154,26 @@ def _by_bucket(keys: np.ndarray, buckets: int):
         yield int(of[a]), order[a:b]
 
 
-def _asked(buckets: int):
+_ASKED = {"part": "int", "bucket": "int", "size": "long", "runs": "binary", "counts": "binary", "more": "long", "places": "binary", "owns": "binary"}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _asked(named: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        """(part, bucket, size, runs, counts): the distinct runs of a part's texts, packed."""
-        keys, n = _distinct(table)
-        rows = [(i, len(at), packed(np.diff(keys[at], prepend=_U(0))), packed(n[at])) for i, at in _by_bucket(keys, buckets)]
+        """A part's distinct runs by bucket, packed, with their numbers, and places in them of runs with several own occurrences."""
+        keys, n, places, owns = _distinct(table)
+        place = np.empty(len(keys), np.int64)
+        rows = []
+        for i, at in _by_bucket(keys, len(named)):
+            place[at] = np.arange(len(at))
+            here = np.zeros(len(keys), bool)
+            here[at] = True
+            some = here[places]
+            own = packed(np.diff(place[places[some]], prepend=0)), packed(owns[some])
+            rows.append((int(named[i]), len(at), packed(np.diff(keys[at], prepend=_U(0))), packed(n[at]), int(some.sum()), *own))
         part = table.column("part")[0].as_py() if table.num_rows else 0
-        bucket, size, run, count = zip(*rows) if rows else ((),) * 4
-        return pa.table({"part": pa.array([part] * len(rows), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "size": pa.array(size, pa.int64()), "runs": pa.array(run, pa.binary()), "counts": pa.array(count, pa.binary())})
+        columns = list(zip(*((part, *r) for r in rows))) or [()] * len(_ASKED)
+        return pa.table({name: pa.array(list(c), _ARROW[kind]) for c, (name, kind) in zip(columns, _ASKED.items())})
 
     return run
 
@@ -176,7 +234,7 @@ class Subtree:
             self.depths.append(summed(((k >> _U(16)) << _U(8)) | (k & _U(255)), c))
 
     def levels(self, k: int) -> tuple[list[tuple], np.ndarray, tuple]:
-        """Of bit k: by depth from DEPTH down to 3, (chance of a one, own weight, place of the parent); the deepest node of each run; depth 2."""
+        """Of bit k: by depth from DEPTH down to 2, (zeros, ones, share of the own estimate, place of the parent); the deepest node of each run; depth 2."""
         found, low, low_keys = [], None, None
         for key, count in self.depths:
             node = key >> _U(8 - k)
@@ -193,7 +251,7 @@ class Subtree:
                 up = np.searchsorted(node, parent)
                 found[-1] = (*found[-1], up)
                 log_pw, own = weighted(log_pw, np.bincount(up, low, len(node)))
-            found.append(((ones + 0.5) / (total + 1), own))
+            found.append((total - ones, ones, own))
             low, low_keys = log_pw, node
         return found, place, (node, total - ones, ones, log_pw)
 
@@ -211,29 +269,49 @@ class Subtree:
         flat, zeros, ones, log_pw = (np.concatenate(v) for v in zip(*rows))
         return pa.table({"c1": pa.array((flat >> 8).astype(np.int32)), "node": pa.array((flat & 255).astype(np.int32)), "zeros": zeros, "ones": ones, "log_pw": log_pw})
 
-    def bits(self, top: dict) -> np.ndarray:
-        """Code length of each run's last byte."""
+    def bits(self, top: list[tuple], places: np.ndarray, owns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code length of each run's last byte without one occurrence of it, and of the runs at some places without so many."""
         keys = self.depths[0][0]
-        out = np.zeros(len(keys))
+        out, more = np.zeros(len(keys)), np.zeros(len(places))
         for k in range(8):
             found, place, (node, *_) = self.levels(k)
             c1, heap = (node >> _U(k + 8) & _U(255)).astype(np.int64), (node & _U((1 << k) - 1) | _U(1 << k)).astype(np.int64)
-            # of the mixture down to a node: the sum so far, and the weight left to deeper nodes
-            p, left = (top["own0"] * top["one0"])[heap], (1 - top["own0"])[heap]
-            own, one = top["own1"][c1, heap], top["one1"][c1, heap]
-            p, left = p + left * own * one, left * (1 - own)
-            for i, (one, own, *_) in reversed(list(enumerate(found))):
-                if i < len(found) - 1:
-                    up = found[i][2]
-                    p, left = p[up], left[up]
-                p, left = p + left * own * one, left * (1 - own)
-            p = p[place]
-            out -= np.log2(np.where(keys >> _U(7 - k) & _U(1), p, 1 - p))
-        return out
-
-
-def top_of(rows: pa.Table) -> dict:
-    """Chances and weights of the nodes of depths 0 and 1. rows: summed (c1, node, zeros, ones, log_pw)."""
+            tops = [(*(v[at] for v in values), None) for values, at in zip(top, ((c1, heap), heap))]
+            bit = keys >> _U(7 - k) & _U(1) == 1
+            ratio, of, many = 0.0, place, _Several(bit[places], place[places], owns)
+            for zeros, ones, own, *up in (*found, *tops):
+                without = [own * (zeros + ones) / np.maximum(c - 0.5, 0.5) for c in (zeros, ones)]
+                ratio = np.where(bit, without[1][of], without[0][of]) + (1 - own)[of] * ratio
+                many.add(zeros, ones, own)
+                if up and up[0] is not None:
+                    of = up[0][of]
+                    many.of = up[0][many.of]
+            out += np.log2(ratio)
+            more += many.bits()
+        return out, more
+
+
+class _Several:
+    """log R of the module's text, for k and for k - 1 occurrences of a bit, from the deepest node upward."""
+
+    def __init__(self, bit: np.ndarray, of: np.ndarray, owns: np.ndarray):
+        self.bit, self.of, self.owns = bit, of, [owns, owns - 1]
+        self.ratios = [np.full(len(of), -np.inf)] * 2
+
+    def add(self, zeros: np.ndarray, ones: np.ndarray, own: np.ndarray) -> None:
+        if not len(self.of):
+            return
+        z, o, w = zeros[self.of], ones[self.of], own[self.of]
+        c, other = np.where(self.bit, o, z), np.where(self.bit, z, o)
+        with np.errstate(divide="ignore"):
+            self.ratios = [np.logaddexp(np.log(w) + log_kt(c - k, other) - log_kt(c, other), np.log1p(-w) + r) for k, r in zip(self.owns, self.ratios)]
+
+    def bits(self) -> np.ndarray:
+        return (self.ratios[0] - self.ratios[1]) / np.log(2) if len(self.of) else np.zeros(0)
+
+
+def top_of(rows: pa.Table) -> list[tuple]:
+    """(zeros, ones, share of the own estimate) of the nodes of depths 1 and 0. rows: summed (c1, node, zeros, ones, log_pw)."""
     at = (rows["c1"].to_numpy(), rows["node"].to_numpy())
     zeros, ones, low = (np.zeros((256, 256)) for _ in range(3))
     for name, into in (("zeros", zeros), ("ones", ones), ("log_pw", low)):
@@ -242,14 +320,14 @@ def top_of(rows: pa.Table) -> dict:
     log_pw1[zeros + ones == 0] = 0
     zeros0, ones0 = zeros.sum(0), ones.sum(0)
     _, own0 = weighted(log_kt(zeros0, ones0), log_pw1.sum(0))
-    return {"one1": (ones + 0.5) / (zeros + ones + 1), "own1": own1, "one0": (ones0 + 0.5) / (zeros0 + ones0 + 1), "own0": own0}
+    return [(zeros, ones, own1), (zeros0, ones0, own0)]
 
 
 class Lookup:
-    """Values by key, all of which are asked for by keys that are there: by a hashed slot, or by binary search where slots clash."""
+    """Places of keys, all of which are there: by a hashed slot, or by binary search where slots clash."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
         self.shift, self.odd = _U(64 - max(len(keys).bit_length() + 1, 4)), _U(0x9E3779B97F4A7C15)
         self.at = np.zeros(1 << 64 - int(self.shift), np.int32)
         self.at[keys * self.odd >> self.shift] = np.arange(len(keys), dtype=np.int32)
@@ -258,21 +336,38 @@ class Lookup:
         at = self.at[asked * self.odd >> self.shift]
         clash = np.flatnonzero(self.keys[at] != asked)
         at[clash] = np.searchsorted(self.keys, asked[clash])
-        return self.values[at]
+        return at
+
 
+_SCORED = "n_bytes long, bits double, bits_per_byte double"
 
-def _scored(docs: pa.Table, costs: pa.Table, buckets: int) -> pa.Table:
+
+def _scored(docs: pa.Table, costs: pa.Table, named: np.ndarray, kind: pa.DataType) -> pa.Table:
     run = _only_runs(docs)
     bits = np.zeros(len(run), np.float32)
-    rows = dict(zip(costs.column("bucket").to_pylist(), costs.column("bits").to_pylist()))
-    for i, at in _by_bucket(run, buckets):
-        bits[at] = unpacked(rows[i], len(at), np.float32)
-    of = Lookup(run, bits)
+    rows = {r["bucket"]: r for r in costs.drop_columns(["part"]).to_pylist()}
+    known, several = [np.zeros(0, _U)], [np.zeros(0, np.float32)]  # of runs with several own occurrences: place << 32 | occurrences
+    for i, at in _by_bucket(run, len(named)):
+        r = rows.pop(int(named[i]))
+        bits[at] = unpacked(r["bits"], len(at), np.float32)
+        place = np.cumsum(unpacked(r["places"], r["more"], np.int64))
+        known.append(at[place].astype(_U) << _U(32) | unpacked(r["owns"], r["more"], np.int64).astype(_U))
+        several.append(unpacked(r["more_bits"], r["more"], np.float32))
+    known, several = np.concatenate(known), np.concatenate(several)
+    by = np.argsort(known)
+    known, several = known[by], several[by]
+    of = Lookup(run)
     out = []
     for batch in docs.combine_chunks().to_batches():
         for block in C.blocks(batch, "text", 1 << 20):
             buf, off = C.text_buffer(block.column("text"))
-            each = of(runs(buf, off)).astype(float) if len(buf) else np.zeros(0)
+            each = np.zeros(0)
+            if len(buf):
+                g = runs(buf, off)
+                at = of(g)
+                each, own = bits[at].astype(float), own_counts(g, off)
+                some = np.flatnonzero(own > 1)
+                each[some] = several[np.searchsorted(known, at[some].astype(_U) << _U(32) | own[some].astype(_U))]
             size = np.diff(off)
             some = size > 0  # reduceat needs the starts of texts that hold bytes
             total = np.zeros(len(size))
@@ -282,25 +377,30 @@ def _scored(docs: pa.Table, costs: pa.Table, buckets: int) -> pa.Table:
             with np.errstate(invalid="ignore", divide="ignore"):
                 per = total / size
             out.append(pa.table({"doc_id": block.column("doc_id"), "n_bytes": pa.array(size, mask=none), "bits": pa.array(total, mask=none), "bits_per_byte": pa.array(per, mask=size == 0)}))
-    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "bits": pa.array([], pa.float64()), "bits_per_byte": pa.array([], pa.float64())})
+    empty = pa.schema([("doc_id", kind), ("n_bytes", pa.int64()), ("bits", pa.float64()), ("bits_per_byte", pa.float64())])
+    return pa.concat_tables(out) if out else empty.empty_table()
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, bits, bits_per_byte): code length of each document under the model of all documents.
-
-    Needs doc_id and text. A null text gets nulls; an empty one has 0 bytes,
-    0 bits and null bits_per_byte. Repeated rows are counted and scored as
-    often as they come; every document is part of the corpus that it is scored
-    against. Long texts are taken whole; empty docs give no rows; other
-    columns are ignored.
+    """(doc_id, n_bytes, bits, bits_per_byte): code length of each document under the model of all others.
+
+    Needs doc_id and text. Each byte is predicted without its run's own
+    occurrences in the document (see above); what other rows hold counts, also
+    that of rows that repeat this one: a copy makes a document cheap. A null
+    text gets nulls; an empty one has 0 bytes, 0 bits and null bits_per_byte.
+    Repeated rows are counted and scored as often as they come. Long texts are
+    taken whole; empty docs give no rows; ids keep their type; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     C.arrow_batches(spark)
-    docs = docs.select(C.own(docs, "doc_id").cast("long").alias("doc_id"), C.own(docs, "text").alias("text"))
-    n = C.parts(spark)
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    asked = docs.groupBy("part").applyInArrow(_asked(n), "part int, bucket int, size long, runs binary, counts binary")
-    model = C.kept(asked.groupBy("bucket").agg(F.collect_list(F.struct("part", "size", "runs", "counts")).alias("asks")), "runs")
+    docs = docs.select(C.own(docs, "doc_id").alias("doc_id"), C.own(docs, "text").alias("text"))
+    kind = docs.schema["doc_id"].dataType
+    named, arrow = labels(C.parts(spark)), to_arrow_type(kind)
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(named))).cast("int")
+    docs = docs.withColumn("part", F.get(F.lit([*map(int, named)]), part))
+    asked = docs.groupBy("part").applyInArrow(_asked(named), ", ".join(map(" ".join, _ASKED.items())))
+    model = C.kept(asked.groupBy("bucket").agg(F.collect_list(F.struct(*(c for c in _ASKED if c != "bucket"))).alias("asks")), "runs")
 
     def ups(batches):
         for _, _, _, keys, count in _gathered(batches):
@@ -311,12 +411,17 @@ def score(docs: DataFrame) -> DataFrame:
 
     def costed(batches):
         for bucket, asks, each, keys, count in _gathered(batches):
-            bits = Subtree(keys, count).bits(sent.value).astype(np.float32)
-            for a in asks:
-                yield pa.RecordBatch.from_pydict({"part": pa.array([a["part"]], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "bits": pa.array([packed(bits[np.searchsorted(keys, each(a))])], pa.binary())})
-
-    costs = model.mapInArrow(costed, "part int, bucket int, bits binary")
-    return docs.groupBy("part").cogroup(costs.groupBy("part")).applyInArrow(lambda d, c: _scored(d, c, n), "doc_id long, n_bytes long, bits double, bits_per_byte double")
+            at = [np.searchsorted(keys, each(a)).astype(np.int32) for a in asks]
+            places = [p[np.cumsum(unpacked(a["places"], a["more"], np.int64))] for p, a in zip(at, asks)]
+            bits, more = Subtree(keys, count).bits(sent.value, np.concatenate(places), np.concatenate([unpacked(a["owns"], a["more"], np.int64) for a in asks]))
+            bits, more, low = bits.astype(np.float32), more.astype(np.float32), 0
+            for p, a in zip(at, asks):
+                made = {"bits": packed(bits[p]), "more": a["more"], "places": a["places"], "owns": a["owns"], "more_bits": packed(more[low : low + a["more"]])}
+                low += a["more"]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([a["part"]], pa.int32()), "bucket": pa.array([bucket], pa.int32()), **{c: pa.array([v], pa.int64() if c == "more" else pa.binary()) for c, v in made.items()}})
+
+    costs = model.mapInArrow(costed, "part int, bucket int, bits binary, more long, places binary, owns binary, more_bits binary")
+    return docs.groupBy("part").cogroup(costs.groupBy("part")).applyInArrow(lambda d, c: _scored(d, c, named, arrow), f"doc_id {kind.simpleString()}, {_SCORED}")
 
 
 def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
