@@ -39,8 +39,9 @@ def test_ctw_texts_before_an_empty_one(spark):
         got = [r.bits for r in ctw.score(docs).collect() if r.n_bytes]
         assert len(got) == 3 and max(got) - min(got) < 1e-9
     run, cost = ctw._distinct(pa.table({"text": ["abc"]}))[0], np.array([1.0, 2.0, 3.0])
-    packs = pa.table({"bucket": [i for i, _ in ctw._by_bucket(run, 1)], "bits": [ctw.packed(cost[at].astype(np.float32)) for _, at in ctw._by_bucket(run, 1)]})
-    made = ctw._scored(pa.table({"doc_id": [1, 2], "text": ["abc", ""]}), packs, 1)
+    none = ctw.packed(np.zeros(0, np.int64))
+    rows = [{"part": 0, "bucket": 0, "bits": ctw.packed(cost[at].astype(np.float32)), "more": 0, "places": none, "owns": none, "more_bits": none} for _, at in ctw._by_bucket(run, 1)]
+    made = ctw._scored(pa.table({"doc_id": [1, 2], "text": ["abc", ""]}), pa.Table.from_pylist(rows), np.array([0]), pa.int64())
     assert made["bits"].to_pylist() == [6.0, 0.0]
 
 

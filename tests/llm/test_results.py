@@ -42,7 +42,7 @@ def test_sql(spark, data, name):
 
 
 def test_ctw(spark):
-    texts = ["abracadabra", "the cat sat", "the hat", "", "ñandú abra", "aaaaaaaaaaaaaaaa", "the cat sat"]
+    texts = ["abracadabra", "the cat sat", "the hat", "", "ñandú abra", "aaaaaaaaaaaaaaaa", "the cat sat", "the cat sat on the cat sat on the cat", "x"]
     got = {r.doc_id: r.bits for r in ctw.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     count, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
 
@@ -67,17 +67,40 @@ def test_ctw(spark):
         own = pe(*count[c, v])
         return own if len(c) == ctw.DEPTH else math.log(0.5) + np.logaddexp(own, sum(pw(k, v) for k in kids[c, v]))
 
-    def chance(c, v, bit):
-        p = None
+    def chance(c, v, bit, k):
+        """Of a bit after k occurrences of it, and of its path, are taken out."""
+        p, before, after = None, 0.0, 0.0
         for d in range(ctw.DEPTH, -1, -1):
-            n = count[c[:d], v]
-            kt = (n[bit] + 0.5) / (sum(n) + 1)
-            w = 1 if p is None else math.exp(math.log(0.5) + pe(*n) - pw(c[:d], v))
+            n = list(count[c[:d], v])
+            n[bit] -= k
+            kt, own = (n[bit] + 0.5) / (sum(n) + 1), pe(*n)
+            # before, after: log Pw of the deeper node with and without the occurrences
+            rest = 0.0 if p is None else sum(pw(j, v) for j in kids[c[:d], v]) - before + after
+            before, after = pw(c[:d], v), own if p is None else math.log(0.5) + np.logaddexp(own, rest)
+            w = 1 if p is None else math.exp(math.log(0.5) + own - after)
             p = kt if p is None else w * kt + (1 - w) * p
         return p
 
     for i, t in enumerate(texts):
-        assert got[i] == pytest.approx(-sum(math.log2(chance(*x)) for x in steps(t)), abs=1e-6)
+        b = t.encode()
+        run = lambda j: tuple(b[j - x] if j >= x else 0 for x in range(ctw.DEPTH + 1))  # noqa: B023, E731
+        own = Counter(map(run, range(len(b))))
+        want = -sum(math.log2(chance(*x, own[run(j // 8)])) for j, x in enumerate(steps(t)))
+        assert got[i] == pytest.approx(want, abs=1e-3)  # costs travel as 32-bit numbers
+
+
+def test_ctw_scores_copies_apart(spark, data):
+    docs = table(spark, data, "documents").where("length(text) > 400").limit(60).select("doc_id", "text")
+    again = docs.where("doc_id % 2 = 0")
+    got = ctw.score(docs.unionByName(again.selectExpr("-1 - doc_id as doc_id", "text"))).collect()
+    of = lambda twice: [r.bits_per_byte for r in got if r.doc_id >= 0 and (r.doc_id % 2 == 0) == twice]
+    assert np.median(of(True)) < 0.5 * np.median(of(False))
+
+
+def test_partition_labels(spark):
+    for n in (1, 7, 51, 200):
+        df = spark.createDataFrame([(int(v),) for v in ctw.labels(n)], "v int")
+        assert [r.p for r in df.selectExpr(f"pmod(hash(v), {n}) as p").collect()] == list(range(n))
 
 
 # composite text density: recursion over an explicit tree
