@@ -98,31 +98,32 @@ def _line_rows(edits: int, least: int):
                 while bounds[-1] <= size.max() + 16:
                     bounds = bucket_starts(2 * bounds[-1])
                 at_bucket = np.searchsorted(bounds, size[long], "right") - 1
-                ids, ids2, indexed, probed, seen = [], [], [], [], set()
-                n_index, n_probes = [], []
-                for s, e, k in zip(starts[long].tolist(), ends[long].tolist(), at_bucket.tolist()):
-                    line, n = raw[s:e], e - s
-                    name = x(line)
-                    ids.append(name)
+                # each distinct line once: its number, ids and keys
+                known: dict[bytes, int] = {}
+                which, n_index, n_probes = np.empty(len(long), np.int64), np.zeros(len(long), np.int32), np.zeros(len(long), np.int32)
+                ids, ids2, indexed, probed = [], [], [], []
+                for i, at in enumerate(long):
+                    s, e = int(starts[at]), int(ends[at])
+                    line, n, k = raw[s:e], e - s, int(at_bucket[i])
+                    which[i] = known.setdefault(line, len(ids))
+                    if which[i] < len(ids):
+                        continue
+                    ids.append(x(line))
                     ids2.append(y(line, 7))
-                    if k < 0 or name in seen:  # without near copies, or with its keys here already
-                        n_index.append(0)
-                        n_probes.append(0)
+                    if k < 0:  # no near copies
                         continue
-                    seen.add(name)
                     index, probes = keys(line, n, k, bounds[k])
                     if k and n < bounds[k] + allowed(bounds[k - 1], edits):
                         a, b = keys(line, n, k - 1, bounds[k - 1])
                         probes += a + b
                     indexed += index
                     probed += probes
-                    n_index.append(len(index))
-                    n_probes.append(len(probes))
+                    n_index[i], n_probes[i] = len(index), len(probes)
                 to64 = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
                 listed = lambda n, v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), to64(v))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(pa.array(owner[long])), to64(tids).take(pa.array(owner[long])), pa.array(number[long].astype(np.int32)), to64(ids), to64(ids2),
+                        part.column("doc_id").take(pa.array(owner[long])), to64(tids).take(pa.array(owner[long])), pa.array(number[long].astype(np.int32)), to64(ids).take(pa.array(which)), to64(ids2).take(pa.array(which)),
                         pa.array(size[long].astype(np.int32)), pa.array(signs.view(np.int64)), listed(n_index, indexed), listed(n_probes, probed),
                     ],
                     names=["doc_id", "tid", "line_no", "id", "id2", "size", "sign", "indexed", "probed"],
