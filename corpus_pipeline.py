@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. run() writes each stage's result to the folder that all executors share
-and reads it again, so that a lost executor costs one stage's tasks at most.
+and reads it again, so that a lost executor costs one stage's tasks at most;
+what a stage kept for itself, and its input, is removed when it is written.
 """
 
 from __future__ import annotations
@@ -24,7 +25,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages leave of documents, with its columns.
+
+    Nulls, empty and very long texts, ties, repeated rows, an empty table and
+    columns of any other names are as each stage defines: null and empty texts
+    pass the first four; equal texts with words are copies, one of which
+    stays; mixing repeats or drops rows by their source. An empty table gives
+    an empty one.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.kept(stage(spark, docs, sf_dir), name)
-    return docs
+    with common.scope(spark):
+        for name, stage in STAGES:
+            with common.scope(spark):
+                docs = common.kept(stage(spark, docs, sf_dir), name, out=True)
+        return common.kept(docs, "corpus", out=True)
