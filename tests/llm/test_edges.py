@@ -103,7 +103,7 @@ def test_mixing(docs):
 @pytest.fixture(scope="module")
 def clashing(spark):
     """Rows that repeat a doc_id and a text but differ in a url, with columns of names that operators might use themselves."""
-    rows = [(1, LINE, "s", f"u{i}") for i in (1, 2)] + [(2, LINE + "\n" + REST, "s", "u3"), (3, TAIL, "t", "u4")]
+    rows = [(1, LINE, "s", f"u{i}") for i in (1, 2)] + [(2, REST, "s", "u3"), (3, TAIL, "t", "u4")]
     names = "lf_id lf_tid lf_doc_id lf_stay lf_hash lf_copies lf_source lf_gone_lines row tid gone lines marked_id marked_tid same copies hash row_hash own_hash own_source own_doc_id own_row_hash kept_one lost".split()
     return spark.createDataFrame(rows, "doc_id long, text string, source string, url string").withColumns({**{n: F.lit(n) for n in names}, "a map": F.create_map(F.lit("k"), F.col("url"))})
 
