@@ -35,7 +35,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = common.table(spark, sf_dir, "documents")
     with common.scope(spark):
-        for name, stage in STAGES:
+        for k, (name, stage) in enumerate(STAGES, 1):
             with common.scope(spark):
-                docs = common.kept(stage(spark, docs, sf_dir), name, out=True)
-        return common.kept(docs, "corpus", out=True)
+                docs = common.kept(stage(spark, docs, sf_dir), name, out=1 + (k == len(STAGES)))
+    return docs

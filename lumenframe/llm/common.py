@@ -61,7 +61,7 @@ _SCOPES: list[list[str]] = []
 
 @contextmanager
 def scope(spark: SparkSession):
-    """Tables kept within are removed at the end, unless they are kept with out=True: those belong to the scope around, if any."""
+    """Tables kept within are removed at the end, unless they are kept with out=1 or more: those belong to a scope around, if any."""
     _SCOPES.append([])
     try:
         yield
@@ -71,11 +71,11 @@ def scope(spark: SparkSession):
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
 
 
-def kept(df: DataFrame, name: str, out: bool = False) -> DataFrame:
-    """Cut the lineage: write df to the shared folder as Parquet and read it again."""
+def kept(df: DataFrame, name: str, out: int = 0) -> DataFrame:
+    """Cut the lineage: write df to the shared folder as Parquet and read it again. out: of how many scopes the table is to outlive the end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenframe/{name}-{uuid.uuid4().hex}"
-    open_scopes = _SCOPES[:-1] if out else _SCOPES
+    open_scopes = _SCOPES[: max(len(_SCOPES) - out, 0)]
     if open_scopes:
         open_scopes[-1].append(path)
     df.write.parquet(path)
@@ -240,4 +240,4 @@ def components(edges: DataFrame, name: str) -> DataFrame:
                 break
             seen = sign
         roots = now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-        return kept(now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots), f"{name}-roots", out=True)
+        return kept(now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots), f"{name}-roots", out=1)

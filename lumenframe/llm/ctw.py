@@ -109,7 +109,7 @@ def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """The distinct runs of a part's texts, in order, and their numbers; places of runs, in order, that are in one text twice or more, and how often."""
     k = _only_runs(table)
     n = np.zeros(len(k), np.int64)
-    more = np.zeros((0, 2), np.int64)
+    more = [np.zeros(0, np.int64)]  # place << 32 | occurrences in a text
     for batch in table.combine_chunks().to_batches():
         for block in C.blocks(batch, "text", 2 << 20):
             buf, off = C.text_buffer(block.column("text"))
@@ -117,11 +117,12 @@ def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             own = own_counts(g, off)
             some = np.flatnonzero(own > 1)
             if len(some):
-                more = np.unique(np.concatenate([more, np.column_stack([np.searchsorted(k, g[some]), own[some]])]), axis=0)
+                more.append(np.unique(np.searchsorted(k, g[some]) << 32 | own[some]))
             g.sort()
             at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
             n[np.searchsorted(k, g[at])] += np.diff(np.append(at, len(g)))
-    return k, n, more[:, 0], more[:, 1]
+    several = np.unique(np.concatenate(more))
+    return k, n, several >> 32, several & 0xFFFFFFFF
 
 
 def labels(n: int) -> np.ndarray:
@@ -162,15 +163,12 @@ def _asked(named: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         """A part's distinct runs by bucket, packed, with their numbers, and places in them of runs with several own occurrences."""
         keys, n, places, owns = _distinct(table)
-        place = np.empty(len(keys), np.int64)
         rows = []
-        for i, at in _by_bucket(keys, len(named)):
-            place[at] = np.arange(len(at))
-            here = np.zeros(len(keys), bool)
-            here[at] = True
-            some = here[places]
-            own = packed(np.diff(place[places[some]], prepend=0)), packed(owns[some])
-            rows.append((int(named[i]), len(at), packed(np.diff(keys[at], prepend=_U(0))), packed(n[at]), int(some.sum()), *own))
+        for i, at in _by_bucket(keys, len(named)):  # at is in order
+            some = np.searchsorted(at, places)
+            some = np.flatnonzero(at[np.minimum(some, len(at) - 1)] == places) if len(places) else some
+            own = packed(np.diff(np.searchsorted(at, places[some]), prepend=0)), packed(owns[some])
+            rows.append((int(named[i]), len(at), packed(np.diff(keys[at], prepend=_U(0))), packed(n[at]), len(some), *own))
         part = table.column("part")[0].as_py() if table.num_rows else 0
         columns = list(zip(*((part, *r) for r in rows))) or [()] * len(_ASKED)
         return pa.table({name: pa.array(list(c), _ARROW[kind]) for c, (name, kind) in zip(columns, _ASKED.items())})
@@ -291,20 +289,36 @@ class Subtree:
         return out, more
 
 
+#: Up to so many occurrences are taken out one by one.
+_ONE_BY_ONE = 16
+
+
 class _Several:
     """log R of the module's text, for k and for k - 1 occurrences of a bit, from the deepest node upward."""
 
     def __init__(self, bit: np.ndarray, of: np.ndarray, owns: np.ndarray):
-        self.bit, self.of, self.owns = bit, of, [owns, owns - 1]
+        self.bit, self.of, self.owns = bit, of, owns.astype(float)
         self.ratios = [np.full(len(of), -np.inf)] * 2
+        self.few = [np.flatnonzero((owns > j) & (owns <= _ONE_BY_ONE)) for j in range(_ONE_BY_ONE)]
+        self.many = np.flatnonzero(owns > _ONE_BY_ONE)
 
     def add(self, zeros: np.ndarray, ones: np.ndarray, own: np.ndarray) -> None:
         if not len(self.of):
             return
         z, o, w = zeros[self.of], ones[self.of], own[self.of]
-        c, other = np.where(self.bit, o, z), np.where(self.bit, z, o)
+        c, n = np.where(self.bit, o, z), z + o
+        taken, last = np.zeros(len(c)), np.zeros(len(c))  # log Pe' - log Pe for k - 1 occurrences, and what the k-th adds
+        for j, some in enumerate(self.few):
+            if len(some):
+                taken[some] += last[some]
+                last[some] = np.log((n[some] - j) / (c[some] - j - 0.5))
+        if len(some := self.many):
+            a, b, k = c[some], (n - c)[some], self.owns[some]
+            taken[some] = log_kt(a - k + 1, b) - log_kt(a, b)
+            last[some] = np.log((a + b - k + 1) / (a - k + 0.5))
         with np.errstate(divide="ignore"):
-            self.ratios = [np.logaddexp(np.log(w) + log_kt(c - k, other) - log_kt(c, other), np.log1p(-w) + r) for k, r in zip(self.owns, self.ratios)]
+            mine, rest = np.log(w), np.log1p(-w)
+            self.ratios = [np.logaddexp(mine + x, rest + r) for x, r in zip((taken + last, taken), self.ratios)]
 
     def bits(self) -> np.ndarray:
         return (self.ratios[0] - self.ratios[1]) / np.log(2) if len(self.of) else np.zeros(0)

@@ -255,7 +255,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = 1) -> DataFr
         later = ends.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("near", F.lit(True))
         hits = firsts.join(later, "id", "left").where("n > 1 or near").select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
         gone = found.select("doc_id", "tid", "line_no", "id", "id2").join(hits, ["id", "id2"]).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
-        return C.kept(gone.select("doc_id", "tid", "line_no"), "gone-lines", out=True)
+        return C.kept(gone.select("doc_id", "tid", "line_no"), "gone-lines", out=1)
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = 1) -> DataFrame:

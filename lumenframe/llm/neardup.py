@@ -172,7 +172,7 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     docs = docs.select(C.own(docs, "doc_id").alias("doc_id"), C.own(docs, "text").alias("text")).where("text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     with C.scope(spark):
-        signed = C.kept(docs.mapInArrow(_signed, f"doc_id {kind}, tid long, bands array<long>"), "signatures", out=True)
+        signed = C.kept(docs.mapInArrow(_signed, f"doc_id {kind}, tid long, bands array<long>"), "signatures", out=1)
         rows = signed.select("tid", "bands").dropDuplicates(["tid"]).select("tid", F.explode("bands").alias("key"))
         shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         members = C.kept(rows.join(shared, "key"), "band-members")
@@ -188,7 +188,7 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         edges = C.kept(verified(stars, sets, threshold), "star-edges")
         rest = candidates(members, C.components(edges, "star")).join(stars, ["a", "b"], "left_anti")
         edges = edges.unionByName(C.kept(verified(rest, sets, threshold), "rest-edges"))
-        return signed.select("doc_id", "tid"), C.kept(C.components(edges, "all"), "all-roots", out=True)
+        return signed.select("doc_id", "tid"), C.kept(C.components(edges, "all"), "all-roots", out=1)
 
 
 def _copies(docs: DataFrame, threshold: float) -> DataFrame:

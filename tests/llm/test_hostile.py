@@ -74,7 +74,7 @@ def test_no_windows_over_lines_segments_or_bands(spark, data):
     seen = []
     kept = lines.C.kept
 
-    def watched(df, name, out=False):
+    def watched(df, name, out=0):
         seen.append((name, df._jdf.queryExecution().executedPlan().toString()))  # noqa: SLF001
         return kept(df, name, out)
 
