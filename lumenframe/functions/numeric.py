@@ -82,29 +82,37 @@ def polynomial_through(points: list[tuple[float, float]], t: Column) -> Column:
     return out
 
 
-def spline(knots: list[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:
-    """Coefficients (x, a, b, c, d) of a natural cubic spline in the order of x; three knots at least."""
+def spline(knots: list[tuple[float, float]]) -> list[tuple[float, ...]]:
+    """Pieces (x, value, slope, half the curvature, a sixth of its change) of a cubic spline, each from the right-hand knot of its interval; the first has a value only.
+
+    Three knots at least. The curvature at the first knot is 0; at the last
+    one it closes the elimination by the equation of the last inner knot.
+    """
     if len(knots) < 3:
         raise ValueError("a spline needs three points")
-    p = sorted(knots)
-    n = len(p)
-    h = [p[i + 1][0] - p[i][0] for i in range(n - 1)]
-    m, z = [0.0] * n, [0.0] * n
-    c = [0.0] * n
-    for i in range(1, n - 1):
-        g = 2 * (p[i + 1][0] - p[i - 1][0]) - h[i - 1] * m[i - 1]
-        m[i] = h[i] / g
-        z[i] = (3 * ((p[i + 1][1] - p[i][1]) / h[i] - (p[i][1] - p[i - 1][1]) / h[i - 1]) - h[i - 1] * z[i - 1]) / g
+    x, y = zip(*sorted(knots))
+    n = len(x)
+    gap = [b - a for a, b in zip(x, x[1:])]
+    rise = [(b - a) / g for a, b, g in zip(y, y[1:], gap)]
+    factor, rest = [0.0], [0.0]  # curvature[i] = factor[i] * curvature[i + 1] + rest[i]
+    for before, after, jump in zip(gap, gap[1:], (6 * (q - p) for p, q in zip(rise, rise[1:]))):
+        pivot = 2 * (before + after) + before * factor[-1]
+        last = jump - before * rest[-1], pivot, before, after, jump
+        factor.append(-after / pivot)
+        rest.append(last[0] / pivot)
+    _, _, before, after, jump = last
+    curve = [0.0] * n
+    curve[-1] = (jump - before * rest[-1]) / (2 * (before + after) + before * factor[-1])
     for i in range(n - 2, 0, -1):
-        c[i] = z[i] - m[i] * c[i + 1]
-    return [(p[i][0], p[i][1], (p[i + 1][1] - p[i][1]) / h[i] - h[i] * (c[i + 1] + 2 * c[i]) / 3, c[i], (c[i + 1] - c[i]) / (3 * h[i])) for i in range(n - 1)]
+        curve[i] = factor[i] * curve[i + 1] + rest[i]
+    pieces = [(x[i], y[i], gap[i - 1] * (2 * curve[i] + curve[i - 1]) / 6 + rise[i - 1], curve[i] / 2, (curve[i] - curve[i - 1]) / gap[i - 1] / 6) for i in range(1, n)]
+    return [(x[0], y[0], 0.0, 0.0, 0.0), *pieces]
 
 
-def spline_at(coefficients: list[tuple[float, float, float, float, float]], x: Column) -> Column:
+def spline_at(pieces: list[tuple[float, ...]], x: Column) -> Column:
     """The spline's value; left of the first knot its value there, right of the last its last piece."""
-    first = coefficients[0]
-    out = F.when(x <= first[0], F.lit(first[1]))
-    for k, (x0, a, b, c, d) in enumerate(coefficients):
-        v = a + (x - x0) * (b + (x - x0) * (c + (x - x0) * d))
-        out = out.when(x <= coefficients[k + 1][0], v) if k + 1 < len(coefficients) else out.otherwise(v)
+    out = F.when(x <= pieces[0][0], F.lit(pieces[0][1]))
+    for k, (x0, a, b, c, d) in enumerate(pieces[1:], 2):
+        v = a + (b + (c + d * (x - x0)) * (x - x0)) * (x - x0)
+        out = out.when(x <= x0, v) if k < len(pieces) else out.otherwise(v)
     return out

@@ -35,17 +35,17 @@ class Stream:
         return low + (high - low) * self.next() / _M
 
     def normal(self, mean: float = 0.0, sd: float = 1.0) -> float:
-        """By the polar method; every other call gives the pair's second number."""
+        """By the polar method; of each pair the second coordinate comes first, and the next call gives the other."""
         if self.spare is not None:
             z, self.spare = self.spare, None
             return mean + sd * z
         while True:
             u, v = self.uniform(-1, 1), self.uniform(-1, 1)
             s = u * u + v * v
-            if 0 < s < 1:
+            if 0 < s <= 1:
                 k = sqrt(-2 * log(s) / s)
-                self.spare = v * k
-                return mean + sd * u * k
+                self.spare = u * k
+                return mean + sd * v * k
 
 
 def minimise(low: list[float], high: list[float], start: list[float], f: Callable[[list[float]], float], rounds: int = 50) -> tuple[list[float], float]:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenframe.operators import frames
+
 
 def integral(img: DataFrame, key: str) -> DataFrame:
     """Inclusive two-dimensional prefix sums of v, as ii."""
@@ -104,6 +106,50 @@ def scale_bilinear(img: DataFrame, key: list[str], h0: int, w0: int, h: int, w:
     return made.select(*key, F.col("i").alias("y"), F.col("j").alias("x"), F.shiftright("s", 20).alias("v"))
 
 
+def scale_bilinear_float(img: DataFrame, key: list[str], h0: int, w0: int, h: int, w: int) -> DataFrame:
+    """Bilinear scaling with weights that aren't rounded; v is not whole."""
+
+    def side(i: Column, n0: int, n: int):
+        s = F.greatest((i + 0.5) * (float(n0) / n) - 0.5, F.lit(0.0))
+        low = F.floor(s)
+        return (F.least(low, F.lit(n0 - 1)), 1 - (s - low)), (F.least(low + 1, F.lit(n0 - 1)), s - low)
+
+    four = F.array(*(F.struct(y.alias("y"), x.alias("x"), (wy * wx).alias("k")) for y, wy in side(F.col("i"), h0, h) for x, wx in side(F.col("j"), w0, w)))
+    g = _grid(img, h, w).select("i", "j", F.explode(four).alias("t")).select("i", "j", "t.y", "t.x", "t.k")
+    made = img.join(g, ["y", "x"]).groupBy(*key, "i", "j").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
+    return made.select(*key, F.col("i").alias("y"), F.col("j").alias("x"), "v")
+
+
+def halve_planes(uv: DataFrame, key: list[str], planes: tuple[str, ...] = ("u", "v")) -> DataFrame:
+    """Interleaved colour planes at half their size, by rounded averages of 2 x 2."""
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("plane"), F.col(p).alias("value")) for p in planes))).alias("p")
+    long = uv.select(*key, "y", "x", each).select(*key, "y", "x", "p.plane", F.col("p.value").alias("v"))
+    half = downscale_average(long, [*key, "plane"], 2)
+    return half.groupBy(*key, "y", "x").agg(*(F.max(F.when(F.col("plane") == p, F.col("v"))).alias(p) for p in planes))
+
+
+def rotate_crop(img: DataFrame, key: list[str], h0: int, w0: int, alpha: float, left: int, top: int, h: int, w: int, bilinear: bool = False) -> DataFrame:
+    """An h x w picture from (left, top) on of the image turned by alpha about its centre into its enlarged frame; nearest or bilinear, clamped to the edge."""
+    from math import cos, sin
+
+    sn, cs = sin(-alpha), cos(-alpha)
+    rw, rh = abs(w0 / 2 * cs) + abs(h0 / 2 * sn), abs(h0 / 2 * cs) + abs(w0 / 2 * sn)
+    di, dj = F.col("i") + (top - rh), F.col("j") + (left - rw)
+    y, x = h0 / 2 + (sn * dj + cs * di), w0 / 2 + (cs * dj - sn * di)
+    whole = lambda v: v.cast("bigint")  # noqa: E731  toward zero
+    clamp = lambda v, n: F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(n - 1).cast("bigint"), v))
+    g = _grid(img, h, w).select("i", "j", y.alias("ty"), x.alias("tx"))
+    if not bilinear:
+        g = g.select("i", "j", clamp(whole(F.col("ty") + 0.5), h0).alias("y"), clamp(whole(F.col("tx") + 0.5), w0).alias("x"))
+        return img.join(g, ["y", "x"]).select(*key, F.col("i").alias("y"), F.col("j").alias("x"), "v")
+    y0, x0 = whole(F.col("ty")), whole(F.col("tx"))
+    dy, dx = F.col("ty") - y0, F.col("tx") - x0
+    four = F.array(*(F.struct(clamp(y0 + a, h0).alias("y"), clamp(x0 + b, w0).alias("x"), ((dy if a else 1 - dy) * (dx if b else 1 - dx)).alias("k")) for a in (0, 1) for b in (0, 1)))
+    g = g.select("i", "j", F.explode(four).alias("t")).select("i", "j", "t.y", "t.x", "t.k")
+    made = img.join(g, ["y", "x"]).groupBy(*key, "i", "j").agg(F.sum(F.col("v") * F.col("k")).alias("s"))
+    return made.select(*key, F.col("i").alias("y"), F.col("j").alias("x"), F.round("s", 6).cast("bigint").alias("v"))
+
+
 def scale_hq(img: DataFrame, key: list[str], h0: int, w0: int, h: int, w: int) -> DataFrame:
     """Block means where the least ratio is 2 or more, bilinear scaling below that."""
     ratio = min(h0 / h, w0 / w)
@@ -115,41 +161,30 @@ def scale_hq(img: DataFrame, key: list[str], h0: int, w0: int, h: int, w: int) -
     return img.join(g, ["y", "x"]).groupBy(*key, "i", "j").agg(F.floor(F.sum("v") / (n * n)).alias("v")).select(*key, F.col("i").alias("y"), F.col("j").alias("x"), "v")
 
 
-def _blur(img: DataFrame, key: list[str], along: str, across: str, n: int, r: int) -> DataFrame:
-    # a window sum, with the left side mirrored at the edge pixel and the right side mirrored with it
-    moved = img.select(*key, across, F.explode(F.sequence(F.col(along) - r, F.col(along) + r)).alias("to"), along, "v")
-    inside = moved.where(F.col("to").between(0, n - 1))
-    left = img.where(F.col(along).between(1, r)).select(*key, across, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(r).cast("bigint") - F.col(along))).alias("to"), along, "v")
-    right = img.where(F.col(along) >= n - r).select(*key, across, F.explode(F.sequence(2 * n - 1 - F.col(along) - r, F.lit(n - 1).cast("bigint"))).alias("to"), along, "v")
-    every = inside.unionByName(left).unionByName(right)
-    return every.groupBy(*key, across, "to").agg(F.floor(F.sum("v") / (2 * r + 1)).alias("v")).withColumnRenamed("to", along)
-
-
 def box_blur(img: DataFrame, key: list[str], h: int, w: int, r: int) -> DataFrame:
-    """Box blur of radius r along rows, then along columns, rounded down after each; needs h, w >= 2 r + 1.
+    """Box blur of radius r along rows, then along columns, rounded down after each; needs h, w >= r + 1.
 
     Beyond the left or upper edge the image is mirrored without repeating its
     edge pixel, beyond the right or lower edge with it.
     """
-    return _blur(_blur(img, key, "x", "y", w, r), key, "y", "x", h, r).select(*key, "y", "x", "v")
-
-
-def neighbours(img: DataFrame, key: list[str], h: int, w: int, r: int) -> DataFrame:
-    """(key, y, x, v, ny, nx, nv): each pixel with all in its window; rows are cut at the border, columns repeat the edge pixel."""
-    d = F.explode(F.sequence(F.lit(-r), F.lit(r)))
-    places = img.select(*key, "y", "x", "v", d.alias("dy")).select("*", d.alias("dx")).withColumn("ny", F.col("y") + F.col("dy")).where(F.col("ny").between(0, h - 1))
-    places = places.withColumn("nx", F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(w - 1).cast("bigint"), F.col("x") + F.col("dx"))))
-    other = img.select(*key, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv"))
-    return places.join(other, [*key, "ny", "nx"])
+    return frames.mapped(frames.gathered(img, key), key, lambda a: frames.box_blur(a, r), "v")
 
 
 def bilateral(img: DataFrame, key: list[str], h: int, w: int, sd: float, sr: float) -> DataFrame:
     """Bilateral filter of a grey image: a flat window of radius sqrt(3) sd, range weights falling linearly to 0 at sqrt(6) * 255 * sr."""
-    r, top = int(3**0.5 * sd), int(sr * 6**0.5 * 255)
-    weight = F.greatest(F.lit(0), top - F.abs(F.col("nv") - F.col("v")) * 254)
-    near = neighbours(img, key, h, w, r).withColumn("k", weight)
-    s = near.groupBy(*key, "y", "x").agg(F.sum(F.col("nv") * F.col("k")).alias("s"), F.sum("k").alias("k"))
-    return s.select(*key, "y", "x", F.floor((F.col("s") + F.floor(F.col("k") / 2)) / F.col("k")).alias("v"))
+    return frames.mapped(frames.gathered(img, key), key, lambda a: frames.bilateral(a, sd, sr), "v")
+
+
+def lbp_radii(img: DataFrame, key: list[str], n: int, mask: int = 0xF8) -> DataFrame:
+    """Local binary patterns of radii 1 to n: (key, y, x, code), with n rows for each inner row of the image."""
+    return frames.mapped(frames.gathered(img, key), key, lambda a: frames.patterns(a, n, mask), "code")
+
+
+def warp(img: DataFrame, key: str, motions: DataFrame, nearest: bool = False) -> DataFrame:
+    """Images moved by motions (key, shift_x, shift_y, scale, alpha), bilinear or by nearest pixels; images without one go."""
+    parts = ("shift_x", "shift_y", "scale", "alpha")
+    rows = frames.gathered(img, [key]).join(motions.select(key, *(F.col(c).cast("double").alias(c) for c in parts)), key)
+    return frames.mapped(rows, [key], lambda a, *m: frames.warped(a, *m, nearest=nearest), "v", more=parts)
 
 
 LBP_ORDER = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]

@@ -87,3 +87,34 @@ def detect_pyramid(img: DataFrame, key: str, model: DataFrame, h0: int, w0: int,
     if out is None:
         raise ValueError("the model is larger than the image")
     return out
+
+
+def detect(img: DataFrame, key: str, model: DataFrame, h0: int, w0: int, h: int, w: int, threshold: float, step: float, start: float = 1.0) -> DataFrame:
+    """(image_id, pos, x, y, w, h, conf): the detections of all scales, merged, without weak and dominated ones."""
+    from lumenframe.operators.rect import cleaned
+
+    return cleaned(detect_pyramid(img, key, model, h0, w0, h, w, threshold, step, start))
+
+
+def negatives(images: DataFrame, truth: DataFrame, wanted: Column, h: int, w: int, tries: int) -> DataFrame:
+    """(image_id, nth, x, y, w, h): random windows of an image that overlap each true rectangle by an IoU under 0.5, the first `wanted` of so many tries.
+
+    images: (image_id, height, width), of which those larger than h x w by two
+    or more give samples, and columns for wanted. The windows have the model's
+    shape, 1 to as many times its size as fit, and come from a fixed stream of
+    each image and try, so that a lost task gives the same ones again.
+    """
+    from pyspark.sql.window import Window
+
+    from lumenframe.operators.rect import iou, prefixed
+
+    draw = lambda k: ((F.col("image_id") % 1000003 * 7919 + F.col("try") * 104729 + k * 15485863) * 69069 + 12345) % 1000003
+    fits = images.where((F.col("height") - 1 > h) & (F.col("width") - 1 > w)).withColumn("wanted", wanted)
+    tried = fits.select("image_id", "height", "width", "wanted", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tries - 1).cast("bigint"))).alias("try"))
+    most = F.least((F.col("height") - 1) / h, (F.col("width") - 1) / w)
+    tried = tried.withColumn("scale", 1 + (most - 1) * (draw(1) / 1000003.0)).withColumns({"b_h": F.floor(h * F.col("scale")), "b_w": F.floor(w * F.col("scale"))})
+    tried = tried.withColumns({"b_y": draw(2) % (F.col("height") - F.col("b_h")), "b_x": draw(3) % (F.col("width") - F.col("b_w"))})
+    t = prefixed(truth, "a_").withColumnRenamed("image_id", "a_image")
+    free = tried.join(t, (F.col("image_id") == F.col("a_image")) & (iou("a_", "b_") >= 0.5), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("image_id").orderBy("try"))
+    return free.withColumn("nth", nth).where("nth <= wanted").select("image_id", "nth", *(F.col(f"b_{c}").alias(c) for c in "xywh"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections import deque
 from math import cos, log2, sin
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators import frames
+
 MAX_SCALE, MAX_ANGLE = 1.05, 0.003
 
 
@@ -20,24 +24,22 @@ def match_blocks(pairs: DataFrame, keys: list[str], size: int, reach: int) -> Da
     of the place. The weight falls with how well far shifts do, too. Shifts
     that leave the frame are not tried.
     """
-    span = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    a = pairs.select(*keys, F.floor(F.col("y") / size).alias("by"), F.floor(F.col("x") / size).alias("bx"), "y", "x", "va")
-    a = a.select("*", span.alias("dy")).select("*", span.alias("dx"))
-    b = pairs.select(*keys, F.col("y").alias("ty"), F.col("x").alias("tx"), "vb")
-    both = a.withColumns({"ty": F.col("y") + F.col("dy"), "tx": F.col("x") + F.col("dx")}).join(b, [*keys, "ty", "tx"])
-    n = size * size
-    px = both.groupBy(*keys, "by", "bx", "dy", "dx").agg(F.collect_list(F.struct("va", "vb")).alias("p"), F.sum("va").alias("sa"), F.sum("vb").alias("sb")).where(F.size("p") == n)
-    mean = lambda c: F.floor((F.col(c) + n // 2) / n)
-    da, db = F.greatest(mean("sb") - mean("sa"), F.lit(0)), F.greatest(mean("sa") - mean("sb"), F.lit(0))
-    diff = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, q: s + F.abs(F.least(q["va"] + da, F.lit(255)) - F.least(q["vb"] + db, F.lit(255))))
-    low = lambda c: c.bitwiseAND(F.lit(4095))
-    y, x = F.col("by") * size, F.col("bx") * size
-    h = low((low((low((low((y + 10007) * 10009) + F.col("dy")) * 10037) + x) * 10039) + F.col("dx")) * 10061)
-    tried = px.select(*keys, y.alias("y"), x.alias("x"), "dy", "dx", diff.alias("diff"), (diff * 4096 + h).alias("order"))
-    best = tried.groupBy(*keys, "y", "x").agg(F.min(F.struct("order", "dy", "dx", "diff")).alias("b"), F.collect_list(F.struct("dy", "dx", "diff")).alias("all"))
-    apart = lambda t: (t["dy"] - F.col("b.dy")) * (t["dy"] - F.col("b.dy")) + (t["dx"] - F.col("b.dx")) * (t["dx"] - F.col("b.dx"))
-    rival = F.array_max(F.transform("all", lambda t: (F.col("b.diff") + n) / (t["diff"] + n) * F.least(0.05 * apart(t), F.lit(1.0))))
-    return best.select(*keys, "y", "x", F.col("b.dy").alias("dy"), F.col("b.dx").alias("dx"), F.col("b.diff").alias("diff"), (1 - rival).alias("weight"))
+    rows = frames.gathered(pairs, keys, ("va", "vb"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+
+    def run(batches):
+        for b in batches:
+            sizes = np.column_stack([b.column(c).to_numpy() for c in ("h", "w")])
+            for h, w in np.unique(sizes, axis=0).tolist():
+                some = b.take(pa.array(np.flatnonzero((sizes == (h, w)).all(1))))
+                made = frames.matched_blocks(*(some.column(c).flatten().to_numpy().reshape(-1, h, w) for c in ("va", "vb")), size, reach)
+                n, down, across = made["dy"].shape
+                each = pa.array(np.repeat(np.arange(n), down * across))
+                y, x = np.tile(np.repeat(np.arange(down) * size, across), n), np.tile(np.arange(across) * size, n * down)
+                out = [y, x, made["dy"].astype(np.int32), made["dx"].astype(np.int32), made["diff"], made["weight"]]
+                yield pa.RecordBatch.from_arrays([*(some.column(k).take(each) for k in keys), *(pa.array(v.reshape(-1)) for v in out)], names=[*keys, "y", "x", "dy", "dx", "diff", "weight"])
+
+    return rows.mapInArrow(run, f"{head}, y long, x long, dy int, dx int, diff long, weight double")
 
 
 def without_ignored(blocks: DataFrame, ignored: DataFrame, size: int) -> DataFrame:
@@ -78,6 +80,16 @@ def combine(a: tuple, b: tuple) -> tuple:
     return (c * a[0] - s * a[1]) * b[2] + b[0], (s * a[0] + c * a[1]) * b[2] + b[1], a[2] * b[2], a[3] + b[3], min(a[4], b[4])
 
 
+def coverage(motions: DataFrame, h: int, w: int) -> DataFrame:
+    """Adds x_min, x_max, y_min, y_max and fill of the moved frame's corners about its centre: how far it reaches (0 at least), and the scale that would cover it all (1 at least)."""
+    c, s = F.cos("alpha") * F.col("scale"), F.sin("alpha") * F.col("scale")
+    corners = [(c * x - s * y + F.col("shift_x"), s * x + c * y + F.col("shift_y")) for x in (-w / 2, w / 2) for y in (-h / 2, h / 2)]
+    xs, ys = zip(*corners)
+    fill = F.greatest(F.lit(1.0), *(F.abs(x) / (w / 2) for x in xs), *(F.abs(y) / (h / 2) for y in ys))
+    ends = {"x_min": F.least(F.lit(0.0), *xs), "x_max": F.greatest(F.lit(0.0), *xs), "y_min": F.least(F.lit(0.0), *ys), "y_max": F.greatest(F.lit(0.0), *ys), "fill": fill}
+    return motions.withColumns(ends)
+
+
 class Stabiliser:
     """One video's state: the last motions, what they came to, and their last mean.
 

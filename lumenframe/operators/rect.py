@@ -6,12 +6,12 @@ equi-join key; the predicates prune the pairs.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.session import cut
-
 
 def overlap(a: str, b: str) -> Column:
     """Area of the intersection of two rectangles, named by prefix; touching or apart: 0."""
@@ -52,37 +52,86 @@ def alike(a: str = "a_", b: str = "b_") -> Column:
     return (hi < lo * 4) & (overlap(a, b) * 10 > lo * 8)
 
 
-def components(rects: DataFrame) -> DataFrame:
-    """(image_id, pos, root): each rectangle with the least pos of its component under alike().
+#: Pairs of rectangles that are compared at once.
+_PAIRS = 1 << 22
+
+
+def _roots(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first rectangle of each one's component under alike(). end: where each one's image ends."""
+    n, area_ = len(x), w * h
+    root, at = np.arange(n), 0
+    left = end - np.arange(n) - 1
+    upto = np.cumsum(left)
+    links = []
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, "right")))
+        k = left[at:to]
+        a = np.repeat(np.arange(at, to), k)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        over = np.maximum(np.minimum(x[a] + w[a], x[b] + w[b]) - np.maximum(x[a], x[b]), 0) * np.maximum(np.minimum(y[a] + h[a], y[b] + h[b]) - np.maximum(y[a], y[b]), 0)
+        lo, hi = np.minimum(area_[a], area_[b]), np.maximum(area_[a], area_[b])
+        fine = (hi < lo * 4) & (over * 10 > lo * 8)
+        links.append(np.stack([a[fine], b[fine]]))
+        at = to
+    a, b = np.concatenate(links, 1) if links else np.zeros((2, 0), np.int64)
+    while len(a):
+        old = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if (root == old).all():
+            break
+    return root
+
 
-    Minimum labels spread along edges and jump along themselves until nothing
-    changes; each round is checkpointed, and its number is logarithmic in the
-    component's diameter.
+def rooted(rects: DataFrame) -> DataFrame:
+    """rects with root: the least pos of each rectangle's component under alike().
+
+    One shuffle by image gathers its rectangles; components never leave an
+    image, and are found there by spreading least labels in numpy. Of a very
+    large image only so many pairs are held at a time.
     """
-    p = pairs(rects).where(alike())
-    edges = p.select("image_id", F.col("a_pos").alias("u"), F.col("b_pos").alias("v")).union(p.select("image_id", F.col("b_pos"), F.col("a_pos")))
-    edges = cut(edges)
-    # rectangles without edges are their own components
-    now = edges.select("image_id", F.col("u").alias("pos")).distinct().withColumn("root", F.col("pos"))
-    while True:
-        low = edges.join(now.select("image_id", F.col("pos").alias("v"), "root"), ["image_id", "v"]).groupBy("image_id", F.col("u").alias("pos")).agg(F.min("root").alias("m"))
-        met = now.join(low, ["image_id", "pos"], "left").select("image_id", "pos", "root", F.least("root", F.coalesce("m", "root")).alias("next"))
-        jump = met.select("image_id", F.col("pos").alias("next"), F.col("next").alias("far"))
-        made = met.join(jump, ["image_id", "next"], "left").select("image_id", "pos", "root", F.coalesce("far", "next").alias("to"))
-        made = cut(made)
-        now = made.select("image_id", "pos", F.col("to").alias("root"))
-        if not made.where("root <> to").limit(1).count():
-            break
-    return rects.select("image_id", "pos").join(now, ["image_id", "pos"], "left").select("image_id", "pos", F.coalesce("root", "pos").alias("root"))
+    names = [c for c in rects.columns if c not in ("image_id", "pos")]
+    rows = rects.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("rows")).select("image_id", *(F.col("rows")[c].alias(c) for c in ("pos", *names)))
+    kinds = {f.name: f.dataType.simpleString() for f in rects.schema.fields}
+
+    def run(batches):
+        for b in batches:
+            lists = {c: b.column(c).flatten() for c in ("pos", *names)}
+            size = b.column("pos").value_lengths().to_numpy()
+            end = np.repeat(np.cumsum(size), size)
+            root = _roots(*(lists[c].to_numpy() for c in "xywh"), end)
+            image = b.column("image_id").take(pa.array(np.repeat(np.arange(len(size)), size)))
+            yield pa.RecordBatch.from_arrays([image, *lists.values(), lists["pos"].take(pa.array(root))], names=["image_id", *lists, "root"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("image_id", "pos", *names)) + f", root {kinds['pos']}")
+
+
+def components(rects: DataFrame) -> DataFrame:
+    """(image_id, pos, root): each rectangle with the least pos of its component under alike()."""
+    return rooted(rects.select("image_id", "pos", "x", "y", "w", "h")).select("image_id", "pos", "root")
 
 
 def merged(rects: DataFrame) -> DataFrame:
     """One rectangle for each component: the mean of its rectangles weighted by confidence, and their summed confidence."""
-    both = rects.join(components(rects), ["image_id", "pos"])
+    both = rooted(rects.select("image_id", "pos", "x", "y", "w", "h", "conf"))
     mean = lambda c: (F.sum(F.col(c) * F.col("conf")) / F.sum("conf")).alias(c)
     return both.groupBy("image_id", "root").agg(*(mean(c) for c in "xywh"), F.sum("conf").alias("conf"), F.count("*").alias("n"))
 
 
+def cleaned(rects: DataFrame) -> DataFrame:
+    """Detections (image_id, x, y, w, h, conf) merged by component, without weak and dominated ones."""
+    order = Window.partitionBy("image_id").orderBy(F.col("conf").desc(), "x", "y", "w", "h")
+    named = merged(rects.withColumn("pos", F.row_number().over(order).cast("bigint"))).withColumnRenamed("root", "pos").drop("n")
+    return without_dominated(confident(named).drop("rank"))
+
+
+def scaled_around_centre(a: str, k: float) -> dict[str, Column]:
+    """A rectangle, named by prefix, scaled about its centre."""
+    x, y, w, h = (F.col(f"{a}{c}") for c in "xywh")
+    return {"x": x + w / 2 - w * (k / 2), "y": y + h / 2 - h * (k / 2), "w": w * k, "h": h * k}
+
+
 def confident(rects: DataFrame, factor: int = 10) -> DataFrame:
     """Rectangles whose confidence is at least a factor-th of their image's largest, the most confident first."""
     over = Window.partitionBy("image_id")

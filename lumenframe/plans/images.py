@@ -219,3 +219,95 @@ def color_pixel_ops(spark, d):
 def color_bgr_export(spark, d):
     px = color.packed(("b", "g", "r"))
     return X.part_rgb(spark, d).groupBy("y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", px.alias("px")))), lambda s: s["px"]), "").alias("bgr"))
+
+
+_LBP2 = f"""with {X.IMG8}, m as (select vec_id, y, x, v & 248 as m from img),
+g as (select i, j, i // 2 + 2 as cy, j + 2 as cx, i % 2 + 1 as k from generate_series(0, 7) a(i), generate_series(0, 3) b(j)),
+n as (select * from (values {", ".join(f"({dy}, {dx}, {1 << (7 - i)})" for i, (dy, dx) in enumerate(I.LBP_ORDER))}) t(dy, dx, bit))
+select c.vec_id, g.i as y, g.j as x, cast(sum(case when o.m > c.m then n.bit else 0 end) as bigint) as code
+from g join m c on c.y = g.cy and c.x = g.cx cross join n join m o on o.vec_id = c.vec_id and o.y = g.cy + n.dy * g.k and o.x = g.cx + n.dx * g.k
+group by c.vec_id, g.i, g.j"""
+
+
+@query("img_lbp_radii", _LBP2)
+def img_lbp_radii(spark, d):
+    return I.lbp_radii(X.img8(spark, d), K, 2)
+
+
+_FLOAT = f"""with {X.IMG8}, s as (select i, greatest((i + 0.5::double) * (8::double / 5) - 0.5, 0.0) as s from generate_series(0, 4) a(i)),
+t as (select i, least(cast(floor(s) as bigint), 7) as at, 1 - (s - floor(s)) as k from s union all select i, least(cast(floor(s) as bigint) + 1, 7), s - floor(s) from s)
+select vec_id, a.i as y, b.i as x, round(sum(v * a.k * b.k), 6) as v from t a, t b, img where img.y = a.at and img.x = b.at group by vec_id, a.i, b.i"""
+
+
+@query("img_bilinear_float", _FLOAT)
+def img_bilinear_float(spark, d):
+    return I.scale_bilinear_float(X.img8(spark, d), K, 8, 8, 5, 5).withColumn("v", F.round("v", 6))
+
+
+_UV = ", ".join(f"max(case when y % 2 = {i} and x % 2 = {j} then {c} end) as {c}{i}{j}" for c in ("va", "vb") for i in (0, 1) for j in (0, 1))
+
+
+@query(
+    "img_halve_uv",
+    f"with {X.PAIRS}, t as (select a_id, y // 2 as y, x // 2 as x, {_UV} from pairs group by a_id, y // 2, x // 2) select a_id, y, x, {_m(_m('va00', 'va01'), _m('va10', 'va11'))} as va, {_m(_m('vb00', 'vb01'), _m('vb10', 'vb11'))} as vb from t",
+)
+def img_halve_uv(spark, d):
+    return I.halve_planes(X.img8_pairs(spark, d), ["a_id"], ("va", "vb"))
+
+
+_ANGLE = "(select 8 / 2.0::double as c, sin(-0.4::double) as sn, cos(-0.4::double) as cs) k"
+_PLACE = f"""g as (select i, j, c + sn * (j + 3 - r) + cs * (i + 2 - r) as ty, c + cs * (j + 3 - r) - sn * (i + 2 - r) as tx
+ from generate_series(0, 4) a(i), generate_series(0, 4) b(j), (select *, abs(c * cs) + abs(c * sn) as r from {_ANGLE}))"""
+
+
+@query("img_rotate_nearest", f"with {X.IMG8}, {_PLACE} select vec_id, i as y, j as x, v from g join img on img.y = greatest(0, least(7, cast(trunc(ty + 0.5) as bigint))) and img.x = greatest(0, least(7, cast(trunc(tx + 0.5) as bigint)))")
+def img_rotate_nearest(spark, d):
+    return I.rotate_crop(X.img8(spark, d), K, 8, 8, 0.4, 3, 2, 5, 5)
+
+
+@query(
+    "img_rotate_bilinear",
+    f"""with {X.IMG8}, {_PLACE}, q as (select *, cast(trunc(ty) as bigint) as y0, cast(trunc(tx) as bigint) as x0 from g)
+select vec_id, i as y, j as x, cast(trunc(round(sum(v * (case when e.e = 1 then ty - y0 else 1 - (ty - y0) end) * (case when f.f = 1 then tx - x0 else 1 - (tx - x0) end)), 6)) as bigint) as v
+from q, (values (0), (1)) e(e), (values (0), (1)) f(f), img where img.y = greatest(0, least(7, y0 + e.e)) and img.x = greatest(0, least(7, x0 + f.f)) group by vec_id, i, j""",
+)
+def img_rotate_bilinear(spark, d):
+    return I.rotate_crop(X.img8(spark, d), K, 8, 8, 0.4, 3, 2, 5, 5, bilinear=True)
+
+
+_MOTION = "select distinct vec_id, (vec_id % 5 - 2) * 0.5::double as shift_x, (vec_id % 3 - 1) * 0.75::double as shift_y, 1 + (vec_id % 7) / 100.0::double as scale, (vec_id % 11 - 5) * 0.01::double as alpha from"
+_WARP = f"""with {X.IMG8}, m as ({_MOTION} img), t as (select vec_id, i, j, sin(alpha) * scale * (j - 3.5) + cos(alpha) * scale * (i - 3.5) + 3.5 + shift_y as ty,
+ cos(alpha) * scale * (j - 3.5) - sin(alpha) * scale * (i - 3.5) + 3.5 + shift_x as tx from m, generate_series(0, 7) a(i), generate_series(0, 7) b(j))"""
+
+
+def motions(spark, d):
+    k = F.col("vec_id")
+    parts = ((k % 5 - 2) * 0.5).alias("shift_x"), ((k % 3 - 1) * 0.75).alias("shift_y"), (1 + (k % 7) / 100.0).alias("scale"), ((k % 11 - 5) * 0.01).alias("alpha")
+    return X.table(spark, d, "embeddings").select("vec_id", *parts)
+
+
+@query("img_warp_nearest", f"{_WARP} select t.vec_id, t.i as y, t.j as x, v from t join img on img.vec_id = t.vec_id and img.y = greatest(0, least(7, cast(trunc(ty + 0.5) as bigint))) and img.x = greatest(0, least(7, cast(trunc(tx + 0.5) as bigint)))")
+def img_warp_nearest(spark, d):
+    return I.warp(X.img8(spark, d), "vec_id", motions(spark, d), nearest=True)
+
+
+@query(
+    "img_warp",
+    f"""{_WARP}, c as (select vec_id, i, j, greatest(0, least(7, ty)) as ty, greatest(0, least(7, tx)) as tx from t),
+q as (select *, cast(floor(ty) as bigint) as y0, cast(floor(tx) as bigint) as x0 from c)
+select q.vec_id, q.i as y, q.j as x, cast(floor(sum(v * (case when e.e = 1 then ty - y0 else 1 - (ty - y0) end) * (case when f.f = 1 then tx - x0 else 1 - (tx - x0) end)) + 1e-9) as bigint) as v
+from q, (values (0), (1)) e(e), (values (0), (1)) f(f), img where img.vec_id = q.vec_id and img.y = least(7, y0 + e.e) and img.x = least(7, x0 + f.f) group by q.vec_id, q.i, q.j""",
+)
+def img_warp(spark, d):
+    return I.warp(X.img8(spark, d), "vec_id", motions(spark, d))
+
+
+_CORNERS = f"""with m as ({_MOTION} embeddings), c as (select vec_id, cos(alpha) * scale * x - sin(alpha) * scale * y + shift_x as cx, sin(alpha) * scale * x + cos(alpha) * scale * y + shift_y as cy
+ from m, (values (-4), (4)) a(x), (values (-4), (4)) b(y))"""
+
+
+@query("motion_coverage", f"{_CORNERS} select vec_id, round(least(0, min(cx)), 6) + 0 as x_min, round(greatest(0, max(cx)), 6) as x_max, round(least(0, min(cy)), 6) + 0 as y_min, round(greatest(0, max(cy)), 6) as y_max, round(greatest(1, max(abs(cx)) / 4, max(abs(cy)) / 4), 6) as fill from c group by vec_id")
+def motion_coverage(spark, d):
+    from lumenframe.operators.motion import coverage
+
+    return coverage(motions(spark, d), 8, 8).select("vec_id", *((F.round(c, 6) + 0).alias(c) for c in ("x_min", "x_max", "y_min", "y_max", "fill")))

@@ -55,23 +55,67 @@ def det_conf_cleanup(spark, d):
     return R.confident(X.rects(spark, d)).select("image_id", "pos", "conf", "rank")
 
 
-@query("rect_dominance")
+_SMALL = "r.x + 0.1::double * r.w >= {x} and r.y + 0.1::double * r.h >= {y} and r.x + 0.1::double * r.w + 0.8::double * r.w <= {x} + {w} and r.y + 0.1::double * r.h + 0.8::double * r.h <= {y} + {h}"
+_HELD = " or ".join(
+    f"({_SMALL.format(x=f'q.x + {dx}::double * q.w', y=f'q.y + {dy}::double * q.h', w=f'{w}::double * q.w', h=f'{h}::double * q.h')})" for dx, dy, w, h in ((0.1, 0.1, 0.8, 0.8), (0.25, 0.0, 0.5, 1.0))
+)
+_DOMINANCE = f"""with recursive {X.RECTS}, r as (select *, row_number() over (partition by image_id order by conf desc, pos) as k from rects),
+s(image_id, k, kept) as (select image_id, k, [{{'pos': pos, 'x': x, 'y': y, 'w': w, 'h': h}}] from r where k = 1
+ union all select s.image_id, r.k, case when len(list_filter(s.kept, lambda q: {_HELD})) > 0 then s.kept else list_append(s.kept, {{'pos': r.pos, 'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h}}) end
+ from s join r on r.image_id = s.image_id and r.k = s.k + 1),
+f as (select image_id, unnest(list_transform(arg_max(kept, k), lambda q: q.pos)) as pos from s group by image_id)
+select rects.* from rects join f using (image_id, pos)"""
+
+
+@query("rect_dominance", _DOMINANCE)
 def rect_dominance(spark, d):
     return R.without_dominated(X.rects(spark, d))
 
 
-@query("det_match")
+_GREEDY = f"""with recursive {X.RECTS}, c as (select a.image_id, a.pos as a_pos, b.pos as b_pos, {_OVER} as inter, a.w * a.h + b.w * b.h as areas from rects a join rects b on a.image_id = b.image_id where a.kind = 'truth' and b.kind = 'det'),
+l as (select image_id, a_pos, list(b_pos order by inter / (areas - inter)::double desc, b_pos) as bs from c where inter / (areas - inter)::double > 0.3 group by image_id, a_pos),
+o as (select *, row_number() over (partition by image_id order by a_pos) as k from l),
+s(image_id, k, used) as (select image_id, 0::bigint, []::bigint[] from o where k = 1
+ union all select image_id, k, case when len(free) = 0 then used else list_append(used, free[1]) end
+ from (select s.image_id, o.k, s.used, list_filter(o.bs, lambda b: not list_contains(s.used, b)) as free from s join o on o.image_id = s.image_id and o.k = s.k + 1)),
+h as (select image_id, len(arg_max(used, k)) as tp from s group by image_id),
+n as (select image_id, count(*) filter (where kind = 'truth') as t, count(*) filter (where kind = 'det') as f from rects group by image_id),
+m as (select image_id, cast(coalesce(tp, 0) as bigint) as tp, cast(t - coalesce(tp, 0) as bigint) as fn, cast(f - coalesce(tp, 0) as bigint) as fp from n left join h using (image_id))"""
+
+
+@query("det_match", f"{_GREEDY} select * from m")
 def det_match(spark, d):
     r = X.rects(spark, d)
     return R.matched(r.where("kind = 'truth'"), r.where("kind = 'det'"), 0.3)
 
 
-@query("det_match_metrics")
+@query("det_match_metrics", f"{_GREEDY} select cast(sum(tp) as bigint) as tp, cast(sum(fn) as bigint) as fn, cast(sum(fp) as bigint) as fp, sum(tp) / sum(tp + fn)::double as recall, sum(tp) / sum(tp + fp)::double as precision from m")
 def det_match_metrics(spark, d):
     return R.metrics(det_match(spark, d))
 
 
 @query("rect_scale", f"with {X.RECTS} select image_id, pos, round(x + w / 2.0 - w * 0.75, 6)::double as x, round(y + h / 2.0 - h * 0.75, 6)::double as y, w * 1.5::double as w, h * 1.5::double as h, w * h as area from rects")
 def rect_scale(spark, d):
-    x, y, w, h = (F.col(c) for c in "xywh")
-    return X.rects(spark, d).select("image_id", "pos", F.round(x + w / 2 - w * 0.75, 6).alias("x"), F.round(y + h / 2 - h * 0.75, 6).alias("y"), (w * 1.5).alias("w"), (h * 1.5).alias("h"), (w * h).alias("area"))
+    made = X.rects(spark, d).select("image_id", "pos", *(v.alias(c) for c, v in R.scaled_around_centre("", 1.5).items()), R.area("").alias("area"))
+    return made.withColumns({c: F.round(c, 6) for c in "xy"})
+
+
+def _draw(k: int) -> str:
+    return f"(((image_id % 1000003 * 7919 + t * 104729 + {k * 15485863}) * 69069 + 12345) % 1000003)"
+
+
+_NEGATIVES = f"""with {X.RECTS}, i as (select image_id, count(*) as wanted from rects where kind = 'truth' group by image_id),
+t as (select image_id, wanted, t, cast(floor(24 * (1 + (99 / 24.0::double - 1) * ({_draw(1)} / 1000003.0::double))) as bigint) as s from i, (select unnest(range(20)) as t)),
+b as (select *, {_draw(2)} % (100 - s) as y, {_draw(3)} % (100 - s) as x, s as w, s as h from t),
+f as (select * from b where not exists (select 1 from rects a where a.kind = 'truth' and a.image_id = b.image_id and ({_OVER}) / (a.w * a.h + b.w * b.h - ({_OVER}))::double >= 0.5)),
+n as (select *, row_number() over (partition by image_id order by t) as nth from f)
+select image_id, cast(nth as int) as nth, x, y, w, h from n where nth <= wanted"""
+
+
+@query("det_negatives", _NEGATIVES)
+def det_negatives(spark, d):
+    from lumenframe.operators.lut import negatives
+
+    truth = X.rects(spark, d).where("kind = 'truth'").select("image_id", "pos", "x", "y", "w", "h")
+    images = truth.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", F.lit(100).cast("bigint").alias("height"), F.lit(100).cast("bigint").alias("width"), "n")
+    return negatives(images, truth, F.col("n"), 24, 24, 20)

@@ -95,13 +95,23 @@ def num_lagrange(spark, d):
     return X.table(spark, d, "events").select("event_id", F.round(N.polynomial_through(_POINTS, F.col("value")), 6).alias("v"))
 
 
-_SPLINE = N.spline(_POINTS)
-_SPL = "case " + " ".join(f"when value <= {_SPLINE[k + 1][0] if k + 1 < len(_SPLINE) else 1e300!r} then {a!r}::double + (value - {x!r}) * ({b!r}::double + (value - {x!r}) * ({c!r}::double + (value - {x!r}) * {e!r}::double))" for k, (x, a, b, c, e) in enumerate(_SPLINE)) + " end"
-
-
-@query("num_spline", f"select event_id, round({_SPL}, 6) as v from events")
+#: The same spline fitted in SQL: curvatures c0 to c3 at the four knots by elimination, then the pieces.
+_KNOTS = "select " + ", ".join(f"{x}::double as x{i}, {y}::double as y{i}" for i, (x, y) in enumerate(_POINTS))
+_PIECE = "(y{i} + (g{i} * (2 * c{i} + c{h}) / 6 + (y{i} - y{h}) / g{i} + (c{i} / 2 + (c{i} - c{h}) / g{i} / 6 * (value - x{i})) * (value - x{i})) * (value - x{i}))"
+_SPL = f"""with k as ({_KNOTS}),
+g as (select *, x1 - x0 as g1, x2 - x1 as g2, x3 - x2 as g3 from k),
+r as (select *, 6 * ((y2 - y1) / g2 - (y1 - y0) / g1) as f1, 6 * ((y3 - y2) / g3 - (y2 - y1) / g2) as f2, 2 * (g1 + g2) as p1 from g),
+e as (select *, -g2 / p1 as u1, f1 / p1 as w1, 2 * (g2 + g3) + g2 * (-g2 / p1) as p2 from r),
+l as (select *, -g3 / p2 as u2, (f2 - g2 * w1) / p2 as w2 from e),
+m as (select *, (f2 - g2 * w2) / (2 * (g2 + g3) + g2 * u2) as c3 from l),
+n as (select *, u2 * c3 + w2 as c2 from m),
+s as (select *, u1 * c2 + w1 as c1, 0.0::double as c0 from n)
+select event_id, round(case when value <= x0 then y0 when value <= x1 then {_PIECE.format(i=1, h=0)} when value <= x2 then {_PIECE.format(i=2, h=1)} else {_PIECE.format(i=3, h=2)} end, 6) as v from events, s"""
+
+
+@query("num_spline", _SPL)
 def num_spline(spark, d):
-    return X.table(spark, d, "events").select("event_id", F.round(N.spline_at(_SPLINE, F.col("value")), 6).alias("v"))
+    return X.table(spark, d, "events").select("event_id", F.round(N.spline_at(N.spline(_POINTS), F.col("value")), 6).alias("v"))
 
 
 @query("agg_mse_ce", "select l_returnflag, round(avg((l_quantity - 25) * (l_quantity - 25)), 6) as mse, round(-avg(case when l_linestatus = 'O' then 1 else 0 end * ln(greatest(l_discount * 10, 1e-15)) + (1 - case when l_linestatus = 'O' then 1 else 0 end) * ln(greatest(1 - l_discount * 10, 1e-15))), 6) as ce from lineitem group by l_returnflag")

@@ -72,19 +72,21 @@ def scene_sessions(spark, d):
     return S.sessions(X.signal(spark, d), U, F.col("v") < 30).select(U, "n", "session")
 
 
-_MU, _AL = pcm.mulaw_table(), pcm.alaw_table()
+_MU = "case when code >= 128 then 1 else -1 end * (((((255 - code) & 15) << 3) + 132 << (((255 - code) >> 4) & 7)) - 132)"
+_AL = """case when xor(code, 85) & 128 = 128 then 1 else -1 end * case when (xor(code, 85) >> 4) & 7 = 0 then ((xor(code, 85) & 15) << 4) + 8
+ else ((xor(code, 85) & 15) << 4) + 264 << ((xor(code, 85) >> 4) & 7) - 1 end"""
 
 
 @query(
     "sig_pcm_convert",
-    f"with {X.SIGNAL} select user_id, n, (q % 256) * 256 - 32768 as u8_s16, (q * 256) >> 8 as s24_s16, cast(trunc(greatest(-1, least(1, v / 256 - 1)) * 32767) as bigint) as f_s16, round((q % 256) * (2.0::double / 255) - 1, 9) as u8_f, q / 32768.0::double as s16_f, ((q % 256) - 128) * 16777216 as u8_s32, q * 65536 as s16_s32, ({_MU}::bigint[])[q % 256 + 1] as mulaw, ({_AL}::bigint[])[q % 256 + 1] as alaw from sig",
+    f"with {X.SIGNAL} select user_id, n, (q % 256) * 256 - 32768 as u8_s16, (q * 256) >> 8 as s24_s16, cast(trunc(greatest(-1, least(1, v / 256 - 1)) * 32767) as bigint) as f_s16, round((q % 256) * (2.0::double / 255) - 1, 9) as u8_f, q / 32768.0::double as s16_f, ((q % 256) - 128) * 16777216 as u8_s32, q * 65536 as s16_s32, cast({_MU} as bigint) as mulaw, cast({_AL} as bigint) as alaw from (select *, q % 256 as code from sig)",
 )
 def sig_pcm_convert(spark, d):
     q, v = F.col("q"), F.col("v")
     b = q % 256
     return X.signal(spark, d).select(
         U, "n", pcm.u8_to_s16(b).alias("u8_s16"), pcm.wide_to_s16(q * 256, 24).alias("s24_s16"), pcm.float_to_s16(v / 256 - 1).alias("f_s16"), F.round(pcm.u8_to_float(b), 9).alias("u8_f"), pcm.signed_to_float(q, 16).alias("s16_f"),
-        pcm.u8_to_s32(b).alias("u8_s32"), pcm.s16_to_s32(q).alias("s16_s32"), pcm.by_table(b, _MU).alias("mulaw"), pcm.by_table(b, _AL).alias("alaw"),
+        pcm.u8_to_s32(b).alias("u8_s32"), pcm.s16_to_s32(q).alias("s16_s32"), pcm.by_table(b, pcm.mulaw_table()).alias("mulaw"), pcm.by_table(b, pcm.alaw_table()).alias("alaw"),
     )
 
 
@@ -104,11 +106,19 @@ def sig_mix(spark, d):
     return S.mixed(notes, 8000, 10, 20, 0.5, 20).select("n", (F.round("v", 6) + 0).alias("v"))
 
 
-@query("sig_iir")
+_IIR = f"""with recursive {X.SIGNAL}, k as (select ita, b0, 2 * (ita * ita - 1) * b0 as a1, -(1 - q * ita + ita * ita) * b0 as a2
+ from (select ita, q, 1 / (1 + q * ita + ita * ita) as b0 from (select 1 / tan(pi() * 5.0::double / 50.0::double) as ita, sqrt(2.0::double) as q))),
+f(user_id, n, x1, x2, l1, l2, h1, h2) as (select user_id, -1::bigint, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double from sig where n = 0
+ union all select f.user_id, sig.n, v, x1, b0 * (v + 2 * x1 + x2) + a1 * l1 + a2 * l2, l1, b0 * ita * ita * (v - 2 * x1 + x2) + a1 * h1 + a2 * h2, h1
+ from f join sig on sig.user_id = f.user_id and sig.n = f.n + 1 cross join k)
+select user_id, n, round(l1, 6) + 0 as low, round(h1, 6) + 0 as high from f where n >= 0"""
+
+
+@query("sig_iir", _IIR)
 def sig_iir(spark, d):
     s = X.signal(spark, d)
     low, high = S.biquad(s, U, 5.0, 50.0), S.biquad(s, U, 5.0, 50.0, True)
-    return low.join(high.withColumnRenamed("v", "high"), [U, "n"]).select(U, "n", F.round("v", 9).alias("low"), F.round("high", 9).alias("high"))
+    return low.join(high.withColumnRenamed("v", "high"), [U, "n"]).select(U, "n", (F.round("v", 6) + 0).alias("low"), (F.round("high", 6) + 0).alias("high"))
 
 
 @query("sig_piano")

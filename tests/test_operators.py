@@ -108,6 +108,14 @@ def test_spline_passes_through_its_knots(spark):
         numeric.spline(knots[:2])
 
 
+def test_spline_ends(spark):
+    """Values of the knots (0, 1), (100, 3), (250, -2), (500, 4), worked out by hand; the last piece goes on to the right."""
+    pieces = numeric.spline([(0.0, 1.0), (100.0, 3.0), (250.0, -2.0), (500.0, 4.0)])
+    got = [r.v for r in spark.createDataFrame([(x,) for x in (-5.0, 180.0, 400.0)], "x double").select(numeric.spline_at(pieces, F.col("x")).alias("v")).collect()]
+    assert got == pytest.approx([1.0, 0.7303, -1.4113], abs=5e-5)
+    assert [p[0] for p in pieces] == [0.0, 100.0, 250.0, 500.0] and pieces[1][3] - 3 * pieces[1][4] * 100 == pytest.approx(0)
+
+
 @pytest.mark.parametrize("period", [2, 4, 8, 16])
 def test_dft_of_a_sine(spark, period):
     n = 16
@@ -161,6 +169,13 @@ def test_stream_of_numbers_and_search():
     s = Stream(1)
     v = np.array([s.normal() for _ in range(4000)])
     assert abs(v.mean()) < 0.1 and abs(v.std() - 1) < 0.1
+    s, t = Stream(3), Stream(3)
+    while True:
+        u, v = t.uniform(-1, 1), t.uniform(-1, 1)
+        if u * u + v * v <= 1:
+            break
+    k = math.sqrt(-2 * math.log(u * u + v * v) / (u * u + v * v))
+    assert [s.normal(), s.normal()] == [v * k, u * k]  # the second coordinate comes first
     x, best = minimise([-10, -10], [10, 10], [5, -7], lambda p: (p[0] - 1.5) ** 2 + (p[1] + 2) ** 2)
     assert best < 1e-9 and x == pytest.approx([1.5, -2], abs=1e-4)
 
@@ -199,3 +214,73 @@ def test_piano(spark):
     assert all(wet[n] == pytest.approx(y[n]) for n in wet)
     with pytest.raises(ValueError, match="keys"):
         piano.frequency(0)
+
+
+def test_frames_at_full_size(spark):
+    """Blocks of 32 pixels and shifts up to 16, of a picture that has moved by (5, -9)."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 256, (256, 256))
+    b = np.roll(a, (5, -9), (0, 1))
+    rows = spark.createDataFrame(pd.DataFrame({"id": 1, "y": np.repeat(np.arange(256), 256), "x": np.tile(np.arange(256), 256), "va": a.ravel(), "vb": b.ravel()}))
+    got = {(r.y, r.x): r for r in motion.match_blocks(rows, ["id"], 32, 16).collect()}
+    assert len(got) == 64 and all((r.dy, r.dx, r.diff) == (5, -9, 0) and r.weight > 0.9 for r in got.values() if r.y < 224 and r.x >= 32)
+    m = motion.global_motion(spark.createDataFrame([r for r in got.values() if r.y < 224 and r.x >= 32]), ["id"], 32, 256, 256).first()
+    assert (m.shift_x, m.shift_y) == (pytest.approx(-9), pytest.approx(5))
+
+
+def test_frames_keep_to_their_size(spark):
+    from lumenframe.operators import frames
+
+    a = np.random.default_rng(1).integers(0, 256, (3, 9, 11))
+    still = np.zeros(3)
+    for nearest in (False, True):
+        assert (frames.warped(a, still, still, still + 1, still, nearest) == a).all()
+    assert (frames.warped(a, still + 2, still, still + 1, still)[:, :, :9] == a[:, :, 2:]).all()
+    assert frames.patterns(a, 3).shape == (3, 9, 5) and (frames.box_blur(a, 0) == a).all()
+    with pytest.raises(Exception, match="lacks pixels"):
+        image.box_blur(picture(spark, [[1, 2], [3, 4]]).where("y + x < 2"), ["id"], 2, 2, 1).collect()
+
+
+def test_components_of_many_pairs(monkeypatch):
+    """Against labels that spread until nothing changes, with few and with many pairs at a time."""
+    rng = np.random.default_rng(2)
+    n = 300
+    x, y, w, h = rng.integers(0, 40, n), rng.integers(0, 40, n), rng.integers(8, 14, n), rng.integers(8, 14, n)
+    end = np.repeat([100, 120, 300], [100, 20, 180])
+    want = list(range(n))
+    before = None
+    while want != before:
+        before = list(want)
+        for i in range(n):
+            for j in range(i + 1, end[i]):
+                over = max(min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j]), 0) * max(min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j]), 0)
+                lo, hi = sorted((w[i] * h[i], w[j] * h[j]))
+                if hi < 4 * lo and over * 10 > lo * 8:
+                    want[i] = want[j] = min(want[i], want[j])
+    for pairs in (1, 50, 1 << 22):
+        monkeypatch.setattr(rect, "_PAIRS", pairs)
+        assert rect._roots(x, y, w, h, end).tolist() == want
+
+
+def test_detector_end_to_end(spark):
+    from lumenframe.operators import lut
+
+    model = spark.createDataFrame([(y, x, 7, 0.25) for y in range(4) for x in range(4)], "y long, x long, bin long, weight double")
+    hot = picture(spark, [[7 if 2 <= y < 6 and 9 <= x < 13 else 0 for x in range(16)] for y in range(16)])
+    got = [(r.x, r.y, r.w, r.h) for r in lut.detect(hot, "id", model, 16, 16, 4, 4, 15.9, 0.5).collect()]
+    assert got == [(9.0, 2.0, 4.0, 4.0)]
+
+
+def test_negatives_keep_away(spark):
+    from lumenframe.operators import lut
+
+    truth = spark.createDataFrame([(1, 1, 0, 0, 60, 60)], "image_id long, pos long, x long, y long, w long, h long")
+    images = spark.createDataFrame([(1, 64, 64), (2, 200, 100), (3, 24, 24)], "image_id long, height long, width long")
+    got = lut.negatives(images, truth, F.lit(7), 24, 24, 200).collect()
+    assert {r.image_id for r in got} == {1, 2} and all(sorted(r.nth for r in got if r.image_id == i) == [*range(1, 8)] for i in (1, 2))
+    for r in got:
+        side = (64, 64) if r.image_id == 1 else (200, 100)
+        assert 0 <= r.y and r.y + r.h <= side[0] and 0 <= r.x and r.x + r.w <= side[1]
+        if r.image_id == 1:
+            both = max(0, min(60, r.x + r.w) - r.x) * max(0, min(60, r.y + r.h) - r.y)
+            assert both / (3600 + r.w * r.h - both) < 0.5
