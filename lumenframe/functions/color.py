@@ -47,3 +47,29 @@ def distance(p: tuple, q: tuple, weights: tuple[int, int, int] = (76, 150, 29))
 def packed(order: tuple[str, ...]) -> Column:
     """The channels' bytes in this order, in hex."""
     return F.concat(*(F.format_string("%02X", F.col(c)) for c in order))
+
+
+def weights(only: str) -> tuple[float, float, float]:
+    """BT.601 luma weights of some channels ('rg', 'rb', 'gb', 'r', 'g', 'b'), scaled to add up to 1."""
+    kept = [w if c in only else 0.0 for c, w in zip("rgb", BT601)]
+    if not sum(kept) or set(only) - set("rgb"):
+        raise ValueError("channels are of r, g and b")
+    return tuple(w / sum(kept) for w in kept)  # type: ignore[return-value]
+
+
+def weighted(r: str, g: str, b: str, w: tuple[float, float, float]) -> Column:
+    return F.col(r) * w[0] + F.col(g) * w[1] + F.col(b) * w[2]
+
+
+def grey(y: str) -> tuple[Column, Column, Column]:
+    """A luma as red, green and blue."""
+    return F.col(y), F.col(y), F.col(y)
+
+
+def yuv_bytes(y: str, first: str, second: str, uv_order: str = "uv", rgb_order: str = "rgb", saturation: float = 1.0, offset: int = 0) -> tuple[Column, ...]:
+    """The channels in the order of rgb_order ('a' is an opaque alpha), of chroma pairs in the order uv or vu, brightened by an offset."""
+    u, v = (first, second) if uv_order == "uv" else (second, first)
+    rv, gv, gu, bu = (int(k * saturation) for k in (359, -183, -88, 454))
+    base, du, dv = F.col(y) + offset, F.col(u) - 128, F.col(v) - 128
+    of = {"r": clamp_byte(base + F.shiftright(rv * dv, 8)), "g": clamp_byte(base + F.shiftright(gv * dv + gu * du, 8)), "b": clamp_byte(base + F.shiftright(bu * du, 8)), "a": F.lit(255).cast("bigint")}
+    return tuple(of[c] for c in rgb_order)

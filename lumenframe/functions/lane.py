@@ -83,7 +83,8 @@ def deinterleave(v: Column, n: int, k: int) -> Column:
 
 def pairwise_add(v: Column) -> Column:
     """Sums of neighbouring pairs of an array of even length."""
-    return F.transform(F.sequence(F.lit(0), F.size(v) / 2 - 1), lambda i: F.element_at(v, (2 * i + 1).cast("int")) + F.element_at(v, (2 * i + 2).cast("int")))
+    pairs = F.transform(F.sequence(F.lit(1), (F.size(v) / 2).cast("int")), lambda i: F.element_at(v, 2 * i - 1) + F.element_at(v, 2 * i))
+    return F.when(F.size(v) > 1, pairs).otherwise(F.slice(v, 1, 0))
 
 
 def sad(a: Column, b: Column) -> Column:

@@ -40,3 +40,18 @@ def padded(n: Column, width: int) -> Column:
     """Zero-padded whole number; a longer one stays whole."""
     t = n.cast("string")
     return F.when(F.length(t) >= width, t).otherwise(F.lpad(t, width, "0"))
+
+
+def fixed_decimals(x: Column, digits: int) -> Column:
+    """A number with so many decimals."""
+    return F.format_string(f"%.{digits}f", x)
+
+
+def parsed(s: Column, kind: str) -> Column:
+    """A value of a type ('int', 'double', ...) from text without blanks around it; null where it is none."""
+    return F.trim(s).try_cast(kind)
+
+
+def shown(*parts: Column) -> Column:
+    """Values as (a, b, ...)."""
+    return F.concat(F.lit("("), F.concat_ws(", ", *(p.cast("string") for p in parts)), F.lit(")"))

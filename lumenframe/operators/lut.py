@@ -118,3 +118,32 @@ def negatives(images: DataFrame, truth: DataFrame, wanted: Column, h: int, w: in
     free = tried.join(t, (F.col("image_id") == F.col("a_image")) & (iou("a_", "b_") >= 0.5), "left_anti")
     nth = F.row_number().over(Window.partitionBy("image_id").orderBy("try"))
     return free.withColumn("nth", nth).where("nth <= wanted").select("image_id", "nth", *(F.col(f"b_{c}").alias(c) for c in "xywh"))
+
+
+def best_split(samples: DataFrame, key: str) -> DataFrame:
+    """(key, n, threshold, score): where the samples (key, id, feature, target) of each key are cut in two, those of the larger features first.
+
+    The score is the sum over both sides of the squared target sum over the
+    number of samples, which is largest where the spread within the sides is
+    least. Equal features stay together; of equal scores the first counts.
+    """
+    from pyspark.sql.window import Window
+
+    each = samples.groupBy(key, "feature").agg(F.count("*").alias("c"), F.sum("target").alias("t"))
+    order = Window.partitionBy(key).orderBy(F.col("feature").desc())
+    over = Window.partitionBy(key)
+    sums = each.select(key, "feature", F.sum("c").over(order).alias("n"), F.sum("t").over(order).alias("s"), F.sum("c").over(over).alias("all_n"), F.sum("t").over(over).alias("all_s"))
+    rest = F.col("all_s") - F.col("s")
+    scored = sums.where("n < all_n").select(key, "n", F.col("feature").alias("threshold"), F.round(F.col("s") * F.col("s") / F.col("n") + rest * rest / (F.col("all_n") - F.col("n")), 6).alias("score"))
+    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("worse"), "n", "threshold")).alias("b"))
+    return best.select(key, F.col("b.n").alias("n"), F.col("b.threshold").alias("threshold"), (-F.col("b.worse")).alias("score"))
+
+
+def repacked(samples: DataFrame) -> DataFrame:
+    """(y, x, column): of each cell the bytes of all samples (id, y, x, v) in order of id."""
+    return samples.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("s")).select("y", "x", F.transform("s", lambda r: r["v"]).alias("column"))
+
+
+def with_images(samples: DataFrame, images: DataFrame) -> DataFrame:
+    """Samples (image_id, ...) with their images' columns; a sample whose image isn't there is an error to be seen, so that it stays with nulls."""
+    return samples.join(images, "image_id", "left")

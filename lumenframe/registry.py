@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from lumenframe.plans import geometry, images, lanes, learning, rects, scalars, signals  # noqa: E402, F401
+from lumenframe.plans import arrays, geometry, images, lanes, learning, rects, scalars, signals  # noqa: E402, F401
