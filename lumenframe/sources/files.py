@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenframe.functions import text
+from lumenframe.session import cut
 from lumenframe.sources import pictures, wav
 
 IMAGE = "path string, height int, width int, channels int, data binary, error string"
@@ -79,25 +81,44 @@ def audio(spark: SparkSession, path: str) -> DataFrame:
 _BOX = "struct<left:double,top:double,width:double,height:double,landmarks:array<struct<x:double,y:double>>>"
 
 
-def json_manifest(spark: SparkSession, path: str, root: str = "", sample: int = 1) -> DataFrame:
-    """(path, objects): every sample-th .jpg of a JSON manifest {images: [{filename, boxes: [...]}]}."""
+def json_manifest(spark: SparkSession, path: str, root: str = "", sample: int = 1, from_landmarks: bool = False, scale: float = 1.0) -> DataFrame:
+    """(path, objects): every sample-th .jpg of a JSON manifest {images: [{filename, boxes: [...]}]}.
+
+    from_landmarks: boxes are made anew of five points of the 68 of a face: the
+    nose, the middles of both eyes, and the corners of the mouth. A box without
+    them all is an error.
+    """
     raw = spark.read.schema(f"images array<struct<filename:string,boxes:array<{_BOX}>>>").option("multiLine", True).json(path)
     rows = raw.select(F.posexplode("images").alias("i", "m")).where((F.col("i") % sample == 0) & (text.extension(F.col("m.filename")) == ".jpg"))
-    return rows.select(F.concat(F.lit(root), F.col("m.filename")).alias("path"), F.col("m.boxes").alias("objects"))
+    boxes = F.col("m.boxes")
+    if from_landmarks:
+        point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+        def face(box: Column) -> Column:
+            at = lambda k: F.element_at(box["landmarks"], k + 1)
+            middle = lambda j, k: point((at(j)["x"] + at(k)["x"]) / 2, (at(j)["y"] + at(k)["y"]) / 2)
+            five = F.array(point(at(30)["x"], at(30)["y"]), middle(36, 39), middle(42, 45), *(point(at(k)["x"], at(k)["y"]) for k in (48, 54)))
+            r = landmark_rect(five, scale)
+            sides = (r[c].cast("double").alias(n) for c, n in zip("yxwh", ("top", "left", "width", "height")))
+            top, left, width, height = sides
+            return F.when(F.size(box["landmarks"]) > 54, F.struct(left, top, width, height, box["landmarks"].alias("landmarks"))).otherwise(F.raise_error(F.lit("a box lacks landmarks")))
+
+        boxes = F.transform(boxes, face)
+    return rows.select(F.concat(F.lit(root), F.col("m.filename")).alias("path"), boxes.alias("objects"))
 
 
-def landmark_rect(landmarks: Column) -> Column:
-    """The square around landmarks: their centre, and the largest distance from it, rounded half up."""
+def landmark_rect(landmarks: Column, scale: float = 1.0) -> Column:
+    """The square around landmarks: their centre, and the largest distance from it, times a scale, rounded half up."""
     n = F.size(landmarks)
     total = lambda c: F.aggregate(landmarks, F.lit(0.0), lambda s, p: s + p[c])
     cx, cy = total("x") / n, total("y") / n
-    r = F.array_max(F.transform(landmarks, lambda p: F.sqrt((p["x"] - cx) * (p["x"] - cx) + (p["y"] - cy) * (p["y"] - cy))))
+    r = F.lit(scale) * F.array_max(F.transform(landmarks, lambda p: F.sqrt((p["x"] - cx) * (p["x"] - cx) + (p["y"] - cy) * (p["y"] - cy))))
     whole = lambda v: (v + 0.5).cast("bigint")
     return F.struct(whole(cx - r).alias("x"), whole(cy - r).alias("y"), whole(2 * r).alias("w"), whole(2 * r).alias("h"))
 
 
 def csv_manifest(spark: SparkSession, path: str, root: str = "", sample: int = 1) -> DataFrame:
-    """(path, objects): a CSV of one header row and 11 columns (name, five landmarks), grouped by path; of the paths about one in sample, by hash."""
+    """(path, objects): a CSV of one header row and 11 columns (name, five landmarks), grouped by path; of the paths in order every sample-th."""
     cols = ", ".join(["name string", *(f"{a}{i} double" for i in range(1, 6) for a in "xy")])
     rows = spark.read.schema(cols).option("header", True).option("mode", "FAILFAST").csv(path)
     marks = F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(1, 6)))
@@ -105,7 +126,19 @@ def csv_manifest(spark: SparkSession, path: str, root: str = "", sample: int = 1
     grouped = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("rect", "landmarks"))).alias("objects"))
     if sample == 1:
         return grouped
-    return grouped.where(F.pmod(F.xxhash64("path"), F.lit(sample)) == 0)
+    return grouped.join(every_nth(grouped.select("path"), "path", sample), "path", "left_semi")
+
+
+def every_nth(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """Every n-th row in the order of a column, from the first on: numbered in ranges, whose sizes are added up first."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, column).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
+    numbered = ranged.withColumn("nth", nth).join(sizes.select("part", before.alias("before")), "part")
+    return numbered.where((F.col("nth") + F.col("before")) % n == 0).select(*rows.columns)
 
 
 def frames(spark: SparkSession, folder: str, extension: str, stream: bool = False) -> DataFrame:
@@ -116,18 +149,20 @@ def frames(spark: SparkSession, folder: str, extension: str, stream: bool = Fals
 
 
 def dump_images(blobs: DataFrame, folder: str, title: str) -> int:
-    """Debug sink: write each blob as NN-title-row.bmp from the executors; the number of files. The folder must be shared."""
+    """Debug sink: write each blob as NN-title-row.bmp from the executors; the number of files. The folder, a path or a URI, must be shared."""
 
     def run(batches):
+        from pyarrow import fs
         from pyspark import TaskContext
 
         from lumenframe.sources.pictures import write_bmp
 
         task, n = TaskContext.get().partitionId(), 0
+        files, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         for b in batches:
             for h, w, c, d in zip(*(b.column(k).to_pylist() for k in ("height", "width", "channels", "data"))):
                 v = np.frombuffer(d, np.uint8).reshape((h, w, c) if c == 3 else (h, w))
-                with open(f"{folder}/{task:02d}-{title}-{n}.bmp", "wb") as f:
+                with files.open_output_stream(f"{base}/{task:02d}-{title}-{n}.bmp") as f:
                     f.write(write_bmp(v))
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])

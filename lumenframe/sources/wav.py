@@ -11,14 +11,16 @@ from lumenframe.functions.pcm import alaw_table, mulaw_table
 PCM, ADPCM_MS, IEEE, ALAW, MULAW, ADPCM_IMA, EXTENSIBLE = 1, 2, 3, 6, 7, 0x11, 0xFFFE
 _W64_RIFF = bytes.fromhex("726966662e91cf11a5d628db04c10000")
 _W64_TAIL = bytes.fromhex("f3acd3118cd100c04f8edb8a")
-# the standard step sizes and scales, as 16-bit words
-_IMA_STEP = struct.unpack(">89H", bytes.fromhex(
-    "000700080009000a000b000c000d000e001000110013001500170019001c001f002200250029002d00320037003c00420049005000580061006b00760082008f009d00ad00be"
-    "00d100e600fd0117013301510173019801c101ee02200256029202d4031c036c03c30424048e05020583061006ab0756081208e009c30abd0bd00cff0e4c0fba114c130714ee"
-    "170619541bdc1ea521b6251528ca2cdf315b364b3bb941b248444f7e5771602f69ce74627fff"
-))
+#: The standard step sizes and scales.
+_IMA_STEP = (
+    7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45,
+    50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307,
+    337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066,
+    2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899,
+    15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
+)
 _IMA_MOVE = [-1] * 4 + [2, 4, 6, 8]
-_MS_SCALE = struct.unpack(">16H", bytes.fromhex("00e600e600e600e601330199020002660300026602000199013300e600e600e6"))
+_MS_SCALE = (230, 230, 230, 230, 307, 409, 512, 614, 768, 614, 512, 409, 307, 230, 230, 230)
 
 
 class WavError(ValueError):

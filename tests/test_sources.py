@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import struct
 
@@ -127,3 +128,27 @@ def test_frames_and_dump(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.table("frames").count() == 2
     assert files.dump_images(files.images(spark, f"{tmp_path}/in"), f"{tmp_path}/out", "t") == 2 == len(list((tmp_path / "out").iterdir()))
+
+
+def test_boxes_from_landmarks(spark, tmp_path):
+    marks = [{"x": 0, "y": 0}] * 68
+    for k, (x, y) in {30: (50, 50), 36: (35, 40), 39: (45, 40), 42: (55, 40), 45: (65, 40), 48: (42, 60), 54: (58, 60)}.items():
+        marks[k] = {"x": x, "y": y}
+    box = {"left": 1, "top": 2, "width": 3, "height": 4, "landmarks": marks}
+    (tmp_path / "m.json").write_text(json.dumps({"images": [{"filename": "a.JPG", "boxes": [box]}, {"filename": "b.png", "boxes": []}]}))
+    (plain,) = files.json_manifest(spark, str(tmp_path / "m.json")).collect()
+    assert (plain.objects[0].left, plain.objects[0].height) == (1.0, 4.0)
+    (r,) = files.json_manifest(spark, str(tmp_path / "m.json"), from_landmarks=True, scale=1.5).collect()
+    cy, side = 50.0, math.hypot(10, 10) * 1.5
+    o = r.objects[0]
+    assert (o.left, o.top, o.width, o.height) == (int(50 - side + 0.5), int(cy - side + 0.5), int(2 * side + 0.5), int(2 * side + 0.5)) and len(o.landmarks) == 68
+    bad = {"images": [{"filename": "a.jpg", "boxes": [{**box, "landmarks": marks[:50]}]}]}
+    (tmp_path / "bad.json").write_text(json.dumps(bad))
+    with pytest.raises(Exception, match="lacks landmarks"):
+        files.json_manifest(spark, str(tmp_path / "bad.json"), from_landmarks=True).collect()
+
+
+def test_every_nth_in_order(spark):
+    names = [f"p{i * 7919 % 1000:04d}" for i in range(200)]
+    got = files.every_nth(spark.createDataFrame([(n,) for n in names], "path string").repartition(5), "path", 7).collect()
+    assert sorted(r.path for r in got) == sorted(names)[::7]
