@@ -34,6 +34,8 @@ def step(samples: DataFrame, model: DataFrame, area: int) -> DataFrame:
 
 def train(samples: DataFrame, area: int, rounds: int, every: int = 2) -> DataFrame:
     """The model after some rounds; its lineage is cut now and then."""
+    if rounds > 2:
+        samples = cut(samples)  # each round reads them twice
     model = samples.select(*CELL).distinct().withColumn("weight", F.lit(0.0))
     for k in range(rounds):
         model = step(samples, model, area)

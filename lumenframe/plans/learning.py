@@ -100,14 +100,38 @@ def global_motion(spark, d):
     return m.select("a_id", *(F.round(c, 6).alias(c) for c in ("shift_x", "shift_y", "scale")), (F.round("alpha", 6) + 0).alias("alpha"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("stabilize_batch")
+_STATE = "xs, ys, ss, rs, mx, my, ms, mr, tx, ty, ts, tr, conf"
+_STILL = "[]::double[], []::double[], []::double[], []::double[], 0.0::double, 0.0::double, 1.0::double, 0.0::double, 0.0::double, 0.0::double, 1.0::double, 0.0::double, 1.0::double"
+_RESET = dict(zip(_STATE.split(", "), _STILL.split(", ")))
+_NEXT = {
+    "xs": "list_append(xs, x)[-50:]", "ys": "list_append(ys, y)[-50:]", "ss": "list_append(ss, scale)[-50:]", "rs": "list_append(rs, alpha)[-50:]", "mx": "ax", "my": "ay", "ms": "as_", "mr": "ar",
+    "tx": "(cos(nr) * tx - sin(nr) * ty) * ns + nx", "ty": "(sin(nr) * tx + cos(nr) * ty) * ns + ny", "ts": "ts * ns", "tr": "tr + nr", "conf": "confidence",
+}
+_STABLE = f"""with recursive {_GLOBAL[: _GLOBAL.index("select a_id, round(shift_x")]},
+mo as (select label as video, a_id as frame, shift_x as x, shift_y as y, scale, alpha, confidence, row_number() over (partition by label order by a_id) as k
+ from sh join sc using (a_id) join an using (a_id) join embeddings on vec_id = a_id),
+st(video, frame, k, {_STATE}) as (select video, null::bigint, 0::bigint, {_STILL} from mo where k = 1
+ union all select video, frame, k, {", ".join(f"case when confidence < 0.1 then {_RESET[c]} else {v} end" for c, v in _NEXT.items())}
+ from (select *, x - ax - (mx - ax) as nx, y - ay - (my - ay) as ny, scale / as_ / (ms / as_) as ns, alpha - ar - (mr - ar) as nr
+ from (select st.video, mo.frame, mo.k, {_STATE}, x, y, scale, alpha, confidence, coalesce(list_avg(xs[-25:]), 0) as ax, coalesce(list_avg(ys[-25:]), 0) as ay, coalesce(list_avg(rs[-50:]), 0) as ar,
+ coalesce(power(2, list_avg(list_transform(ss[-25:], lambda v: log2(greatest(v, 1e-9))))), 1) as as_ from st join mo on mo.video = st.video and mo.k = st.k + 1)))
+select cast(video as bigint) as video, frame, round(tx, 4) + 0 as x, round(ty, 4) + 0 as y, round(ts, 5) as scale, round(tr, 5) + 0 as alpha, round(conf, 5) as confidence from st where k > 0"""
+
+
+@query("stabilize_batch", _STABLE)
 def stabilize_batch(spark, d):
     label = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("a_id"), F.col("label").cast("long").alias("video"))
     motions = _motion(spark, d).join(label, "a_id").select("video", F.col("a_id").alias("frame"), F.col("shift_x").alias("x"), F.col("shift_y").alias("y"), "scale", "alpha", "confidence")
-    return M.stabilised(motions)
+    return M.stabilised(motions).select("video", "frame", *((F.round(c, n) + 0).alias(c) for c, n in (("x", 4), ("y", 4), ("scale", 5), ("alpha", 5), ("confidence", 5))))
 
 
-@query("ml_train_loop")
+_ROUNDS = "".join(
+    f", f{k} as (select id, sum(weight) as f from s join w{k} using (y, x, bin) group by id), w{k + 1} as (select y, x, bin, any_value(w{k}.weight) + (sum(target) - sum(f)) / count(*) / 64 as weight from s join f{k} using (id) join w{k} using (y, x, bin) group by y, x, bin)"
+    for k in (1, 2, 3)
+)
+
+
+@query("ml_train_loop", f"with {_STEP1}{_ROUNDS}, f4 as (select id, sum(weight) as f from s join w4 using (y, x, bin) group by id) select round(avg((f - target) * (f - target)), 9) as mse from f4 join (select distinct id, target from s) using (id)")
 def ml_train_loop(spark, d):
     s = samples(spark, d)
     f = L.predict(s, L.train(s, 64, 4))
