@@ -77,51 +77,69 @@ def unpacked(raw: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _starts(s: np.ndarray) -> np.ndarray:
+    """Places of the first of equal numbers in order."""
+    return np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+
+
 def _only_runs(table: pa.Table) -> np.ndarray:
     """The distinct runs of a part's texts, in order."""
-    k = np.zeros(0, _U)
+    k, fresh = np.zeros(0, _U), []
     for batch in table.combine_chunks().to_batches():
         for block in C.blocks(batch, "text", 2 << 20):
-            k = np.concatenate([k, runs(*C.text_buffer(block.column("text")))])
-            k.sort()
-            new = np.ones(len(k), bool)
-            np.not_equal(k[1:], k[:-1], out=new[1:])
-            k = k[new]
-    return k
-
-
-def own_counts(g: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """How often each byte's run is in its own text."""
-    out = np.ones(len(g), np.int64)
-    if len(g) < 2:
-        return out
-    h = C.mixed(g + C.mixed(np.repeat(np.arange(1, len(off), dtype=_U), np.diff(off))))
-    s = np.sort(h)
-    again = np.zeros(1 << 22, bool)
-    again[s[1:][s[1:] == s[:-1]] >> _U(42)] = True
-    some = np.flatnonzero(again[h >> _U(42)])
-    _, which, n = np.unique(h[some], return_inverse=True, return_counts=True)
-    out[some] = n[which]
-    return out
+            g = np.sort(runs(*C.text_buffer(block.column("text"))))
+            fresh.append(g[_starts(g)])
+            if sum(map(len, fresh)) > len(k):  # what is held at once stays within twice the result
+                k = np.sort(np.concatenate([k, *fresh]))
+                k, fresh = k[_starts(k)], []
+    k = np.sort(np.concatenate([k, *fresh]))
+    return k[_starts(k)]
+
+
+def in_order(g: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """An order that has equal runs of a block together, by text; the runs in it; the starts of equal ones, the starts of equal ones of one text, and these' numbers.
+
+    Runs are sorted by the upper bits of their hash, with their places in the
+    lower ones: that is one plain sort. Where two different runs share the
+    upper bits, the block is sorted by the runs themselves.
+    """
+    bits = _U(len(g).bit_length())
+    h = C.mixed(g) >> bits << bits
+    h |= np.arange(len(g), dtype=_U)
+    h.sort()
+    order = (h & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    s = g[order]
+    new = np.append(True, s[1:] != s[:-1])[: len(s)]
+    if (new[1:] & (h[1:] >> bits == h[:-1] >> bits)).any():
+        order = np.argsort(g, kind="stable")  # equal runs stay in the order of their texts here, too
+        s = g[order]
+        new = np.append(True, s[1:] != s[:-1])[: len(s)]
+    text = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))[order]
+    own = np.flatnonzero(new | np.append(True, text[1:] != text[:-1])[: len(s)])
+    return order, s, np.flatnonzero(new), own, np.diff(np.append(own, len(s)))
 
 
 def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct runs of a part's texts, in order, and their numbers; places of runs, in order, that are in one text twice or more, and how often."""
-    k = _only_runs(table)
-    n = np.zeros(len(k), np.int64)
-    more = [np.zeros(0, np.int64)]  # place << 32 | occurrences in a text
+    k, n = np.zeros(0, _U), np.zeros(0, np.int64)
+    fresh: list[tuple[np.ndarray, np.ndarray]] = []
+    more: list[tuple[np.ndarray, np.ndarray]] = [(k, n)]
     for batch in table.combine_chunks().to_batches():
-        for block in C.blocks(batch, "text", 2 << 20):
+        for block in C.blocks(batch, "text", 1 << 20):
             buf, off = C.text_buffer(block.column("text"))
-            g = runs(buf, off)
-            own = own_counts(g, off)
-            some = np.flatnonzero(own > 1)
-            if len(some):
-                more.append(np.unique(np.searchsorted(k, g[some]) << 32 | own[some]))
-            g.sort()
-            at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
-            n[np.searchsorted(k, g[at])] += np.diff(np.append(at, len(g)))
-    several = np.unique(np.concatenate(more))
+            all_runs = runs(buf, off)
+            _, g, _, own, size = in_order(all_runs, off)
+            more.append((g[own[size > 1]], size[size > 1]))
+            all_runs.sort()
+            at = _starts(all_runs)
+            fresh.append((all_runs[at], np.diff(np.append(at, len(all_runs)))))
+            if sum(len(x) for x, _ in fresh) > len(k):
+                k, n = summed(*map(np.concatenate, zip((k, n), *fresh)))  # type: ignore[arg-type]
+                fresh = []
+    k, n = summed(*map(np.concatenate, zip((k, n), *fresh)))  # type: ignore[arg-type]
+    g, size = map(np.concatenate, zip(*more))
+    by = np.argsort(g)
+    several = np.unique(np.searchsorted(k, g[by]) << 32 | size[by])  # place << 32 | occurrences in a text
     return k, n, several >> 32, several & 0xFFFFFFFF
 
 
@@ -337,22 +355,6 @@ def top_of(rows: pa.Table) -> list[tuple]:
     return [(zeros, ones, own1), (zeros0, ones0, own0)]
 
 
-class Lookup:
-    """Places of keys, all of which are there: by a hashed slot, or by binary search where slots clash."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.shift, self.odd = _U(64 - max(len(keys).bit_length() + 1, 4)), _U(0x9E3779B97F4A7C15)
-        self.at = np.zeros(1 << 64 - int(self.shift), np.int32)
-        self.at[keys * self.odd >> self.shift] = np.arange(len(keys), dtype=np.int32)
-
-    def __call__(self, asked: np.ndarray) -> np.ndarray:
-        at = self.at[asked * self.odd >> self.shift]
-        clash = np.flatnonzero(self.keys[at] != asked)
-        at[clash] = np.searchsorted(self.keys, asked[clash])
-        return at
-
-
 _SCORED = "n_bytes long, bits double, bits_per_byte double"
 
 
@@ -370,18 +372,22 @@ def _scored(docs: pa.Table, costs: pa.Table, named: np.ndarray, kind: pa.DataTyp
     known, several = np.concatenate(known), np.concatenate(several)
     by = np.argsort(known)
     known, several = known[by], several[by]
-    of = Lookup(run)
+    by = np.argsort(hashed := C.mixed(run))
+    hashed = hashed[by]
     out = []
     for batch in docs.combine_chunks().to_batches():
         for block in C.blocks(batch, "text", 1 << 20):
             buf, off = C.text_buffer(block.column("text"))
             each = np.zeros(0)
             if len(buf):
-                g = runs(buf, off)
-                at = of(g)
-                each, own = bits[at].astype(float), own_counts(g, off)
-                some = np.flatnonzero(own > 1)
-                each[some] = several[np.searchsorted(known, at[some].astype(_U) << _U(32) | own[some].astype(_U))]
+                order, g, at, own, n = in_order(runs(buf, off), off)
+                place = by[np.searchsorted(hashed, C.mixed(g[at]))]  # asked in order, but for few
+                place = place[np.searchsorted(at, own, "right") - 1]  # of each start of equal runs of a text
+                cost = bits[place]
+                some = np.flatnonzero(n > 1)
+                cost[some] = several[np.searchsorted(known, place[some].astype(_U) << _U(32) | n[some].astype(_U))]
+                each = np.empty(len(g))
+                each[order] = np.repeat(cost, n)
             size = np.diff(off)
             some = size > 0  # reduceat needs the starts of texts that hold bytes
             total = np.zeros(len(size))
