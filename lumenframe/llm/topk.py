@@ -9,7 +9,8 @@ sum's most significant slice downward and resolved by exact products, which
 gives a k-th best that is reached. The quantisation errors of a query and of a
 block bound how far a sum can be from the true product: all rows whose bounds
 reach that k-th best are resolved by exact products, too. A task goes from
-block to block with the best that its queries have found so far as bounds.
+block to block with the best that its queries have found so far as bounds;
+where there is one, no rows are selected first.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lumenframe.llm import common as C
+from lumenframe.llm.ctw import labels
 
 K = 10
 DATA_BITS, QUERY_BITS = 6, 4
+#: Ids that search: those divisible by it.
+EVERY = 50
 #: Rows of a block, whose slices lie in one task's memory; queries of a tile.
 BLOCK_ROWS = TILE_QUERIES = 1 << 16
 #: Vectors of so many bytes together are sent to all executors at most; more are joined in tiles.
@@ -131,10 +135,13 @@ class SlicedIndex:
                 sure, edge = sure | with_bit, edge & ~s
         return self._rows(sure | edge)
 
-    def best(self, name, query: np.ndarray, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids other than name and their best rounded products of the k best ids in some rows; ties go to the smaller id."""
+    def best(self, name, query: np.ndarray, k: int, rows: np.ndarray, bound: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids other than name and their best rounded products of the k best ids in some rows; ties go to the smaller id, and products below bound are left out."""
         rows = rows[self.ids[rows] != name]
         ids, score = self.ids[rows], np.round(self.vectors[rows] @ query, DECIMALS) + 0.0
+        if bound > -np.inf:
+            some = score >= bound
+            ids, score = ids[some], score[some]
         by = np.lexsort((ids, -score))
         ids, score = ids[by], score[by]
         _, first = np.unique(ids, return_index=True)
@@ -151,19 +158,17 @@ class SlicedIndex:
         digits = signed_digits(weight)
         total = self._sums(digits)
         some = k + 1
-        while True:  # until the rows of the largest sums have k other ids
+        while bound == -np.inf:  # until the rows of the largest sums have k other ids
             ids, score = self.best(name, query, k, self._top_rows(total, min(some, n)))
-            if len(ids) == k or some >= n:
-                break
+            if len(ids) == k:
+                bound = float(score[-1])
+            elif some >= n:
+                return ids, score  # these were all rows
             some *= 2
-        if len(ids) == k:
-            bound = max(bound, float(score[-1]))
-        elif some >= n:
-            return ids, score  # these were all rows
         error = float(np.linalg.norm(query - scale * weight)) * self.size + float(np.linalg.norm(scale * weight)) * self.rest + 10.0**-DECIMALS
         complement = ((1 << DATA_BITS) - 1) * sum(int((x < 0).sum()) << i for i, x in enumerate(digits))
         least = (bound - error - scale * (self.low + self.step / 2) * int(weight.sum())) / (scale * self.step) + complement
-        return self.best(name, query, k, self._rows(self._at_least(total, int(np.floor(least)) - 1)))
+        return self.best(name, query, k, self._rows(self._at_least(total, int(np.floor(least)) - 1)), bound)
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -201,9 +206,18 @@ def _blocks(table: pa.Table) -> list[SlicedIndex]:
     return [SlicedIndex(*_matrix(table.slice(i, BLOCK_ROWS))) for i in range(0, table.num_rows, BLOCK_ROWS)]
 
 
-def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
+def _divisible(ids: Column, kind: str, every: int) -> Column:
+    """Whether ids, whole numbers or texts of such, are divisible; no other text is."""
+    numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    return F.coalesce((ids if numeric else ids.cast("string").try_cast("decimal(38,10)")) % every == 0, F.lit(False))
+
+
+def neighbours(vectors: DataFrame, k: int = K, every: int = 1) -> DataFrame:
     """(vec_id, neighbour, score, rank): for every row the k rows of largest inner product, exactly.
 
+    With every above 1 only rows whose ids are divisible by it search; they
+    search all rows.
+
     Needs vec_id and embedding. Scores are rounded to DECIMALS digits before
     they are compared; ties go to the smaller id. A row is not its own
     neighbour, nor are rows that repeat its id; a repeated id searches once,
@@ -215,7 +229,8 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
 
     Vectors of up to BROADCAST_BYTES are sent to all executors, and each task
     takes some queries past all blocks. Above that, blocks of rows meet tiles
-    of queries: either side is shuffled once for each block of the other.
+    of queries, each pair in a partition of its own: either side is shuffled
+    once for each block of the other.
     """
     spark = vectors.sparkSession
     C.arrow_batches(spark)
@@ -225,8 +240,9 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = vectors.select(C.own(vectors, "vec_id").alias("id"), v.alias("v")).where("id is not null and size(v) > 0").where(~bad).distinct().withColumn("dim", F.size("v"))
     fine = C.kept(fine, "vectors")
-    n, size = fine.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)) * (4 if single else 8)).first()
-    queries = fine.groupBy("id", "dim").agg(F.min("v").alias("v")).select("id", "dim", "v")
+    asks = _divisible(F.col("id"), kind.simpleString(), every) if every > 1 else F.lit(True)
+    n, size, searching = fine.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)) * (4 if single else 8), F.count_if(asks)).first()
+    queries = fine.where(asks).groupBy("id", "dim").agg(F.min("v").alias("v")).select("id", "dim", "v")
     named, tasks = to_arrow_type(kind), C.parts(spark)
     columns = f"id {kind.simpleString()}, neighbour {kind.simpleString()}, score double"
     if size <= BROADCAST_BYTES:
@@ -244,33 +260,38 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
         best = queries.repartition(tasks, F.xxhash64("id")).mapInArrow(run, columns)
     else:
         blocks = -(-n // BLOCK_ROWS)
-        tiles = max(-(-n // TILE_QUERIES), -(-tasks // blocks))
-        tile = lambda c, m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias(c)
-        every = lambda c, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c)
-        q = queries.select("id", "dim", "v", tile("tile", tiles)).select("*", every("block", blocks))
-        rows = fine.select("id", "dim", "v", tile("block", blocks)).select("*", every("tile", tiles))
-        keys = ["dim", "tile", "block"]
+        tiles = max(-(-searching // TILE_QUERIES), -(-tasks // blocks))
+        cells = F.lit([*map(int, labels(blocks * tiles))])  # of pairs of a block and a tile: a partition for each
+        at = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+        every_one = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+
+        def spread(side: DataFrame, block: Column, tile: Column) -> DataFrame:
+            placed = side.select("id", "dim", "v", block.alias("block")).select("*", tile.alias("tile"))
+            return placed.select("id", "dim", "v", F.get(cells, F.col("block") * tiles + F.col("tile")).alias("cell")).repartition(blocks * tiles, "cell").groupBy("cell")
 
         def met(q: pa.Table, rows: pa.Table) -> pa.Table:
-            both = q.num_rows and rows.num_rows
-            return _found(_matrix(q), _blocks(rows), k, named) if both else _found(((), ()), [], k, named)
+            found = [_found(((), ()), [], k, named)]
+            for dim in pc.unique(q.column("dim")).to_pylist():
+                some, others = (t.filter(pc.equal(t.column("dim"), dim)) for t in (q, rows))
+                found.append(_found(_matrix(some), _blocks(others), k, named))
+            return pa.concat_tables(found)
 
         # a row repeats an id in its own block only, as blocks go by id
-        best = q.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(met, columns)
+        best = spread(queries, every_one(blocks), at(tiles)).cogroup(spread(fine, at(blocks), every_one(tiles))).applyInArrow(met, columns)
     order = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbour")
     both = best.groupBy("id", "neighbour").agg(F.max("score").alias("score"))  # an id with vectors of several lengths may be found with each
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias("vec_id"), "neighbour", "score", "rank")
 
 
 def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The K nearest of every embedding."""
-    return neighbours(C.table(spark, sf_dir, "embeddings"))
+    """The K nearest of each embedding whose id is divisible by EVERY, among all."""
+    return neighbours(C.table(spark, sf_dir, "embeddings"), every=EVERY)
 
 
 ORACLE = f"""
 select vec_id, neighbour, score, cast(rank as int) as rank from (
  select a.vec_id, b.vec_id as neighbour, round(list_inner_product(a.embedding::double[], b.embedding::double[]), {DECIMALS}) + 0.0 as score,
  row_number() over (partition by a.vec_id order by round(list_inner_product(a.embedding::double[], b.embedding::double[]), {DECIMALS}) desc, b.vec_id) as rank
- from embeddings a join embeddings b on a.vec_id <> b.vec_id)
+ from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % {EVERY} = 0)
 where rank <= {K}
 """

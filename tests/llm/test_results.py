@@ -323,6 +323,25 @@ def test_topk_over_blocks_and_tiles(spark, monkeypatch, broadcast):
     assert topk.neighbours(named, 3).groupBy("vec_id").count().collect().__len__() == 9
 
 
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_topk_of_some_ids_over_all_rows(spark, monkeypatch, tmp_path, broadcast):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(420, 6)), 1)
+    ids = np.append(np.arange(-100, 300), np.repeat([50, 7], 10))
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = defaultdict(list)
+    for r in topk.op4_bit_sliced_topk(spark, str(tmp_path)).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append((-r.score, r.neighbour))
+    least = {i: min(x.tolist() for x in v[ids == i]) for i in set(ids.tolist()) if i % topk.EVERY == 0}
+    assert len(least) == 8
+    assert got == {i: _nearest_ids(ids.tolist(), v, i, np.array(q), topk.K) for i, q in least.items()}
+    named = df.selectExpr("case vec_id when 1 then 'x' when 2 then '50.5' else string(vec_id) end as vec_id", "embedding")
+    assert {r.vec_id for r in topk.neighbours(named, 3, topk.EVERY).collect()} == {str(i) for i in least}
+
+
 # line dedup: plain edit distance
 
 
