@@ -37,6 +37,8 @@ from lumenframe.llm import common as C
 
 #: Context bytes: with the byte itself they fill a number of 64 bits.
 DEPTH = 7
+#: So many keys at least are gathered before they are summed.
+LEAST_MERGED = 1 << 16
 _U = np.uint64
 _LOG_HALF, _LOG_PI = np.log(0.5), np.log(np.pi)
 #: Of the run at a text's byte t < DEPTH, the bytes that are in the text.
@@ -66,6 +68,17 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[at], np.add.reduceat(n[order], at)
 
 
+def merged(some) -> tuple[np.ndarray, np.ndarray]:
+    """summed() of all (distinct keys in order, numbers): these are added as they come, whenever they are as many as the sum so far, so that none is sorted often."""
+    total = np.zeros(0, _U), np.zeros(0, np.int64)
+    fresh: list[tuple[np.ndarray, np.ndarray]] = []
+    for x in some:
+        fresh.append(x)
+        if sum(len(k) for k, _ in fresh) > max(len(total[0]), LEAST_MERGED):
+            total, fresh = summed(*map(np.concatenate, zip(total, *fresh))), []  # type: ignore[arg-type]
+    return summed(*map(np.concatenate, zip(total, *fresh))) if fresh else total  # type: ignore[arg-type]
+
+
 def packed(v: np.ndarray) -> bytes:
     """The numbers by byte planes, compressed."""
     return pa.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T).tobytes(), "zstd", asbytes=True)
@@ -121,22 +134,20 @@ def in_order(g: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct runs of a part's texts, in order, and their numbers; places of runs, in order, that are in one text twice or more, and how often."""
-    k, n = np.zeros(0, _U), np.zeros(0, np.int64)
-    fresh: list[tuple[np.ndarray, np.ndarray]] = []
-    more: list[tuple[np.ndarray, np.ndarray]] = [(k, n)]
-    for batch in table.combine_chunks().to_batches():
-        for block in C.blocks(batch, "text", 1 << 20):
-            buf, off = C.text_buffer(block.column("text"))
-            all_runs = runs(buf, off)
-            _, g, _, own, size = in_order(all_runs, off)
-            more.append((g[own[size > 1]], size[size > 1]))
-            all_runs.sort()
-            at = _starts(all_runs)
-            fresh.append((all_runs[at], np.diff(np.append(at, len(all_runs)))))
-            if sum(len(x) for x, _ in fresh) > len(k):
-                k, n = summed(*map(np.concatenate, zip((k, n), *fresh)))  # type: ignore[arg-type]
-                fresh = []
-    k, n = summed(*map(np.concatenate, zip((k, n), *fresh)))  # type: ignore[arg-type]
+    more: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, _U), np.zeros(0, np.int64))]
+
+    def blocks():
+        for batch in table.combine_chunks().to_batches():
+            for block in C.blocks(batch, "text", 1 << 20):
+                buf, off = C.text_buffer(block.column("text"))
+                all_runs = runs(buf, off)
+                _, g, _, own, size = in_order(all_runs, off)
+                more.append((g[own[size > 1]], size[size > 1]))
+                all_runs.sort()
+                at = _starts(all_runs)
+                yield all_runs[at], np.diff(np.append(at, len(all_runs)))
+
+    k, n = merged(blocks())
     g, size = map(np.concatenate, zip(*more))
     by = np.argsort(g)
     several = np.unique(np.searchsorted(k, g[by]) << 32 | size[by])  # place << 32 | occurrences in a text
@@ -181,10 +192,9 @@ def _asked(named: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         """A part's distinct runs by bucket, packed, with their numbers, and places in them of runs with several own occurrences."""
         keys, n, places, owns = _distinct(table)
-        rows = []
+        several, rows = dict(_by_bucket(keys[places], len(named))), []  # by bucket once: there are many
         for i, at in _by_bucket(keys, len(named)):  # at is in order
-            some = np.searchsorted(at, places)
-            some = np.flatnonzero(at[np.minimum(some, len(at) - 1)] == places) if len(places) else some
+            some = several.get(i, np.zeros(0, np.int64))
             own = packed(np.diff(np.searchsorted(at, places[some]), prepend=0)), packed(owns[some])
             rows.append((int(named[i]), len(at), packed(np.diff(keys[at], prepend=_U(0))), packed(n[at]), len(some), *own))
         part = table.column("part")[0].as_py() if table.num_rows else 0
@@ -200,10 +210,7 @@ def _gathered(batches):
         for i in range(batch.num_rows):
             asks = batch.column("asks")[i].as_py()
             each = lambda a: np.cumsum(unpacked(a["runs"], a["size"], _U), dtype=_U)
-            keys, n = np.zeros(0, _U), np.zeros(0, np.int64)
-            for j in range(0, len(asks), 16):
-                some = asks[j : j + 16]
-                keys, n = summed(np.concatenate([keys, *map(each, some)]), np.concatenate([n, *(unpacked(a["counts"], a["size"], np.int64) for a in some)]))
+            keys, n = merged((each(a), unpacked(a["counts"], a["size"], np.int64)) for a in asks)
             yield batch.column("bucket")[i].as_py(), asks, each, keys, n
 
 
@@ -382,7 +389,9 @@ def _scored(docs: pa.Table, costs: pa.Table, named: np.ndarray, kind: pa.DataTyp
             if len(buf):
                 order, g, at, own, n = in_order(runs(buf, off), off)
                 place = by[np.searchsorted(hashed, C.mixed(g[at]))]  # asked in order, but for few
-                place = place[np.searchsorted(at, own, "right") - 1]  # of each start of equal runs of a text
+                new = np.zeros(len(g), bool)
+                new[at] = True
+                place = place[np.cumsum(new[own]) - 1]  # of each start of equal runs of a text
                 cost = bits[place]
                 some = np.flatnonzero(n > 1)
                 cost[some] = several[np.searchsorted(known, place[some].astype(_U) << _U(32) | n[some].astype(_U))]

@@ -105,6 +105,53 @@ def test_partition_labels(spark):
         assert [r.p for r in df.selectExpr(f"pmod(hash(v), {n}) as p").collect()] == list(range(n))
 
 
+def test_ctw_parts_and_buckets_take_linear_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefgh"), 200)) + "abcabcabc" * 3 for _ in range(30)]
+    docs = pa.table({"part": [7] * len(texts), "text": texts})
+    sought, search = [0], np.searchsorted
+
+    def counted(a, v, *more, **named):
+        sought[0] += np.size(v)
+        return search(a, v, *more, **named)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    taken, rows = {}, {}
+    for buckets in (1, 500):
+        before = sought[0]
+        rows[buckets] = ctw._asked(ctw.labels(buckets))(docs).to_pylist()
+        taken[buckets] = sought[0] - before
+    assert taken[500] <= 2 * taken[1]  # no search for each bucket
+
+    def several(rows):
+        out = []
+        for r in rows:
+            keys = np.cumsum(ctw.unpacked(r["runs"], r["size"], np.uint64), dtype=np.uint64)
+            at = np.cumsum(ctw.unpacked(r["places"], r["more"], np.int64))
+            out += zip(keys[at].tolist(), ctw.unpacked(r["owns"], r["more"], np.int64).tolist())
+        return sorted(out)
+
+    want = set()
+    for t in texts:
+        b = np.frombuffer(t.encode(), np.uint8)
+        keys, n = np.unique(ctw.runs(b, np.array([0, len(b)])), return_counts=True)
+        want |= set(zip(keys[n > 1].tolist(), n[n > 1].tolist()))
+    assert several(rows[1]) == several(rows[500]) == sorted(want)
+
+    each = [np.sort(rng.integers(0, 1 << 60, 2000, dtype=np.uint64)) for _ in range(400)]
+    asks = [{"runs": ctw.packed(np.diff(k, prepend=np.uint64(0))), "size": len(k), "counts": ctw.packed(np.ones(len(k), np.int64))} for k in each]
+    summed, sorts = ctw.summed, [0]
+
+    def adds(keys, n):
+        sorts[0] += len(keys)
+        return summed(keys, n)
+
+    monkeypatch.setattr(ctw, "summed", adds)
+    ((_, _, _, keys, n),) = ctw._gathered([pa.RecordBatch.from_pylist([{"bucket": 1, "asks": asks}])])
+    assert sorts[0] <= 5 * 400 * 2000  # no key is sorted again for each few parts
+    assert keys.tolist() == sorted(set(np.concatenate(each).tolist())) and n.sum() == 400 * 2000
+
+
 # composite text density: recursion over an explicit tree
 
 
