@@ -98,28 +98,55 @@ def detect(img: DataFrame, key: str, model: DataFrame, h0: int, w0: int, h: int,
     return cleaned(detect_pyramid(img, key, model, h0, w0, h, w, threshold, step, start))
 
 
+#: Tries whose hits go in one number.
+_BITS = 62
+
+
+def _windows(images: DataFrame, h: int, w: int) -> DataFrame:
+    """b_y, b_x, b_h, b_w of each image (image_id, height, width, ...) and try: from a fixed stream of both."""
+    draw = lambda k: ((F.col("image_id") % 1000003 * 7919 + F.col("try") * 104729 + k * 15485863) * 69069 + 12345) % 1000003
+    most = F.least((F.col("height") - 1) / h, (F.col("width") - 1) / w)
+    sized = images.withColumn("scale", 1 + (most - 1) * (draw(1) / 1000003.0)).withColumns({"b_h": F.floor(h * F.col("scale")), "b_w": F.floor(w * F.col("scale"))})
+    return sized.withColumns({"b_y": draw(2) % (F.col("height") - F.col("b_h")), "b_x": draw(3) % (F.col("width") - F.col("b_w"))})
+
+
 def negatives(images: DataFrame, truth: DataFrame, wanted: Column, h: int, w: int, tries: int) -> DataFrame:
     """(image_id, nth, x, y, w, h): random windows of an image that overlap each true rectangle by an IoU under 0.5, the first `wanted` of so many tries.
 
-    images: (image_id, height, width), of which those larger than h x w by two
-    or more give samples, and columns for wanted. The windows have the model's
-    shape, 1 to as many times its size as fit, and come from a fixed stream of
-    each image and try, so that a lost task gives the same ones again.
+    images: (image_id, height, width), each once, of which those larger than
+    h x w by two or more give samples, and columns for wanted. The windows have
+    the model's shape, 1 to as many times its size as fit, and come from a fixed
+    stream of each image and try, so that a lost task gives the same ones again.
     """
-    from pyspark.sql.window import Window
+    t = truth.select(F.col("image_id").alias("a_image"), *(F.col(c).alias(f"a_{c}") for c in "xywh"))
+    each = images.select("image_id", "height", "width", wanted.alias("wanted"))
+    return negatives_beside(each.join(t, F.col("image_id") == F.col("a_image"), "left"), F.max("wanted"), h, w, tries)
 
-    from lumenframe.operators.rect import iou, prefixed
 
-    draw = lambda k: ((F.col("image_id") % 1000003 * 7919 + F.col("try") * 104729 + k * 15485863) * 69069 + 12345) % 1000003
-    fits = images.where((F.col("height") - 1 > h) & (F.col("width") - 1 > w)).withColumn("wanted", wanted)
-    tried = fits.select("image_id", "height", "width", "wanted", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tries - 1).cast("bigint"))).alias("try"))
-    most = F.least((F.col("height") - 1) / h, (F.col("width") - 1) / w)
-    tried = tried.withColumn("scale", 1 + (most - 1) * (draw(1) / 1000003.0)).withColumns({"b_h": F.floor(h * F.col("scale")), "b_w": F.floor(w * F.col("scale"))})
-    tried = tried.withColumns({"b_y": draw(2) % (F.col("height") - F.col("b_h")), "b_x": draw(3) % (F.col("width") - F.col("b_w"))})
-    t = prefixed(truth, "a_").withColumnRenamed("image_id", "a_image")
-    free = tried.join(t, (F.col("image_id") == F.col("a_image")) & (iou("a_", "b_") >= 0.5), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("image_id").orderBy("try"))
-    return free.withColumn("nth", nth).where("nth <= wanted").select("image_id", "nth", *(F.col(f"b_{c}").alias(c) for c in "xywh"))
+def negatives_beside(truth: DataFrame, wanted: Column, h: int, w: int, tries: int) -> DataFrame:
+    """negatives() of rows (image_id, height, width, a_x, a_y, a_w, a_h) that have each true rectangle with its image's size; an image without one has a row of nulls.
+
+    wanted aggregates an image's rows, each of which is there with every `try`
+    from 0 on. A rectangle's hits are bits, of which an image has the union: the
+    tries themselves are neither shuffled nor sorted, and an image with very
+    many rectangles is no more than one row from each task.
+    """
+    from lumenframe.operators.rect import iou
+
+    size, words = ["image_id", "height", "width"], range(-(-tries // _BITS))
+    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tries - 1).cast("bigint"))).alias("try")
+    word, bit = F.floor(F.col("try") / _BITS), F.expr(f"shiftleft(1L, cast(try % {_BITS} as int))")
+    fits = truth.where((F.col("height") - 1 > h) & (F.col("width") - 1 > w))
+    tried = _windows(fits.select("*", numbers), h, w)
+    hits = [F.bit_or(F.when((word == i) & (iou("a_", "b_") >= 0.5), bit).otherwise(0)).alias(f"hit{i}") for i in words]
+    each = tried.groupBy(*size).agg(wanted.alias("wanted"), *hits).select("*", numbers)
+    hit, before = F.lit(False), F.lit(0)
+    for i in words:
+        own = F.col(f"hit{i}")
+        hit = hit | ((word == i) & (own.bitwiseAND(bit) != 0))
+        before = before + F.bit_count(F.when(word > i, own).when(word == i, own.bitwiseAND(bit - 1)).otherwise(0))
+    free = each.where(~hit).withColumn("nth", (F.col("try") + 1 - before).cast("int")).where("nth <= wanted")
+    return _windows(free, h, w).select("image_id", "nth", *(F.col(f"b_{c}").alias(c) for c in "xywh"))
 
 
 def best_split(samples: DataFrame, key: str) -> DataFrame:

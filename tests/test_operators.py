@@ -284,3 +284,43 @@ def test_negatives_keep_away(spark):
         if r.image_id == 1:
             both = max(0, min(60, r.x + r.w) - r.x) * max(0, min(60, r.y + r.h) - r.y)
             assert both / (3600 + r.w * r.h - both) < 0.5
+
+
+@pytest.mark.parametrize("tries", [20, 62, 130])
+def test_negatives_against_each_pair(spark, tries):
+    """The first free tries of each image by plain loops; one image has most of the rectangles, one none, one no id and one a negative id."""
+    from lumenframe.operators import lut
+
+    rng = np.random.default_rng(tries)
+    ids = [3, -8, 1000004, *[5] * 300]
+    cut = lambda a, m: int(math.fmod(a, m))
+    truth = [(i, *map(int, rng.integers(0, 60, 2)), *map(int, rng.integers(11, 70, 2))) for i in ids] + [(3, 0, 0, None, 30), (None, 1, 1, 50, 50)]
+    images = [(i, 100, 120, n) for i, n in ((3, 4), (-8, 200), (1000004, 0), (5, 9), (6, 2), (None, 2))]
+    want = []
+    for i, high, wide, wanted in images:
+        nth = 0
+        for t in range(tries):
+            if i is None:
+                y = x = s = None
+            else:
+                draw = [cut((cut(i, 1000003) * 7919 + t * 104729 + k * 15485863) * 69069 + 12345, 1000003) for k in (1, 2, 3)]
+                s = math.floor(24 * (1 + (99 / 24 - 1) * (draw[0] / 1000003)))
+                y, x = cut(draw[1], high - s), cut(draw[2], wide - s)
+            hit = False
+            for j, a, b, w, h in truth:
+                if i is not None and j == i and w is not None:
+                    over = max(0, min(a + w, x + s) - max(a, x)) * max(0, min(b + h, y + s) - max(b, y))
+                    hit = hit or over / (w * h + s * s - over) >= 0.5
+            if not hit and nth < wanted:
+                nth += 1
+                want.append((i, nth, x, y, s, s))
+    got = lut.negatives(spark.createDataFrame(images, "image_id long, height long, width long, n long"), spark.createDataFrame(truth, "image_id long, x long, y long, w long, h long"), F.col("n"), 24, 24, tries)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_negatives_move_no_tries(spark, data):
+    """One shuffle, of a row for each image and task; no tries are sorted."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["det_negatives"](spark, data)._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert plan.count("Exchange ") == 1 and not any(x in plan for x in ("Window", "Sort", "Join")) and plan.index("partial_bit_or") > plan.index("Exchange ")
