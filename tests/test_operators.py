@@ -324,3 +324,42 @@ def test_negatives_move_no_tries(spark, data):
 
     plan = entry.queries()["det_negatives"](spark, data)._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
     assert plan.count("Exchange ") == 1 and not any(x in plan for x in ("Window", "Sort", "Join")) and plan.index("partial_bit_or") > plan.index("Exchange ")
+
+
+def test_piano_by_whole_tracks(spark):
+    """The same as voices one by one, added up and echoed, also of a track of over a million samples, of one without a sample and of one without a name."""
+    from lumenframe.operators import piano
+
+    rng = np.random.default_rng(3)
+    notes = [(int(t), i, int(rng.integers(0, 3000)), int(rng.integers(1, 400)), int(rng.integers(1, 89))) for t in range(7) for i in range(9)]
+    notes += [(9, 1, 1_300_000, 50, 40), (9, 2, 0, 50, 40), (9, 2, 0, 50, 40), (10, 1, 5, -900, 3), (None, 1, 0, 10, 88)]
+    rows = spark.createDataFrame(notes, "track long, id long, start long, length long, note long")
+    got = {k: g.sort_values("n") for k, g in piano.performed(rows, 4000).toPandas().groupby("track", dropna=False)}
+    dry = {}
+    for t, _, start, length, note in notes:
+        v = piano.voice(note, length, 4000)
+        if len(v):
+            old = dry.get(t, np.zeros(0))
+            dry[t] = np.zeros(max(len(old), start + len(v)))
+            dry[t][: len(old)] += old
+            dry[t][start : start + len(v)] += v
+    assert len(got) == len(dry) and 10 not in got
+    for t, y in dry.items():
+        if t != 9:
+            for n in range(len(y)):
+                y[n] += sum(piano.ECHO * y[n - k] for k in (int(x * 4000) for x in piano.TAPS) if n >= k)
+        else:
+            piano._echo(y, 4000)  # noqa: SLF001
+        mine = next(g for k, g in got.items() if k == t or (t is None and k != k))
+        assert mine["n"].tolist() == list(range(len(y))) and np.allclose(mine["v"], y, rtol=0, atol=1e-9)
+    for bad in ((1, 1, -1, 10, 5), (1, 1, 0, 10, 89), (1, 1, 0, None, 5)):
+        with pytest.raises(Exception, match="starts at 0|keys are|a start, a length"):
+            piano.performed(spark.createDataFrame([bad], rows.schema), 4000).collect()
+
+
+def test_piano_moves_no_samples(spark, data):
+    """Events are shuffled once, and no samples."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["sig_piano"](spark, data)._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert plan.count("Exchange ") == 1 and plan.index("MapInArrow") < plan.index("Exchange ") and "InPandas" not in plan
